@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from lathework.llm import bpe, simhash
+from lathework.llm import bpe, linedup, mixing, rules, shard, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_line_dedup": linedup.op2_line_dedup,
+    "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
+    "op9_sharding": shard.op9_sharding,
+    "op10_quality_rules": rules.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": linedup.OP2_SQL,
+}
