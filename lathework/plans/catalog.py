@@ -12,3 +12,13 @@ def add(module) -> None:
         raise ValueError(f"registered twice: {sorted(clash)}")
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
+
+
+def _load() -> None:
+    from lathework.plans import matrix_queries
+
+    for module in (matrix_queries,):
+        add(module)
+
+
+_load()
