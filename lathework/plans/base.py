@@ -37,8 +37,8 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 #: Counts: samples are suppliers, features are parts modulo 200; an absent cell is a zero.
 COUNTS = "(select l_suppkey as sample_id, l_partkey % 200 as feature_id, sum(l_quantity) as value from lineitem group by 1, 2)"
-#: Values with gaps: samples are suppliers, features parts modulo 100, only the lines with a tax; an absent cell is a null.
-BETA = "(select l_suppkey as sample_id, 'f' || cast(l_partkey % 100 as varchar) as feature_id, max(l_discount) as value from lineitem where l_tax >= 0.03 group by 1, 2)"
+#: Values with gaps: samples are suppliers, features parts modulo 100; cells without a line of some tax are null, and so are absent ones.
+BETA = "(select l_suppkey as sample_id, 'f' || cast(l_partkey % 100 as varchar) as feature_id, max(case when l_tax >= 0.03 then l_discount end) as value from lineitem group by 1, 2)"
 #: Survival: days since the order, an event if it is finished; the customer gives group, risk and stage.
 SURVIVAL = (
     "(select o_orderkey as id, cast(date_diff('day', cast(o_orderdate as date), date '2001-08-02') as double) as time, "
@@ -54,8 +54,8 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def beta(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_tax >= 0.03")
-    return lines.groupBy(F.col("l_suppkey").alias("sample_id"), F.concat(F.lit("f"), (F.col("l_partkey") % 100).cast("string")).alias("feature_id")).agg(F.max("l_discount").alias("value"))
+    lines = table(spark, d, "lineitem")
+    return lines.groupBy(F.col("l_suppkey").alias("sample_id"), F.concat(F.lit("f"), (F.col("l_partkey") % 100).cast("string")).alias("feature_id")).agg(F.max(F.when(F.col("l_tax") >= 0.03, F.col("l_discount"))).alias("value"))
 
 
 def survival(spark: SparkSession, d: str) -> DataFrame:
@@ -77,8 +77,6 @@ def patients(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("pid").agg(F.min(F.struct("time", "id", "event", "grp", "risk", "site", "stage")).alias("r")).select("pid", "r.*")
 
 
-def vectors(spark: SparkSession, d: str, below: int | None = 200) -> DataFrame:
-    """``(id, vec, label)``; graph queries that make a row per pair take the vectors with ids below ``below``."""
-    own = table(spark, d, "embeddings")
-    own = own if below is None else own.where(F.col("vec_id") < below)
-    return own.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, vec, label)`` of all embeddings."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")

@@ -141,7 +141,7 @@ def load_modality(spark, d):
 
 
 _EXCLUDE = "('f' || cast(p_partkey % 100 as varchar))"
-_BKEPT = f"(select * from {BETA} where feature_id not in (select {_EXCLUDE} from part where p_partkey < 8) and not starts_with(feature_id, 'f9'))"
+_BKEPT = f"(select * from {BETA} where feature_id not in (select {_EXCLUDE} from part where p_brand = 'Brand#2' and p_size > 45) and not starts_with(feature_id, 'f9'))"
 _BFEAT = f"(select feature_id from {_BKEPT} group by 1 having ({_BN} - count(value)) / cast({_BN} as double) <= 0.2)"
 _BFULL = f"(select sample_id, feature_id, coalesce(value, median(value) over (partition by feature_id)) as value from (select s.sample_id, f.feature_id, l.value from (select distinct sample_id from {_BKEPT} where feature_id in (select feature_id from {_BFEAT})) s cross join {_BFEAT} f left join {_BKEPT} l on l.sample_id = s.sample_id and l.feature_id = f.feature_id))"
 _BMAD = f"(select feature_id, median(abs(value - m)) as mad from (select *, median(value) over (partition by feature_id) as m from {_BFULL}) group by 1)"
@@ -149,7 +149,7 @@ _BMAD = f"(select feature_id, median(abs(value - m)) as mad from (select *, medi
 
 @query("beta_prep", f"select sample_id, feature_id, {r('value')} as value from {_zscore(f'(select * from {_BFULL} where feature_id in (select feature_id from {_BMAD} order by floor(mad * 1e9 + 0.5) desc, feature_id limit 50))')}")
 def beta_prep(spark, d):
-    listed = table(spark, d, "part").where("p_partkey < 8").select(F.concat(F.lit("f"), (F.col("p_partkey") % 100).cast("string")).alias("feature_id"))
+    listed = table(spark, d, "part").where("p_brand = 'Brand#2' and p_size > 45").select(F.concat(F.lit("f"), (F.col("p_partkey") % 100).cast("string")).alias("feature_id"))
     return rounded(M.prepare_beta(beta(spark, d), [listed], drop_prefix="f9"), "value").select("sample_id", "feature_id", "value")
 
 
