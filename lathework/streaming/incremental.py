@@ -11,7 +11,7 @@ def windowed_counts(events: DataFrame, time: str = "ts", sample: str = "user_id"
 
     Works on batch and streaming frames alike.
     """
-    own = events.withWatermark(time, late) if events.isStreaming else events
+    own = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return own.groupBy(F.window(time, window).alias("w"), F.col(sample).alias("sample_id"), F.col(feature).alias("feature_id")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "sample_id", "feature_id", "n", "total")
 
 
