@@ -29,6 +29,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
+def hash_sample(rows: DataFrame, most: int, n: int, *columns: str) -> DataFrame:
+    """``most`` of ``n`` rows: those with the smallest hashes of ``columns``.
+
+    Rows are first thinned to about one and a half times as many by a bound on
+    the hash, in the scan, so that what meets in one task doesn't grow with the
+    input. Columns that tell rows apart must be among those hashed.
+    """
+    key = F.xxhash64(*columns)
+    if n > 3 * most:
+        rows = rows.where(key <= F.lit(-(1 << 63) + int((1 << 64) * 1.5 * most / n)))
+    return rows.orderBy(key, *columns).limit(most)
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list], list[list]]], fields: list[tuple[str, str]], rows: int = 512) -> DataFrame:
     """The columns ``keep`` of ``df`` unchanged, and ``fields`` that a function makes from the texts.
 

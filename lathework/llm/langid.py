@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm.common import documents, map_texts
+from lathework.llm.common import documents, hash_sample, map_texts
 
 ORDERS, BITS = (1, 2, 3), 14
 DIM = len(ORDERS) << BITS
@@ -174,17 +174,17 @@ class Model:
         return lang, [0.0 if x == UNKNOWN and e else float(v) for x, e, v in zip(lang, empty | (not self.classes), p.max(axis=1), strict=True)]
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, epochs: int = 6) -> Model:
+def train(rows: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_train: int = MAX_TRAIN, epochs: int = 6) -> Model:
     """The model from ``rows`` with a language and letters; document frequencies from all of them.
 
-    The sample is the ``max_train`` rows with the smallest hashes of text and
-    language; of repeated rows any number may be in it. Without labelled rows
+    The sample is the ``max_train`` rows with the smallest hashes of id,
+    language and text; of repeated rows any number may be in it. Without labelled rows
     the model knows no language and answers ``und``.
     """
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     df, n = document_frequencies(rows, text)
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = rows.select(text, lang).orderBy(F.xxhash64(text, lang), lang).limit(max_train)
+    sample = hash_sample(rows, max_train, n, *([id_col] if id_col in rows.columns else []), lang, text)
 
     def make() -> Callable:
         def of(texts: list) -> list[list]:
