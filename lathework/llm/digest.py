@@ -223,7 +223,7 @@ def digest_with_next(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id",
     here = F.struct(F.col("_part").alias("part"), F.lit(False).alias("lent"))
     there = F.struct(back.cast("int").alias("part"), F.lit(True).alias("lent"))
     dealt = own.withColumn("_to", F.explode(F.when(F.col("_id").eqNullSafe(first), F.array(here, there)).otherwise(F.array(here))))
-    dealt = dealt.select("_to.part", "_to.lent", "_id", "_text").repartition(max(1, ranges), "part").sortWithinPartitions("part", "lent", F.col("_id").asc_nulls_first(), F.xxhash64("_text"), "_text")
+    dealt = dealt.select("_to.part", "_to.lent", "_id", "_text").repartitionById(order[-1] + 1, F.col("part")).sortWithinPartitions("part", "lent", F.col("_id").asc_nulls_first(), F.xxhash64("_text"), "_text")
     schema = _schema(docs, id_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
