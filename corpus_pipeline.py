@@ -15,8 +15,8 @@ from lathework.session import materialize
 
 #: Documents whose best language is less likely than this are rejected.
 MIN_LANGUAGE_SCORE = 0.5
-#: Near-duplicates share five-word shingles; fingerprints within so many bits link.
-NEAR_WORDS, NEAR_BITS = 5, 3
+#: Near-duplicates are alike in their sets of five-word shingles: 0.8 or more, by fingerprints of 1,536 bits.
+NEAR_WORDS, NEAR_BITS = 5, simhash.WIDE_BITS
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs, NEAR_WORDS, NEAR_BITS).select(*docs.columns)
+    found = simhash.near_duplicates_wide(docs, NEAR_WORDS, NEAR_BITS)
+    return simhash.keep_one(docs, found).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
