@@ -15,9 +15,9 @@ def add(module) -> None:
 
 
 def _load() -> None:
-    from lathework.plans import graph_queries, matrix_queries, model_queries, relational_queries, report_queries, stream_queries, survival_queries
+    from lathework.plans import graph_queries, matrix_queries, model_queries, relational_queries, report_queries, source_queries, stream_queries, survival_queries
 
-    for module in (matrix_queries, relational_queries, graph_queries, survival_queries, model_queries, report_queries, stream_queries):
+    for module in (matrix_queries, relational_queries, graph_queries, survival_queries, model_queries, report_queries, source_queries, stream_queries):
         add(module)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lathework.functions.columns import r6
 from lathework.operators import graph as G
 from lathework.plans.base import Registry, r, rounded, vectors
 from lathework.session import table
