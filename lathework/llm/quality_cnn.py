@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm.common import documents, map_texts
+from lathework.llm.common import documents, hash_sample, map_texts
 from lathework.llm.langid import held_out
 
 WIDTH, FILTERS, CHUNK = 8, 16, 256
@@ -154,7 +154,8 @@ def train(rows: DataFrame, text: str = "text", label: str = "label", max_train:
     both labels among them it gives every text the share of label 1 (0.5
     without rows).
     """
-    sample = rows.where(F.col(label).isin(0, 1)).select(F.coalesce(text, F.lit("")).alias("t"), label).orderBy(F.xxhash64("t"), label).limit(max_train).toArrow()
+    usable = rows.where(F.col(label).isin(0, 1)).select(F.coalesce(text, F.lit("")).alias("t"), label)
+    sample = hash_sample(usable, max_train, usable.count(), "t", label).toArrow()
     texts, labels = sample.column(0).to_pylist(), sample.column(1).to_pylist()
     network = Network()
     if len(set(labels)) < 2:
@@ -179,6 +180,7 @@ def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     # the sample is chosen among ids first, so that only its texts are moved
-    chosen = labels.where(~held_out() & F.col("label").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(MAX_TRAIN)
+    usable = labels.where(~held_out() & F.col("label").isin(0, 1))
+    chosen = hash_sample(usable, MAX_TRAIN, usable.count(), "doc_id", "label")
     network = train(docs.join(F.broadcast(chosen), "doc_id"))
     return score(docs, network).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
