@@ -16,7 +16,6 @@ from collections.abc import Callable
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lathework.llm.common import documents, map_texts
 

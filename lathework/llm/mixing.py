@@ -18,7 +18,7 @@ documents per source whose size fits the rest best are then added or left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathework.llm.common import documents, word_count
@@ -81,7 +81,7 @@ def _salted(per_source: DataFrame) -> DataFrame:
     return per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row: id, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
 
     Size is the number of words; a null text has none. A null source is a source
@@ -119,17 +119,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     outside = keyed.where("bin <> cut").withColumn("extra", (F.col("bin") < F.col("cut")).cast("long"))
     chosen = materialize(outside.unionByName(inside), "chosen")
     for _ in range(2):
-        chosen = _fit(chosen)
+        chosen = _fit(chosen, int(limit))
     out = chosen.withColumn("copies", F.least(F.col("base") + F.col("extra"), F.lit(int(limit)))).select(
         F.col("_id").alias(id_col), "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
     return out
 
 
-def _fit(chosen: DataFrame) -> DataFrame:
+def _fit(chosen: DataFrame, limit: int) -> DataFrame:
     """Per source, the one document is flipped that brings the words taken closest to the target, if any does."""
     gap = chosen.groupBy("has", "source", "salt").agg(F.sum((F.col("base") + F.col("extra")) * F.col("size")).alias("taken"), F.first("target").alias("target")).groupBy("has", "source").agg((F.first("target") - F.sum("taken")).alias("gap"))
-    scored = chosen.where("size > 0 and base < %d" % int(LIMIT)).join(_salted(gap), ["has", "source", "salt"]).withColumn("after", F.abs(F.col("gap") - F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size")))).where(F.col("after") < F.abs("gap"))
+    scored = chosen.where(f"size > 0 and base < {limit}").join(_salted(gap), ["has", "source", "salt"]).withColumn("after", F.abs(F.col("gap") - F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size")))).where(F.col("after") < F.abs("gap"))
     best = scored.groupBy("has", "source", "salt").agg(F.min(F.struct("after", "hash", "_id", "size")).alias("best")).groupBy("has", "source").agg(F.min("best").alias("best"))
     flip = materialize(best.select("has", "source", F.col("best.hash").alias("flip_hash"), F.col("best._id").alias("flip_id"), F.col("best.size").alias("flip_size")), "flips")
     hit = F.col("flip_hash").isNotNull() & (F.col("hash") == F.col("flip_hash")) & F.col("_id").eqNullSafe(F.col("flip_id")) & (F.col("size") == F.col("flip_size"))
