@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathework.functions.columns import clip, guarded_ratio
+from lathework.session import materialize
 
 FEATURE, SAMPLE = "feature_id", "sample_id"
 
@@ -110,11 +111,12 @@ def to_long(vectors: DataFrame, vec: str = "vec") -> DataFrame:
 
 def prepare_counts(long: DataFrame, n_top: int = 50) -> DataFrame:
     """The count pipeline: per million, low-count filter, log2, the ``n_top`` most variable features, z-scores over the dense grid."""
-    n = long.select(SAMPLE).distinct().count()
-    cpm = counts_per_million(long)
-    kept = log2p1(cpm.join(low_count_features(cpm, n), FEATURE, "left_semi"))
+    cpm = materialize(counts_per_million(long), "cpm")  # read several times below; the input's own plan runs once
+    samples = cpm.select(SAMPLE).distinct()
+    n = samples.count()
+    kept = materialize(log2p1(cpm.join(low_count_features(cpm, n), FEATURE, "left_semi")), "kept")
     top = top_features(median_absolute_deviation(kept, n), "mad", n_top)
-    grid = long.select(SAMPLE).distinct().crossJoin(top.select(FEATURE))
+    grid = samples.crossJoin(top.select(FEATURE))
     dense = grid.join(kept, [SAMPLE, FEATURE], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     return zscore(dense)
 
@@ -127,7 +129,7 @@ def prepare_beta(long: DataFrame, exclude: list[DataFrame], n_top: int = 50, dro
     for listed in exclude:
         long = long.join(listed, FEATURE, "left_anti")
     long = long.join(missing_filter(long, n), FEATURE, "left_semi")
-    full = impute_median(densify(long))
+    full = materialize(impute_median(densify(long)), "full")
     top = top_features(median_absolute_deviation(full), "mad", n_top)
     return zscore(full.join(top.select(FEATURE), FEATURE, "left_semi"))
 

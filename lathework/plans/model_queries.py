@@ -67,8 +67,8 @@ def k_selection(spark, d):
     return spark.createDataFrame(out)
 
 
-@query("snf_fusion")
-def snf_fusion(spark, d):
+@query("network_fusion")
+def network_fusion(spark, d):
     found = [L.gather(m) for m in modalities(spark, d)]
     return L.to_edges(spark, found[0][0], L.fuse([w for _, w in found], 10))
 

@@ -40,7 +40,7 @@ def test_oracle(spark, sf, duck, name):
 
 
 #: On the smallest tables these take long, or have too few rows for a fold; their operators have tests of their own.
-ELSEWHERE = {"k_selection", "parameter_sweep", "cox_cross_validation", "cox_oof_bootstrap", "snf_fusion", "laplacian_spectrum", "spectral_clustering"}
+ELSEWHERE = {"k_selection", "parameter_sweep", "cox_cross_validation", "cox_oof_bootstrap", "network_fusion", "laplacian_spectrum", "spectral_clustering"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.ORACLES.keys() - ELSEWHERE))

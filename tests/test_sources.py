@@ -33,9 +33,9 @@ def test_measurement_files(spark, tmp_path):
 
 
 def test_records_and_annotation(spark, tmp_path):
-    write(tmp_path / "r.tsv", "barcode\tage\tstatus\nbarcode\tage\tstatus\nCDE:1\tCDE:2\tCDE:3\nTCGA-1\t61\tDead\nTCGA-2\t[Not Available]\t[Not Evaluated]\n")
-    own = files.records(spark, str(tmp_path / "r.tsv"), {"barcode": "id", "age": "age", "absent": "x", "status": "status"}, "id", "TCGA", ("age",))
-    assert {tuple(r) for r in own.collect()} == {("TCGA-1", 61.0, "Dead"), ("TCGA-2", None, "[Not Evaluated]")}
+    write(tmp_path / "r.tsv", "barcode\tage\tstatus\nbarcode\tage\tstatus\nCDE:1\tCDE:2\tCDE:3\nCASE-1\t61\tDead\nCASE-2\t[Not Available]\t[Not Evaluated]\n")
+    own = files.records(spark, str(tmp_path / "r.tsv"), {"barcode": "id", "age": "age", "absent": "x", "status": "status"}, "id", "CASE", ("age",))
+    assert {tuple(r) for r in own.collect()} == {("CASE-1", 61.0, "Dead"), ("CASE-2", None, "[Not Evaluated]")}
     with gzip.open(tmp_path / "a.tsv.gz", "wt") as f:
         f.write("Probe_ID\tchrm\tmask\np1\tchrX\t1\n")
     assert [tuple(r) for r in files.annotation(spark, str(tmp_path / "a.tsv.gz"), ["Probe_ID", "chrm", "gone"]).collect()] == [("p1", "chrX")]
