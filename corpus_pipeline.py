@@ -14,7 +14,7 @@ from lathework.llm import bpe, langid, linedup, mixing, simhash
 from lathework.session import materialize
 
 #: Documents whose best language is less likely than this are rejected.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.3
 #: Near-duplicates are alike in their sets of five-word shingles: 0.8 or more, by fingerprints of 1,536 bits.
 NEAR_WORDS, NEAR_BITS = 5, simhash.WIDE_BITS
 

@@ -136,11 +136,19 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden section on its logarithm; 1 without rows."""
+def temperature(scores: np.ndarray, labels: np.ndarray, prior: float = 1.0) -> float:
+    """The temperature with the least log loss, by golden section on its logarithm; 1 without rows.
+
+    ``prior`` errors are assumed beside those seen, so that a model without
+    errors on n rows is not taken to be certain.
+    """
     if not len(labels):
         return 1.0
-    loss = lambda t: -np.mean(np.log(np.maximum(softmax(scores / math.exp(t))[np.arange(len(labels)), labels], 1e-12)))
+    k = scores.shape[1]
+    doubt = prior / (len(labels) + 2 * prior)
+    wanted = np.full(scores.shape, doubt / max(k - 1, 1))
+    wanted[np.arange(len(labels)), labels] = 1 - doubt
+    loss = lambda t: -np.mean((wanted * np.log(np.maximum(softmax(scores / math.exp(t)), 1e-300))).sum(axis=1))
     low, high, r = math.log(0.05), math.log(20.0), (math.sqrt(5) - 1) / 2
     for _ in range(60):
         a, b = high - r * (high - low), low + r * (high - low)

@@ -367,7 +367,7 @@ def test_op6_odd_rows(docs, odd, empty):
 
 def test_op6_parts():
     scores, labels = np.array([[4.0, 0], [3, 0], [0, 2], [2, 0]]), np.array([0, 0, 1, 1])
-    t = langid.temperature(scores, labels)
+    t = langid.temperature(scores, labels, 0)
     loss = lambda t: -np.log(langid.softmax(scores / t)[np.arange(4), labels]).mean()
     assert loss(t) <= min(loss(t * 1.05), loss(t / 1.05)) + 1e-9
     rows = langid.sparse_rows(["Abc ab", None, "12"])
