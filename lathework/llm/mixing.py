@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     top = float(limit)
     rate = F.coalesce(F.least(F.lit(top), F.exp("lambda")), F.lit(0.0))
     per = dual.withColumn("rate", rate).withColumn("base", F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(limit))).cast("long"))
-    per = per.withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("source_size")))
+    per = per.withColumn("need", F.floor(F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("source_size")) + 1e-6))
     # the bin of hashes in which the running sum passes what is needed
     run = Window.partitionBy("has", "source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     edges = bins.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).join(per, ["has", "source"])
