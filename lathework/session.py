@@ -40,15 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage: what is lost with an executor is read again from the folder.
+    ``replaces`` is an earlier result of this function, say of the round before,
+    that nothing will read any more: its files go once the new ones are there.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    old = getattr(replaces, "_lathework_path", None)
+    if old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lathework_path = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
