@@ -223,9 +223,14 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     return Model(classes, w[:DIM] * idf[:, None] / t, w[DIM] / t)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, ``lang_pred``, ``score``. Null texts and texts without letters are ``und`` with score 0."""
-    return map_texts(docs, keep or [id_col], text_col, lambda: lambda texts: list(model.predict(texts)), [("lang_pred", "string"), ("score", "double")])
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Per row: id, ``lang_pred``, ``score``. Null texts and texts without letters are ``und`` with score 0.
+
+    With ``keep`` other columns are returned than the id; one that has a name of
+    ``names`` gives way to the result.
+    """
+    kept = [c for c in keep or [id_col] if c not in names]
+    return map_texts(docs, kept, text_col, lambda: lambda texts: list(model.predict(texts)), [(names[0], "string"), (names[1], "double")])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

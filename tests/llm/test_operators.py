@@ -35,12 +35,13 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in any column, empty and very long texts, repeated rows, columns whose names clash with results."""
-    return spark.createDataFrame(ODD, SCHEMA)
+    clash = {c: F.lit("other") for c in ("score", "lang_pred", "n_lines", "shard", "slot", "rate", "copies", "kept", "d2", "fingerprint", "component_id", "id", "hash", "salt")}
+    return spark.createDataFrame(ODD, SCHEMA).withColumns(clash)
 
 
 @pytest.fixture(scope="session")
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA).withColumn("score", F.lit("other"))
 
 
 @pytest.fixture(scope="session")
