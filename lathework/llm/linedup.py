@@ -48,7 +48,7 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text_col``, and ``n_lines``, ``n_removed``.
+    """``docs`` with boilerplate lines taken out of ``text_col``, and ``n_lines``, ``n_removed`` (in place of columns so named).
 
     Lines are the parts between ``\\n``; blank lines are never removed. Kept
     lines keep their order and white space. Null and empty texts are returned as
@@ -61,7 +61,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: f
     hashed = materialize(hashed, "line_hashes")
     spread = materialize(spread_lines(hashed.select(F.explode("lines").alias("line"), "site"), min_sites, lg_k), "spread_lines")
     # sets of a text's own boilerplate lines; texts with equal keys share them, which is harmless: membership is tested line by line
-    own = hashed.select("_key", F.explode(F.array_distinct("lines")).alias("line")).join(spread.select("line"), "line", "left_semi").groupBy("_key").agg(F.collect_set("line").alias("_drop"))
+    own = hashed.select("_key", F.explode(F.array_distinct("lines")).alias("line")).join(spread.select("line"), "line", "left_semi").distinct().groupBy("_key").agg(F.collect_set("line").alias("_drop"))
+    # a merge join of two plain exchanges at every size: what a hot key brings together can be split
+    own = materialize(own, "drops").hint("merge")
     keyed = docs.withColumn("_key", F.xxhash64(text_col)).join(own, "_key", "left").withColumn("_lines", lines)
     keep = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", line_hash(x)))
     size = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(F.trim(x)))
@@ -72,7 +74,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: f
         .withColumn("n_removed", F.when(F.col("_carrier"), F.size("_lines") - F.size("_keep")).otherwise(F.lit(0)).cast("long"))
         .withColumn(text_col, F.when(F.col("_carrier"), F.array_join("_keep", "\n")).otherwise(F.col(text_col)))
     )
-    return trimmed.select(*docs.columns, "n_lines", "n_removed")
+    return trimmed.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
