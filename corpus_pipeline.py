@@ -15,7 +15,7 @@ from lathework.session import materialize
 
 #: Documents whose best language is less likely than this are rejected.
 MIN_LANGUAGE_SCORE = 0.3
-#: Near-duplicates are alike in their sets of five-word shingles: 0.8 or more, by fingerprints of 1,536 bits.
+#: Near-duplicates are alike in their sets of five-word shingles: 0.8 or more, by fingerprints of 2,048 bits.
 NEAR_WORDS, NEAR_BITS = 5, simhash.WIDE_BITS
 
 
@@ -26,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled row nothing can be told apart, and all texts with letters stay.
     """
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.identify(docs, model, keep=docs.columns)
-    sure = (F.col("score") >= MIN_LANGUAGE_SCORE) & (F.col("lang_pred") != langid.UNKNOWN) if model.classes else F.regexp_count("text", F.lit(r"\p{L}")) > 0
-    kept = found.where(sure).withColumn("lang", F.coalesce("lang", F.nullif(F.col("lang_pred"), F.lit(langid.UNKNOWN))))
+    found = langid.identify(docs, model, keep=docs.columns, names=("_lang", "_sure"))
+    sure = (F.col("_sure") >= MIN_LANGUAGE_SCORE) & (F.col("_lang") != langid.UNKNOWN) if model.classes else F.regexp_count("text", F.lit(r"\p{L}")) > 0
+    kept = found.where(sure).withColumn("lang", F.coalesce("lang", F.nullif(F.col("_lang"), F.lit(langid.UNKNOWN))))
     return kept.select(*docs.columns)
 
 
@@ -45,14 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice.
-
-    Rows equal in id, text and source are taken equally often.
-    """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    copies = mixing.mix(keyed, id_col="_key").groupBy("_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice. Texts stay where they are."""
+    done = mixing.apply_plan(docs, mixing.plan(docs.select("doc_id", "text", "source"))).where("_copies > 0")
+    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
+def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", max_rows: int = 5_000, copies: int = 32) -> DataFrame:
+    """Rows with their group's values, a row per group.
+
+    Up to ``max_rows`` groups (counted) are broadcast and the rows stay where
+    they are. More of them are joined by key, each group's row once for each
+    value 0..``copies``-1 of the rows' column ``salt``, which deals a hot group out.
+    """
+    small, is_small = bounded_broadcast(groups, max_rows)
+    if is_small:
+        return rows.join(small, keys, how)
+    return rows.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), [*keys, "salt"], how)
+
+
 def hash_sample(rows: DataFrame, most: int, n: int, *columns: str) -> DataFrame:
     """``most`` of ``n`` rows: those with the smallest hashes of ``columns``.
 

@@ -14,6 +14,7 @@ copies, and one more if its hash lies below its source's cut. The cut is where
 the running sum of sizes in hash order passes the words that are still needed,
 found on a histogram of hashes and then inside one bin. One or two single
 documents per source whose size fits the rest best are then added or left out.
+All this is a row per source; a document's copies follow from that row alone.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lathework.llm.common import documents, word_count
+from lathework.llm.common import documents, meet_groups, word_count
 from lathework.session import materialize
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2.0
-#: Copies of each per-source row, so that a hot source's documents meet it in as many places.
+#: Parts of each source where there are too many sources to broadcast their rows.
 SALT = 32
 BINS = 4_096
 
@@ -68,73 +69,101 @@ def solve(cells: DataFrame, tolerance: float = 1e-9, max_steps: int = 60) -> Dat
     state = materialize(state.withColumn("lambda", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.lit(0.0))), "dual")
     for _ in range(max_steps):
         moved = cells.select("has", "source", "words").join(state.select("has", "source", "lambda"), ["has", "source"]).groupBy("has", "source").agg(F.sum(F.col("words") * F.exp("lambda")).alias("mass"))
+        before = state
         state = state.join(moved, ["has", "source"]).withColumn("lambda", F.col("lambda") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - F.col("mass")) / F.col("mass")))).withColumn("gap", F.abs(F.col("mass") - F.col("target")) / F.col("target"))
-        state = materialize(state.select("has", "source", "source_size", "target", "lambda", "gap"), "dual")
+        state = materialize(state.select("has", "source", "source_size", "target", "lambda", "gap"), "dual", before)
         worst = state.agg(F.max("gap")).first()[0]
-        state = state.drop("gap")
         if worst is None or worst < tolerance:
             break
-    return state
+    return state.drop("gap")
 
 
-def _salted(per_source: DataFrame) -> DataFrame:
-    return per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with what a document's copies are decided by: source, size, hash, bin and salt."""
+    own = docs.withColumn("has", F.col(source_col).isNotNull().cast("int")).withColumn("source_key", F.coalesce(F.col(source_col), F.lit("")))
+    own = own.withColumn("_id", F.col(id_col)).withColumn("_size", word_count(F.col(text_col))).withColumn("_hash", F.xxhash64(F.lit("mix"), F.col("_id"), F.col("_size")))
+    return own.withColumn("_bin", F.pmod("_hash", F.lit(BINS)).cast("int")).withColumn("salt", F.pmod(F.shiftright("_hash", 20), F.lit(SALT)).cast("int"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
+_KEYS = ["has", "source_key"]
+_ROW = ("_hash", "_id", "_size")
 
-    Size is the number of words; a null text has none. A null source is a source
-    of its own. Equal rows are rounded one by one. Documents of size zero
-    get ``floor(rate)`` copies or one more like others of their hash and add no
-    words. No copies exceed ``ceil(limit)``. The result is the same at any
-    partitioning as long as ids are distinct; rows with equal ids, sizes and
-    sources may change places.
+
+def _extra() -> F.Column:
+    """Whether a document gets one copy more than its source's base: 0 or 1."""
+    inside = F.struct(*_ROW) <= F.col("last")
+    extra = F.when(F.col("_bin") < F.col("cut"), 1).when(F.col("_bin") > F.col("cut"), 0).when(F.col("last").isNotNull() & inside, 1).otherwise(0)
+    flipped = F.size(F.filter("flips", lambda f: (f["_hash"] == F.col("_hash")) & f["_id"].eqNullSafe(F.col("_id")) & (f["_size"] == F.col("_size"))))
+    return F.pmod(extra + flipped, F.lit(2)).cast("long")
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as a row per source, from which any document's copies follow.
+
+    ``base`` copies for all, one more for hashes in bins below ``cut`` and in the
+    bin ``cut`` up to the row ``last``; ``flips`` are single rows for which it is
+    the other way round. Rows equal in id, size and source are taken alike.
     """
-    has = F.col(source_col).isNotNull().cast("int").alias("has")
-    own = docs.select(F.col(id_col).alias("_id"), has, F.coalesce(F.col(source_col), F.lit("")).alias("source"), word_count(F.col(text_col)).alias("size"))
-    own = own.withColumn("hash", F.xxhash64(F.lit("mix"), F.col("_id"), F.col("size")))
-    own = own.withColumn("bin", F.pmod("hash", F.lit(BINS)).cast("int")).withColumn("salt", F.pmod(F.shiftright("hash", 20), F.lit(SALT)).cast("int"))
-    own = materialize(own, "sizes")
-    bins = materialize(own.groupBy("has", "source", "bin").agg(F.sum("size").alias("words")), "bins")
-    wanted = targets(bins.groupBy("has", "source").agg(F.sum("words").alias("source_size")), weights, share, limit)
-    wanted = materialize(wanted, "targets")
-    dual = solve(bins.join(wanted.select("has", "source", "target"), ["has", "source"]))
-
-    top = float(limit)
-    rate = F.coalesce(F.least(F.lit(top), F.exp("lambda")), F.lit(0.0))
+    # one unit per distinct row, so that equal rows count together
+    units = _keyed(docs, id_col, text_col, source_col).groupBy(*_KEYS, *_ROW, "_bin", "salt").agg((F.col("_size") * F.count("*")).alias("words"))
+    units = materialize(units, "sizes")
+    bins = materialize(units.groupBy(*_KEYS, "_bin").agg(F.sum("words").alias("words")), "bins")
+    named = {"source_key": "source"}
+    wanted = targets(bins.groupBy(*_KEYS).agg(F.sum("words").alias("source_size")).withColumnsRenamed(named), weights, share, limit)
+    wanted = materialize(wanted.withColumnRenamed("source", "source_key"), "targets")
+    dual = solve(bins.join(wanted.select(*_KEYS, "target"), _KEYS).withColumnsRenamed(named)).withColumnRenamed("source", "source_key")
+
+    rate = F.coalesce(F.least(F.lit(float(limit)), F.exp("lambda")), F.lit(0.0))
     per = dual.withColumn("rate", rate).withColumn("base", F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(limit))).cast("long"))
     per = per.withColumn("need", F.floor(F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("source_size")) + 1e-6))
     # the bin of hashes in which the running sum passes what is needed
-    run = Window.partitionBy("has", "source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edges = bins.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).join(per, ["has", "source"])
-    cut = edges.where((F.col("before") <= F.col("need")) & (F.col("before") + F.col("words") > F.col("need"))).select("has", "source", F.col("bin").alias("cut"), F.col("before").alias("cut_before"))
-    per = per.join(cut, ["has", "source"], "left").withColumn("cut", F.coalesce(F.col("cut"), F.when(F.col("need") > 0, F.lit(BINS)).otherwise(F.lit(-1))))
-    per = materialize(per, "rates")
-
-    keyed = own.join(_salted(per), ["has", "source", "salt"])
-    inside = keyed.where("bin = cut")
-    order = Window.partitionBy("has", "source").orderBy("hash", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.col("cut_before") + F.sum("size").over(order)).withColumn("extra", (F.col("upto") <= F.col("need")).cast("long")).drop("upto")
-    outside = keyed.where("bin <> cut").withColumn("extra", (F.col("bin") < F.col("cut")).cast("long"))
-    chosen = materialize(outside.unionByName(inside), "chosen")
+    run = Window.partitionBy(*_KEYS).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    edges = bins.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).join(per, _KEYS)
+    cut = edges.where((F.col("before") <= F.col("need")) & (F.col("before") + F.col("words") > F.col("need"))).select(*_KEYS, F.col("_bin").alias("cut"), F.col("before").alias("cut_before"))
+    per = per.join(cut, _KEYS, "left").withColumn("cut", F.coalesce(F.col("cut"), F.when(F.col("need") > 0, F.lit(BINS)).otherwise(F.lit(-1))))
+    per = materialize(per, "cuts")
+    # the last row in that bin, equal rows together
+    inside = meet_groups(units, per.select(*_KEYS, "cut", "cut_before", "need"), _KEYS, copies=SALT).where("_bin = cut")
+    upto = F.col("cut_before") + F.sum("words").over(Window.partitionBy(*_KEYS).orderBy(*_ROW))
+    last = inside.withColumn("upto", upto).where("upto <= need").groupBy(*_KEYS).agg(F.max(F.struct(*_ROW)).alias("last"))
+    none = F.filter(F.array(F.col("last")), lambda x: F.lit(False))
+    per = materialize(per.join(last, _KEYS, "left").withColumn("flips", none), "plan", per)
     for _ in range(2):
-        chosen = _fit(chosen, int(limit))
-    out = chosen.withColumn("copies", F.least(F.col("base") + F.col("extra"), F.lit(int(limit)))).select(
-        F.col("_id").alias(id_col), "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
-    return out
-
-
-def _fit(chosen: DataFrame, limit: int) -> DataFrame:
-    """Per source, the one document is flipped that brings the words taken closest to the target, if any does."""
-    gap = chosen.groupBy("has", "source", "salt").agg(F.sum((F.col("base") + F.col("extra")) * F.col("size")).alias("taken"), F.first("target").alias("target")).groupBy("has", "source").agg((F.first("target") - F.sum("taken")).alias("gap"))
-    scored = chosen.where(f"size > 0 and base < {limit}").join(_salted(gap), ["has", "source", "salt"]).withColumn("after", F.abs(F.col("gap") - F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size")))).where(F.col("after") < F.abs("gap"))
-    best = scored.groupBy("has", "source", "salt").agg(F.min(F.struct("after", "hash", "_id", "size")).alias("best")).groupBy("has", "source").agg(F.min("best").alias("best"))
-    flip = materialize(best.select("has", "source", F.col("best.hash").alias("flip_hash"), F.col("best._id").alias("flip_id"), F.col("best.size").alias("flip_size")), "flips")
-    hit = F.col("flip_hash").isNotNull() & (F.col("hash") == F.col("flip_hash")) & F.col("_id").eqNullSafe(F.col("flip_id")) & (F.col("size") == F.col("flip_size"))
-    joined = chosen.join(_salted(flip), ["has", "source", "salt"], "left")
-    return materialize(joined.withColumn("extra", F.when(hit, 1 - F.col("extra")).otherwise(F.col("extra"))).drop("flip_hash", "flip_id", "flip_size"), "chosen")
+        per = _fit(units, per, int(limit))
+    return per
+
+
+def _fit(units: DataFrame, per: DataFrame, limit: int) -> DataFrame:
+    """Per source, the one row is flipped that brings the words taken closest to the target, if any does."""
+    chosen = meet_groups(units, per, _KEYS, copies=SALT).withColumn("extra", _extra())
+    taken = chosen.groupBy(*_KEYS).agg(F.sum((F.col("base") + F.col("extra")) * F.col("words")).alias("taken"))
+    gap = materialize(per.join(taken, _KEYS).select(*_KEYS, (F.col("target") - F.col("taken")).alias("gap")), "gaps")
+    scored = meet_groups(chosen.where(f"words > 0 and base < {limit}"), gap, _KEYS, copies=SALT)
+    after = F.abs(F.col("gap") - F.when(F.col("extra") == 0, F.col("words")).otherwise(-F.col("words")))
+    best = scored.withColumn("after", after).where(F.col("after") < F.abs("gap")).groupBy(*_KEYS, "salt").agg(F.min(F.struct("after", *_ROW)).alias("best")).groupBy(*_KEYS).agg(F.min("best").alias("best"))
+    flip = best.select(*_KEYS, F.array(F.struct(*[F.col(f"best.{c}").alias(c) for c in _ROW])).alias("flip"))
+    return materialize(per.join(flip, _KEYS, "left").withColumn("flips", F.when(F.col("flip").isNull(), F.col("flips")).otherwise(F.concat("flips", "flip"))).drop("flip"), "plan", per)
+
+
+def apply_plan(docs: DataFrame, per: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with ``_size``, ``source_size``, ``target``, ``rate``, ``_copies`` (and helper columns): no row moves if sources are few."""
+    met = meet_groups(_keyed(docs, id_col, text_col, source_col), per, _KEYS, copies=SALT)
+    return met.withColumn("_copies", F.col("base") + _extra())
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row: id, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
+
+    Size is the number of words; a null text has none. A null source is a source
+    of its own. Rows equal in id, size and source are taken alike. Documents of
+    size zero get copies like others of their hash and add no words. No copies
+    exceed ``limit``. The result is the same at any partitioning. Other columns
+    are ignored.
+    """
+    own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("words_of"), F.col(source_col).alias("from"))
+    per = plan(own, weights, share, limit, "doc", "words_of", "from")
+    done = apply_plan(own, per, "doc", "words_of", "from")
+    return done.select(F.col("doc").alias(id_col), F.col("_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", "rate", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

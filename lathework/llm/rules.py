@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm.common import WORD, bounded_broadcast, documents
+from lathework.llm.common import WORD, documents, meet_groups
 from lathework.session import materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -129,14 +129,6 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", total).drop(*[f"_z{i}" for i in range(D)], *[f"m_{i}" for i in range(D)], *[f"l_{i}{j}" for i, j in PAIRS])
 
 
-def _meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with their group's values: by broadcast behind a count, else with each group's row dealt over a salt."""
-    small, is_small = bounded_broadcast(groups, 5_000)
-    if is_small:
-        return rows.join(small, keys)
-    return rows.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, "salt"])
-
-
 def outlier_distance(rows: DataFrame, h: float = H, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """``rows (lang_key, source_key, salt, x0..)`` with ``d2``, the squared robust distance within their group.
 
@@ -154,7 +146,7 @@ def outlier_distance(rows: DataFrame, h: float = H, steps: int = STEPS, min_grou
         F.when((F.col("n") >= min_group) | (F.col("n_lang") >= min_group), F.col("lang_key")).otherwise(F.lit("*")).alias("g_lang"),
         F.when(F.col("n") >= min_group, F.col("source_key")).otherwise(F.lit("*")).alias("g_source"),
     )
-    own = _meet(rows, materialize(level, "levels"), keys)
+    own = meet_groups(rows, materialize(level, "levels"), keys)
     own = materialize(own, "vectors")
     keys = ["g_lang", "g_source"]
     def sums(kept: DataFrame | None) -> DataFrame:
@@ -163,15 +155,15 @@ def outlier_distance(rows: DataFrame, h: float = H, steps: int = STEPS, min_grou
 
     state = materialize(_estimate(sums(None), keys), "estimates")
     for _ in range(steps):
-        scored = _distance(_meet(own, state.drop("n"), keys))
+        scored = _distance(meet_groups(own, state.drop("n"), keys))
         limit = materialize(scored.groupBy(*keys).agg(F.percentile_approx("d2", h, 1_000).alias("d_h")), "limits")
-        kept = _meet(scored, limit, keys).where("d2 <= d_h")
+        kept = meet_groups(scored, limit, keys).where("d2 <= d_h")
         state = materialize(_estimate(sums(kept), keys), "estimates")
-    scored = _distance(_meet(own, state.withColumnRenamed("n", "n_core"), keys))
+    scored = _distance(meet_groups(own, state.withColumnRenamed("n", "n_core"), keys))
     middle = materialize(scored.groupBy(*keys).agg(F.percentile_approx("d2", 0.5, 1_000).alias("d_half"), F.count("*").alias("n_group")), "medians")
     chi_half = D * (1 - 2 / (9 * D)) ** 3
     scale = F.greatest(F.col("d_half") / F.lit(chi_half), F.lit(1.0))
-    return _meet(scored, middle, keys).withColumn("d2", F.col("d2") / scale)
+    return meet_groups(scored, middle, keys).withColumn("d2", F.col("d2") / scale)
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
