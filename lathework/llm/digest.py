@@ -206,8 +206,8 @@ def digest_with_next(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id",
     """Digests of every text and of its edit, and likenesses with the edit and the next document.
 
     The next document is the next in ascending id, equal ids by text hash and
-    text, null ids first; after the last comes the first. Ids are cut into
-    ranges; each range also gets the first row of the next one, so rows stream
+    text, null ids first; after the last comes the first. Ids are numbers; they
+    are cut into ranges; each range also gets the first row of the next one, so rows stream
     through sorted partitions with one text held back. Null texts count as empty.
     """
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))

@@ -18,10 +18,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lathework.llm.common import documents
+from lathework.llm.common import documents, range_parts
 from lathework.session import materialize
 
 ROUNDS, PRIME = 6, 2_147_483_647
@@ -113,43 +113,25 @@ def row_numbers(rows: DataFrame, order: list[str], target: str, per_range: int =
     rows apart and at most ``max_ranges``, which bounds what the driver holds. The
     numbers are those of one global sort.
     """
-    key = order[0]
-    n = rows.count()
-    ranges = min(max_ranges, max(1, math.ceil(n / per_range)))
-    cuts: list = []
-    if ranges > 1:
-        q = [k / ranges for k in range(1, ranges)]
-        cuts = sorted(set(rows.agg(F.percentile_approx(key, q, 10 * max(1_000, ranges))).first()[0] or []))
-    part = F.lit(0)
-    if cuts:
-        # a binary search over the sorted cuts, as nested conditions of depth log2(ranges)
-        def search(low: int, high: int) -> Column:
-            if low == high:
-                return F.lit(low)
-            mid = (low + high) // 2
-            return F.when(F.col(key) > F.lit(cuts[mid]), search(mid + 1, high)).otherwise(search(low, mid))
-
-        part = F.when(F.col(key).isNull(), F.lit(0)).otherwise(search(0, len(cuts)))
+    part, _ = range_parts(rows, order[0], per_range, max_ranges)
     dealt = rows.withColumn("_part", part)
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = {}
-    total = 0
-    for p, k in sorted(counts.collect()):  # one row per range
-        ahead[p] = total
-        total += k
-    offset = F.element_at(F.create_map(*[F.lit(v) for p, k in ahead.items() for v in (p, k)]), F.col("_part")) if ahead else F.lit(0)
+    counts = dict(dealt.groupBy("_part").agg(F.count("*")).collect())  # a row per range
+    ahead, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        ahead.append(total)
+        total += counts.get(p, 0)
     w = Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbered = dealt.withColumn(target, (F.row_number().over(w) - 1 + offset).cast("long")).drop("_part")
-    return numbered, n
+    number = F.row_number().over(w) - 1 + F.element_at(F.lit(ahead), F.col("_part") + 1)
+    return dealt.withColumn(target, number.cast("long")).drop("_part"), total
 
 
 def shards(docs: DataFrame, n_shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``row_number``.
 
-    Size is the text's UTF-8 bytes plus one; a null text counts as empty. Equal
-    ids are ordered by checksum and size; rows equal in all three take
-    neighbouring numbers in any order. Other columns are ignored; an empty
-    table gives no rows.
+    Size is the text's UTF-8 bytes plus one; a null text counts as empty. Ids
+    are numbers; null ones come first. Equal ids are ordered by checksum and
+    size; rows equal in all three take neighbouring numbers in any order. Other
+    columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
