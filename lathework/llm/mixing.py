@@ -104,9 +104,13 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     bin ``cut`` up to the row ``last``; ``flips`` are single rows for which it is
     the other way round. Rows equal in id, size and source are taken alike.
     """
+    return _plan(_keyed(docs, id_col, text_col, source_col), weights, share, limit)
+
+
+def _plan(keyed: DataFrame, weights: tuple[int, ...], share: float, limit: float) -> DataFrame:
     # one unit per distinct row, so that equal rows count together
-    units = _keyed(docs, id_col, text_col, source_col).groupBy(*_KEYS, *_ROW, "_bin", "salt").agg((F.col("_size") * F.count("*")).alias("words"))
-    units = materialize(units, "sizes")
+    units = keyed.groupBy(*_KEYS, *_ROW, "_bin", "salt").agg((F.col("_size") * F.count("*")).alias("words"))
+    units = materialize(units, "units")
     bins = materialize(units.groupBy(*_KEYS, "_bin").agg(F.sum("words").alias("words")), "bins")
     named = {"source_key": "source"}
     wanted = targets(bins.groupBy(*_KEYS).agg(F.sum("words").alias("source_size")).withColumnsRenamed(named), weights, share, limit)
@@ -161,8 +165,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     are ignored.
     """
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("words_of"), F.col(source_col).alias("from"))
-    per = plan(own, weights, share, limit, "doc", "words_of", "from")
-    done = apply_plan(own, per, "doc", "words_of", "from")
+    own = materialize(_keyed(own, "doc", "words_of", "from").drop("words_of", "from"), "sizes")  # words are counted once
+    done = meet_groups(own, _plan(own, weights, share, limit), _KEYS, copies=SALT).withColumn("_copies", F.col("base") + _extra())
     return done.select(F.col("doc").alias(id_col), F.col("_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", "rate", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
