@@ -1,0 +1,199 @@
+"""Near-duplicates by the exact Jaccard similarity of shingle sets.
+
+Candidates come from prefixes: under any one order of all shingles, two sets of
+similarity ``t`` or more share a shingle among the first ``n - ceil(t n) + 1`` of
+each. No link is missed, whatever the sizes of the sets. The order is that of the
+shingles' hashes, but shingles that a sample finds in many texts come last, so
+that common passages bring few texts together.
+
+Every candidate is verified by the similarity of the whole sets. Before these
+move, candidates are thinned by parity bits: a shingle that one of two sets has
+flips one bit at most, so bits that differ in more than the number of shingles
+that ``t`` lets differ rule a pair out, and no pair of ``t`` is ruled out.
+Shingles are told apart by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lathework.llm.common import bounded_broadcast, map_texts
+from lathework.llm.simhash import SEED, components
+from lathework.session import materialize
+
+SIMILARITY = 0.8
+#: One text in SAMPLE counts for the order; a shingle in COMMON of them comes last; MAX_COMMON of these are known at most. They change what is compared, never the links.
+SAMPLE, COMMON, MAX_COMMON = 8, 2, 100_000
+#: Shingles with more texts are compared in numpy, in pieces of CHUNK.
+DENSE, CHUNK = 64, 1_024
+#: Parity bits of a set, in 64s.
+WORDS = 16
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted; of a shorter text all its words are one. Lower case and words are as in ``simhash``."""
+    own = (text or "").encode("utf-8", "replace").lower().split()
+    if not own:
+        return np.zeros(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(b" ".join(x), SEED) for x in zip(*(own[k:] for k in range(words)), strict=False)] if len(own) > words else [digest(b" ".join(own), SEED)]
+    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount(shingles & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_be(differ, n, m, similarity: float):
+    """Whether sets of n and m shingles whose parity differs in so many bits can be alike."""
+    return differ * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-9
+
+
+def _alike(both, n, m, similarity: float):
+    return both * (1 + similarity) >= similarity * (n + m) - 1e-9
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(id, n, key)``: the shingles of each set's prefix. Repeats of a set repeat."""
+    seen = sets.where(F.pmod("id", F.lit(SAMPLE)) == 0).select(F.explode("sh").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    common = sorted((r["key"], r["c"]) for r in seen.where(F.col("c") >= COMMON).orderBy(F.desc("c"), "key").limit(MAX_COMMON).collect())
+    last = sets.sparkSession.sparkContext.broadcast((np.array([k for k, _ in common] or [0], np.int64), np.array([c for _, c in common] or [0], np.int32)))
+
+    def work(batches):
+        names, often = last.value
+        for batch in batches:
+            lists = batch.column("sh")
+            edge = lists.offsets.to_numpy()
+            sh = lists.values.to_numpy()[edge[0] : edge[-1]].astype(np.int64)
+            n = np.diff(edge).astype(np.int32)
+            owner = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(names, sh), len(names) - 1)
+            order = np.lexsort((sh, np.where(names[at] == sh, often[at], 0), owner))
+            first = (np.arange(len(sh)) - (edge[:-1] - edge[0])[owner]) < (n - np.ceil(n * similarity - 1e-9).astype(np.int32) + 1)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[owner[first]]), pa.array(n[owner[first]]), pa.array(sh[order][first])], names=["id", "n", "key"])
+
+    return sets.where("n > 0").select("id", "sh").mapInArrow(work, "id long, n int, key long")
+
+
+def links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(u, v)``, u < v, between sets ``(row, id, n, sh, bits)`` of ``similarity`` or more, equal sets having equal ids
+    and each row its own number.
+
+    All pairs are within ``similarity``. Texts of a shingle with over ``DENSE`` of
+    them are compared ``CHUNK`` by ``CHUNK``; a comparison returns a spanning
+    forest of its links, never the pairs. Shingles with the same texts are compared once.
+    """
+    # keys move once: repeats go and texts are counted where a key's rows have met; a text has few rows for a key
+    keyed = prefixes(sets, similarity).repartition("key").dropDuplicates(["key", "id", "n"])
+    own = Window.partitionBy("key")
+    met = materialize(keyed.select("*", F.count("*").over(own).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).over(own).alias("who")).where("c > 1"), "met_prefixes")
+    # of keys with the same texts one stands for all
+    shared = materialize(met.join(met.groupBy("c", "who").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").drop("who"), "shared_prefixes", met)
+    some = shared.where(F.col("c") <= DENSE)
+    pairs = (
+        some.select("key", F.col("id").alias("u"), F.col("n").alias("nu"))
+        .join(some.select("key", F.col("id").alias("v"), F.col("n").alias("nv")), "key")
+        .where(F.expr("u < v") & _alike(F.least("nu", "nv"), F.col("nu"), F.col("nv"), similarity))
+        .select("u", "v")
+        .distinct()
+    )
+    bits = materialize(sets.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "parity")
+    differ = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    pairs = (
+        pairs.join(bits.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u")
+        .join(bits.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v")
+        .where(_may_be(differ, F.col("nu"), F.col("nv"), similarity))
+    )
+    pairs = materialize(pairs.select("u", "v"), "pairs")
+    many = shared.where(F.col("c") > DENSE).select("key", "id", F.ceil(F.col("c") / CHUNK).cast("int").alias("parts"))
+    many = many.withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meets = many.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id").join(bits, "id")
+    meets = materialize(meets.groupBy("key", "x", "y").applyInArrow(_meeting(similarity), "key long, x int, y int, id long"), "meetings")
+    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(meets.select("id")).distinct()
+    # the sets that are compared, each from one of its rows
+    needed = sets.select("id", "row").join(needed, "id").groupBy("id").agg(F.min("row").alias("row")).select("row")
+    needed, _ = bounded_broadcast(materialize(needed, "needed"), 200_000)
+    full = materialize(sets.join(needed, "row", "left_semi").select("id", "sh"), "needed_sets")
+    both = F.size(F.array_intersect("su", "sv"))
+    verified = (
+        pairs.join(full.select(F.col("id").alias("u"), F.col("sh").alias("su")), "u")
+        .join(full.select(F.col("id").alias("v"), F.col("sh").alias("sv")), "v")
+        .where(_alike(both, F.size("su"), F.size("sv"), similarity))
+        .select("u", "v")
+    )
+    meets = meets.join(full, "id")
+    return verified.union(meets.groupBy("key", "x", "y").applyInArrow(_forest(similarity), "u long, v long")).distinct()
+
+
+def _meeting(similarity: float):
+    """The texts of a comparison that parity does not keep apart from all others."""
+
+    def work(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_numpy()
+        lists = group.column("bits").combine_chunks()
+        bits = lists.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+        stay = np.zeros(len(n), bool)
+        for k in range(len(n) - 1):
+            differ = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            may = _may_be(differ, n[k + 1 :], n[k], similarity)
+            stay[k] |= may.any()
+            stay[k + 1 :] |= may
+        return group.select(["key", "x", "y", "id"]).filter(pa.array(stay))
+
+    return work
+
+
+def _forest(similarity: float):
+    def work(group: pa.Table) -> pa.Table:
+        ids = group.column("id").to_numpy()
+        sets = group.column("sh").combine_chunks()
+        edge = sets.offsets.to_numpy()
+        values = np.unique(sets.values.to_numpy(), return_inverse=True)[1]
+        size = np.diff(edge)
+        owner = np.repeat(np.arange(len(ids)), size)
+        # the texts of each shingle, so that a set meets only those that share some
+        order = np.argsort(values, kind="stable")
+        texts, starts = owner[order], np.searchsorted(values[order], np.arange(values.max() + 2 if len(values) else 1))
+        root = np.arange(len(ids))
+        out = []
+        for k in range(len(ids) - 1):
+            if (root[k + 1 :] == root[k]).all():
+                continue
+            mine = values[edge[k] : edge[k + 1]]
+            shared = np.bincount(np.concatenate([texts[starts[v] : starts[v + 1]] for v in mine]), minlength=len(ids))
+            near = np.nonzero((root != root[k]) & (shared * (1 + similarity) >= similarity * (size + size[k]) - 1e-9))[0]
+            for q in near[near > k]:
+                if root[q] != root[k]:
+                    root[root == root[q]] = root[k]
+                    out.append((min(ids[k], ids[q]), max(ids[k], ids[q])))
+        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
+
+    return work
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, component_id)`` for every row: texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more are linked.
+
+    Null texts count as empty; texts without words are alike. Rows repeat as in ``docs``.
+    """
+
+    def make():
+        def of(texts: list) -> list[list]:
+            sets = [shingle_set(x, words) for x in texts]
+            return [[xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], [len(s) for s in sets], sets, [parity(s) for s in sets]]
+
+        return of
+
+    own = map_texts(docs, [id_col], text_col, make, [("id", "long"), ("n", "int"), ("sh", "array<long>"), ("bits", "array<long>")]).withColumnRenamed(id_col, "_id")
+    own = materialize(own.withColumn("row", F.monotonically_increasing_id()), "shingle_sets")
+    roots = components(links(own.select("row", "id", "n", "sh", "bits"), similarity))
+    own = materialize(own.select("_id", "id"), "near_ids", own)  # the sets go
+    named = own.groupBy("id").agg(F.min("_id").alias("rep")).join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = materialize(named, "near_roots")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return own.select("_id", "id").join(named.join(least, "root").select("id", "component_id"), "id").select(F.col("_id").alias(id_col), "component_id")

@@ -10,11 +10,6 @@ themselves. Their members go through an exact linear way: fingerprints are
 within ``d`` bits iff the balls of radius ``floor(d/2)`` and ``ceil(d/2)``
 around them meet, so each member is sent to the points of its ball and linked
 there to the smallest member. The links are the same up to connectivity.
-
-Near-duplicates by a similarity such as 0.8 of five-word shingle sets differ in
-far more bits than pigeonhole blocks of a 64-bit fingerprint can bear. For them
-``near_duplicates_wide`` takes fingerprints of 2,048 bits by the same method:
-blocks, a join on blocks, verification of the whole Hamming distance.
 """
 
 from __future__ import annotations
@@ -144,128 +139,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col:
     return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
-WIDE_WORDS, WIDE_BLOCK, WIDE_BITS, WIDE_FIRST = 32, 24, 320, 22
-#: Blocks with more fingerprints are compared in numpy, in pieces of CHUNK.
-DENSE, CHUNK = 16, 1_024
-
-
-def _odd_multipliers(size: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1)
-
-
-def wide_fingerprint(text: str | None, words: int, multipliers: np.ndarray) -> np.ndarray:
-    """``64 * len(multipliers)`` majority bits over the distinct shingles' hashes; zeros if there are no words."""
-    own = (text or "").encode("utf-8", "replace").lower().split()
-    if not own:
-        return np.zeros(len(multipliers), np.int64)
-    digest = xxhash.xxh64_intdigest
-    shingles = {b" ".join(x) for x in zip(*(own[k:] for k in range(words)), strict=False)} if len(own) > words else {b" ".join(own)}
-    hashes = np.fromiter((digest(x, SEED) for x in shingles), np.uint64, len(shingles))
-    total = np.zeros(64 * len(multipliers), np.int64)
-    for at in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
-        x = hashes[at : at + 255, None] * multipliers[None, :]
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64)
-
-
-def wide_fingerprints(docs: DataFrame, words: int, size: int, id_col: str, text_col: str, seed: int = 1) -> DataFrame:
-    """``(id, fp)`` with ``fp`` an array of ``size`` longs."""
-
-    def make():
-        multipliers = _odd_multipliers(size, seed)
-        return lambda texts: [[wide_fingerprint(x, words, multipliers) for x in texts]]
-
-    return map_texts(docs, [id_col], text_col, make, [("fp", "array<long>")])
-
-
-def _block_keys(fp: str, size: int, width: int) -> list[Column]:
-    """The disjoint blocks of ``width`` bits as numbers."""
-    out = []
-    for at in range(0, 64 * size - width + 1, width):
-        word, off = divmod(at, 64)
-        low = F.shiftrightunsigned(F.get(fp, F.lit(word)), off)
-        key = low if off + width <= 64 else low.bitwiseOR(F.shiftleft(F.get(fp, F.lit(word + 1)), 64 - off))
-        out.append(key.bitwiseAND(F.lit((1 << width) - 1)))
-    return out
-
-
-def wide_links(reps: DataFrame, size: int, max_bits: int, width: int = WIDE_BLOCK, first_bits: int = WIDE_FIRST, dense: int = DENSE) -> DataFrame:
-    """Links ``(u, v)``, u < v, between fingerprints ``(id, fp)`` that share a block and differ in at most ``max_bits`` bits.
-
-    A pair must also be within ``first_bits`` in the first 64 bits: at the rates
-    of bits that ``max_bits`` stands for, four standard deviations; this check
-    needs no more than the block's row has. Members of blocks with over
-    ``dense`` fingerprints are compared in numpy, ``CHUNK`` by ``CHUNK``; a
-    comparison returns a spanning forest of its links, never the pairs.
-    """
-    keyed = reps.select("id", F.get("fp", F.lit(0)).alias("w"), F.posexplode(F.array(*_block_keys("fp", size, width))).alias("k", "key"))
-    n = keyed.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(n, ["k", "key"]), "wide_blocks")
-    some = shared.where(F.col("n") <= dense)
-    close = (
-        some.select("k", "key", F.col("id").alias("u"), F.col("w").alias("a"))
-        .join(some.select("k", "key", F.col("id").alias("v"), F.col("w").alias("b")), ["k", "key"])
-        .where(f"u < v and bit_count(a ^ b) <= {first_bits}")
-        .select("u", "v")
-        .distinct()
-    )
-    far = F.aggregate(F.zip_with("fu", "fv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    verified = close.join(reps.select(F.col("id").alias("u"), F.col("fp").alias("fu")), "u").join(reps.select(F.col("id").alias("v"), F.col("fp").alias("fv")), "v").where(far <= max_bits).select("u", "v")
-
-    # large blocks: chunk by chunk, every pair of chunks once
-    many = shared.where(F.col("n") > dense).select("k", "key", "id", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
-    many = many.withColumn("part", F.pmod(F.xxhash64("id", "k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = many.select("k", "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id").join(reps, "id")
-    return verified.union(meets.groupBy("k", "key", "x", "y").applyInArrow(_forest(max_bits, first_bits), "u long, v long")).distinct()
-
-
-def _forest(max_bits: int, first_bits: int):
-    import pyarrow as pa
-
-    def work(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        fps = np.array(group.column("fp").to_pylist(), dtype=np.int64).view(np.uint64)
-        root = np.arange(len(ids))
-        out = []
-        for k in range(len(ids) - 1):
-            x = fps[k + 1 :] ^ fps[k]
-            near = np.nonzero((np.bitwise_count(x[:, 0]) <= first_bits) & (np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= max_bits))[0] + k + 1
-            for q in near[root[near] != root[k]]:
-                if root[q] != root[k]:
-                    root[root == root[q]] = root[k]
-                    out.append((min(ids[k], ids[q]), max(ids[k], ids[q])))
-        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
-
-    return work
-
-
-def near_duplicates_wide(docs: DataFrame, words: int = 5, max_bits: int = WIDE_BITS, size: int = WIDE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, component_id)`` for every row, for near-duplicates that 64 bits are too coarse for.
-
-    Two sets of shingles with Jaccard similarity J differ in a share
-    ``acos(2J / (1 + J)) / pi`` of their fingerprints' bits, 15.1 per cent at
-    J = 0.8. With 2,048 bits that is 310 with a standard deviation of 16;
-    ``max_bits`` defaults to 320. A pair of J = 0.8 shares one of the 85 blocks
-    of 24 bits with a chance of 0.81, of J = 0.85 with 0.95, of J = 0.9 with
-    0.998. Unrelated texts meet in a block by chance: about n^2 / 2^25 pairs for
-    each block, so for many more than 10^7 distinct texts take blocks a bit wider
-    for each doubling. Null texts count as empty; empty texts are alike. Rows
-    repeat as in ``docs``.
-    """
-    own = wide_fingerprints(docs, words, size, id_col, text_col).select(F.col(id_col).alias("_id"), "fp", F.xxhash64("fp").alias("id"))
-    own = materialize(own, "wide_fingerprints")
-    reps = own.groupBy("id").agg(F.min("_id").alias("rep"), F.first("fp").alias("fp"))
-    reps = materialize(reps, "wide_classes")
-    roots = components(wide_links(reps.select("id", "fp"), size, max_bits))
-    named = reps.select("id", "rep").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = materialize(named, "wide_roots")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return own.select("_id", "id").join(named.join(least, "root").select("id", "component_id"), "id").select(F.col("_id").alias(id_col), "component_id")
-
-
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component of ``found (id, component_id)``: the row with the smallest id, and of repeats of it one.
 

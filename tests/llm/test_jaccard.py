@@ -1,0 +1,59 @@
+"""Near-duplicates of the pipeline against brute force over all pairs."""
+
+import itertools
+import random
+
+import pytest
+
+import corpus_pipeline as P
+from lathework.llm import jaccard
+
+
+def shingles(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) > n else {tuple(words)}
+
+
+def changed(words, at, rng):
+    return [f"new{rng.random()}" if k in at else w for k, w in enumerate(words)]
+
+
+def texts():
+    """Short and long texts with a cut end or changed words, on both sides of 0.8, a common passage, and a large group of near copies."""
+    rng = random.Random(7)
+    out = []
+    for q in range(120):
+        n = [8, 9, 10, 12, 16, 30, 129, 400][q % 8]
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 1)]
+        out += [words[:-1], words]
+        if n > 100:
+            out += [changed(words, {rng.randrange(n) for _ in range(k)}, rng) for k in (1, 2, 3, 6, 12)]
+    passage = [f"p{k}" for k in range(60)]
+    out += [[f"q{k}x{j}" for j in range(40)] + passage for k in range(60)]
+    base = [f"b{k}" for k in range(150)]
+    out += [changed(base, {rng.randrange(150) for _ in range(3)}, rng) for _ in range(60)]
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("common", [jaccard.COMMON, 1])
+def test_all_links(spark, monkeypatch, common):
+    """The components are those of all pairs with 0.8 or more, pairs of 4 and 5 shingles among them."""
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    own = dict(enumerate(texts()))
+    sets = {i: shingles(t) for i, t in own.items()}
+    parent = {i: i for i in own}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = [(a, b) for a, b in itertools.combinations(own, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sum(5 * len(sets[a] & sets[b]) == 4 * len(sets[a] | sets[b]) for a, b in near) >= 15
+    for a, b in near:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in own.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert found == {i: find(i) for i in own}
+    assert {r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect()} == {i for i in own if find(i) == i}
