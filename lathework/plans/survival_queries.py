@@ -72,7 +72,7 @@ def concordance_index(spark, d):
     return rounded(S.concordance(patients(spark, d)), "c")
 
 
-_B = 50
+_B = 1_000
 _RANKED = f"(select *, row_number() over (order by pid) - 1 as rank, (pid * 7919 % 1009)::double as other from {PATIENTS})"
 _BOOT = f"""(with p as materialized {_RANKED}, n as (select count(*) as n from p), w as materialized (select b, cast('0x' || substr(md5('b-' || b || '-' || k), 1, 8) as bigint) % n as rank, count(*) as m from (select unnest(range(0, {_B})) as b) x, (select unnest(range(0, (select n from n))) as k) y, n group by 1, 2),
  pairs as materialized (select a.rank as i, b.rank as j, case when a.risk > b.risk then 1.0 when a.risk = b.risk then 0.5 else 0 end as g, case when a.other > b.other then 1.0 when a.other = b.other then 0.5 else 0 end as h from p a join p b on {_CMP})
