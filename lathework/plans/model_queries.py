@@ -62,7 +62,7 @@ def k_selection(spark, d):
     """A record for each k; the first k with the largest silhouette is primary."""
     ids, w = _graph(spark, d)
     ref = _labels(spark, d, ids)
-    out = pd.DataFrame([L.clustering_record(w, k, ref, seeds=5 if k == 2 else 2) for k in range(2, 7)])
+    out = pd.DataFrame([L.clustering_record(w, k, ref, seeds=10 if k == 2 else 2) for k in range(2, 7)])
     out["primary"] = np.arange(len(out)) == int(np.argmax(np.round(out["silhouette"], 12)))
     return spark.createDataFrame(out)
 
@@ -142,8 +142,12 @@ def cohort(spark, d):
     return orders, account
 
 
-def _folds(spark, d, seeds: int = 2):
-    return folds(spark, d).where(F.col("seed") < seeds).withColumnRenamed("pid", "id")
+#: Of the five seeds the one whose out-of-fold risks are used.
+PRIMARY_SEED = 2
+
+
+def _folds(spark, d):
+    return folds(spark, d).withColumnRenamed("pid", "id")
 
 
 @query("cox_cross_validation")
@@ -151,7 +155,7 @@ def cox_cross_validation(spark, d):
     """Repeated cross-validation with tuned penalties: fold means and deviations per method, with the average of both methods' risks."""
     orders, account = cohort(spark, d)
     rows = orders.unionByName(account)
-    oof = C.cross_validate(rows, _folds(spark, d), alphas=(0.01, 0.1, 1.0)).drop("alpha")
+    oof = C.cross_validate(rows, _folds(spark, d)).drop("alpha")
     return C.summary(C.fold_scores(oof.unionByName(C.late_average(oof)), rows))
 
 
@@ -160,7 +164,7 @@ def cox_late_concat(spark, d):
     """Both feature sets side by side in one model."""
     orders, account = cohort(spark, d)
     rows = orders.join(account.select("id", F.col("vec").alias("v2")), "id").select(F.lit("late_concat").alias("method"), "id", "time", "event", F.concat("vec", "v2").alias("vec"))
-    return C.summary(C.fold_scores(C.cross_validate(rows, _folds(spark, d), alphas=(0.1,)), rows))
+    return C.summary(C.fold_scores(C.cross_validate(rows, _folds(spark, d)), rows))
 
 
 @query("cox_covariate_adjusted")
@@ -169,14 +173,14 @@ def cox_covariate_adjusted(spark, d):
     orders, _ = cohort(spark, d)
     extra = patients(spark, d).select(F.col("pid").alias("id"), F.when(F.col("pid") % 5 > 0, F.col("risk")).alias("age"), F.when(F.col("pid") % 7 > 0, F.col("stage").cast("double")).alias("stage"))
     rows = orders.join(extra, "id").select(F.lit("adjusted").alias("method"), "id", "time", "event", F.concat("vec", F.array("age", "stage")).alias("vec"))
-    return C.summary(C.fold_scores(C.cross_validate(rows, _folds(spark, d), alphas=(0.1,), impute=2), rows))
+    return C.summary(C.fold_scores(C.cross_validate(rows, _folds(spark, d), impute=2), rows))
 
 
 @query("cox_oof_bootstrap")
 def cox_oof_bootstrap(spark, d):
     """Out-of-fold risks of one seed, their concordance and its interval, with the paired difference of two methods."""
     orders, account = cohort(spark, d)
-    oof = C.cross_validate(orders.unionByName(account), _folds(spark, d, 1), alphas=(0.1,))
+    oof = C.cross_validate(orders.unionByName(account), _folds(spark, d).where(F.col("seed") == PRIMARY_SEED))
     wide = oof.groupBy("id").agg(*[F.max(F.when(F.col("method") == m, F.col("risk"))).alias(m) for m in ("orders", "account")])
     ranked = global_rank(wide.dropna().join(orders.select("id", "time", "event"), "id"), "id")
     boot = S.bootstrap_concordance(ranked, ["orders", "account"], 1_000)
