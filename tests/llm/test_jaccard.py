@@ -57,3 +57,14 @@ def test_all_links(spark, monkeypatch, common):
     found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
     assert found == {i: find(i) for i in own}
     assert {r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect()} == {i for i in own if find(i) == i}
+
+
+def test_short_texts(spark):
+    """Texts of 8 and 9, 9 and 10, 10 and 11 words, whose sets have an even and an odd size, are linked."""
+    rng = random.Random(3)
+    rows = []
+    for q in range(300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9 + q % 3)]
+        rows += [(2 * q, " ".join(words)), (2 * q + 1, " ".join(words[:-1]))]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in found) and len(found) == 600
