@@ -136,18 +136,20 @@ def bootstrap_concordance(ranked: DataFrame, risks: list[str], replicates: int =
     """
     n = ranked.count()
     own = ranked.join(multiplicities(ranked.sparkSession, n, replicates, seed), "rank", "left")
-    columns = ["id", "time", "event", "w", *risks]
-
-    def dense(weights) -> np.ndarray:
-        out = np.zeros((replicates, len(weights)))
-        for k, w in enumerate(weights):
-            for b, m in dict(w if w is not None else {}).items():
+    # two arrays reach Python as numpy arrays, a map as a dict with an object per entry
+    own = own.withColumns({"drawn": F.map_keys("w"), "times": F.map_values("w")})
+    columns = ["id", "time", "event", "drawn", "times", *risks]
+
+    def dense(part: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((replicates, len(part)))
+        for k, (b, m) in enumerate(zip(part["drawn"], part["times"], strict=True)):
+            if b is not None:
                 out[b, k] = m
         return out
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         a, b = part[part["first"] & part["event"]], part[~part["first"]]
-        wa, wb = dense(a["w"]), dense(b["w"])
+        wa, wb = dense(a), dense(b)
         ok = comparable(a["time"].to_numpy(), a["event"].to_numpy(bool), b["time"].to_numpy(), b["event"].to_numpy(bool))
         out = {"b": np.arange(replicates), "n": ((wa @ ok) * wb).sum(axis=1)}
         for q, r in enumerate(risks):
