@@ -139,17 +139,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col:
     return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component of ``found (id, component_id)``: the row with the smallest id, and of repeats of it one.
-
-    Rows without an id can't be told apart and stay. Texts are moved once.
-    """
-    go = found.where(f"{id_col} <> component_id").select(id_col).distinct()
-    kept = docs.join(go, id_col, "left_anti")
-    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_alone", alone).dropDuplicates([id_col, "_alone"]).drop("_alone")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, two bits, over all documents."""
     found = near_duplicates(documents(spark, sf_dir), words=3, max_bits=2)
