@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import bpe, jaccard, langid, linedup, mixing, simhash
+from lathework.llm import bpe, langid, linedup, mixing, near_sets
 from lathework.session import materialize
 
 #: Documents whose best language is less likely than this are rejected.
 MIN_LANGUAGE_SCORE = 0.3
 #: Near-duplicates are alike in their sets of five-word shingles: 0.8 or more.
-NEAR_WORDS, NEAR_SIMILARITY = 5, jaccard.SIMILARITY
+NEAR_WORDS, NEAR_SIMILARITY = 5, near_sets.SIMILARITY
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    found = jaccard.near_duplicates(docs, NEAR_WORDS, NEAR_SIMILARITY)
-    return simhash.keep_one(docs, found).select(*docs.columns)
+    found = near_sets.near_duplicates(docs, NEAR_WORDS, NEAR_SIMILARITY)
+    return near_sets.keep_one(docs, found)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
