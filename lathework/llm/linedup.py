@@ -1,16 +1,15 @@
 """Removal of boilerplate lines that spread over many sites.
 
 A line's spread is the number of distinct sites (sources) that have it. Lines
-are keyed by a 64-bit hash of the trimmed line. A HyperLogLog sketch of sites
-per line hash is built map-side and merged by aggregation; lines whose estimate
-is near the threshold get an exact distinct count. Only DataFrame functions.
-
-A line that occurs fewer times than the threshold cannot reach it, so sketches
-are built only for lines with that many occurrences (an exact count first).
-
-A document most of whose text (over ``max_share`` of the non-blank characters)
-consists of such lines is a copy of a document rather than a carrier of
-boilerplate. It is left as it is, for near-duplicate removal to judge as a whole.
+are keyed by a 64-bit hash of the trimmed line. A HyperLogLog sketch of the sites
+of each line hash is built map-side from the lines as they occur and merged by
+aggregation; only lines whose estimate is near the threshold get an exact
+distinct count. Only DataFrame functions.
+
+Copies of a text say nothing about its lines: equal texts count as one, in the
+first of their sites. A text that was copied as a whole to many sites keeps its
+lines, for near-duplicate removal to judge it. Lines of edited copies can't be
+told from boilerplate and go if their texts are on enough sites.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from lathework.llm.common import documents
 from lathework.session import materialize
 
-MIN_SITES, MAX_SHARE, LG_K = 6, 0.5, 10
+MIN_SITES, LG_K = 6, 10
 
 
 def line_hash(line: Column) -> Column:
@@ -34,47 +33,47 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     ``sites`` is exact near the threshold (within four standard errors of the
     sketch) and otherwise the rounded estimate. A null site is a site.
     """
-    site = F.coalesce(F.xxhash64("site"), F.lit(0))
-    seen = materialize(lines.groupBy("line", site.alias("site")).agg(F.count("*").alias("n")), "line_sites")
-    often = seen.groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") >= min_sites).select("line")
-    some = materialize(seen.join(often, "line", "left_semi").select("line", "site"), "frequent_lines")
-    sketched = some.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"))
+    own = lines.select("line", F.coalesce(F.xxhash64("site"), F.lit(0)).alias("site"))
     slack = max(1.0, 4 * 1.04 / (2 ** (lg_k / 2)) * min_sites)
+    sketched = own.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"))
     sketched = materialize(sketched.where(F.col("estimate") >= min_sites - slack), "sketches")
     near = sketched.where(F.col("estimate") < min_sites + slack).select("line")
-    exact = some.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = own.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     far = sketched.where(F.col("estimate") >= min_sites + slack).select("line", F.col("estimate").cast("long").alias("sites"))
     return exact.unionByName(far)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``, and ``n_lines``, ``n_removed`` (in place of columns so named).
 
     Lines are the parts between ``\\n``; blank lines are never removed. Kept
-    lines keep their order and white space. Null and empty texts are returned as
-    they are, with no line. Each row is treated alike, however often it occurs.
-    Texts are moved once, to meet the hashes of their own boilerplate lines.
+    lines keep their order and white space; a text may be left with none. Null
+    and empty texts are returned as they are, with no line. Each row is treated
+    alike, however often it occurs. Texts are moved once, to meet the hashes of
+    their own boilerplate lines. Other columns are never touched.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
-    blank = "trim(x) = ''"
-    hashed = docs.select(F.xxhash64(text_col).alias("_key"), F.col(site_col).alias("site"), F.expr(f"transform(filter(split(`{text_col}`, '\\n', -1), x -> not ({blank})), x -> xxhash64(trim(x)))").alias("lines"))
-    hashed = materialize(hashed, "line_hashes")
-    spread = materialize(spread_lines(hashed.select(F.explode("lines").alias("line"), "site"), min_sites, lg_k), "spread_lines")
-    # sets of a text's own boilerplate lines; texts with equal keys share them, which is harmless: membership is tested line by line
-    own = hashed.select("_key", F.explode(F.array_distinct("lines")).alias("line")).join(spread.select("line"), "line", "left_semi").distinct().groupBy("_key").agg(F.collect_set("line").alias("_drop"))
+    hashes = F.expr(f"transform(filter(split(`{text_col}`, '\\n', -1), x -> trim(x) <> ''), x -> xxhash64(trim(x)))")
+    seen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(site_col).alias("site"), hashes.alias("lines"))
+    # one row for each text; the first of its sites, null before all others
+    texts = seen.groupBy("key").agg(F.min(F.struct(F.col("site").isNotNull().alias("has"), "site", "lines")).alias("one")).select("key", "one.site", "one.lines")
+    texts = materialize(texts, "text_lines")
+    spread = materialize(spread_lines(texts.select(F.explode("lines").alias("line"), "site"), min_sites, lg_k), "spread_lines")
+    # sets of a text's own boilerplate lines
+    own = texts.select("key", F.explode(F.array_distinct("lines")).alias("line")).join(spread.select("line"), "line", "left_semi").groupBy("key").agg(F.collect_set("line").alias("_drop"))
     # a merge join of two plain exchanges at every size: what a hot key brings together can be split
-    own = materialize(own, "drops").hint("merge")
-    keyed = docs.withColumn("_key", F.xxhash64(text_col)).join(own, "_key", "left").withColumn("_lines", lines)
+    own = materialize(own.withColumnRenamed("key", "_key"), "drops").hint("merge")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
     keep = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", line_hash(x)))
-    size = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(F.trim(x)))
-    trimmed = (
-        keyed.withColumn("_keep", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(keep))
-        .withColumn("_carrier", F.col("_drop").isNotNull() & (size("_lines") - size("_keep") <= max_share * size("_lines")))
-        .withColumn("n_lines", F.coalesce(F.when(F.col(text_col) == "", F.lit(0)).otherwise(F.size("_lines")), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_carrier"), F.size("_lines") - F.size("_keep")).otherwise(F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_carrier"), F.array_join("_keep", "\n")).otherwise(F.col(text_col)))
+    done = (
+        packed.join(own, "_key", "left")
+        .withColumn("_lines", F.split("_text", "\n", -1))
+        .withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(keep))
+        .withColumn("_n", F.coalesce(F.when(F.col("_text") == "", F.lit(0)).otherwise(F.size("_lines")), F.lit(0)).cast("long"))
+        .withColumn("_gone", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
+        .withColumn("_text", F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")))
     )
-    return trimmed.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    rest = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return done.select(*rest, F.col("_n").alias("n_lines"), F.col("_gone").alias("n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,23 +85,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in DuckDB, with exact distinct counts.
 OP2_SQL = rf"""
 with cut as (
-  select doc_id, source, text, string_split(text, chr(10)) as parts, row_number() over () as rid from documents
-), lines as (
-  select rid, source, unnest(parts) as line, unnest(range(len(parts))) as pos from cut where text is not null
+  select doc_id, text, string_split(text, chr(10)) as parts, row_number() over () as rid from documents
+), texts as (
+  select text, min(coalesce(source, chr(0))) as source from documents where text is not null group by text
 ), spread as (
-  select trim(line, ' ') as line from lines where trim(line, ' ') <> '' group by 1
-  having count(distinct coalesce(source, chr(0))) >= {MIN_SITES}
+  select line from (select source, trim(unnest(string_split(text, chr(10))), ' ') as line from texts) where line <> '' group by 1
+  having count(distinct source) >= {MIN_SITES}
+), lines as (
+  select rid, unnest(parts) as line, unnest(range(len(parts))) as pos from cut where text is not null
 ), marked as (
-  select l.rid, l.pos, l.line, s.line is not null as bad, length(trim(l.line, ' ')) as n
-  from lines l left join spread s on trim(l.line, ' ') = s.line
+  select l.rid, l.pos, l.line, s.line is not null as bad from lines l left join spread s on trim(l.line, ' ') = s.line
 ), per as (
-  select rid, sum(n) filter (bad) <= {MAX_SHARE} * sum(n) as carrier, count(*) filter (bad) as n_bad,
-         string_agg(line, chr(10) order by pos) filter (not bad) as kept
-  from marked group by rid
+  select rid, count(*) filter (bad) as n_bad, string_agg(line, chr(10) order by pos) filter (not bad) as kept from marked group by rid
 )
 select c.doc_id,
        cast(case when coalesce(c.text, '') = '' then 0 else len(c.parts) end as bigint) as n_lines,
-       cast(case when coalesce(p.carrier, false) then p.n_bad else 0 end as bigint) as n_removed,
-       case when coalesce(p.carrier, false) then coalesce(p.kept, '') else c.text end as clean_text
+       cast(coalesce(p.n_bad, 0) as bigint) as n_removed,
+       case when p.n_bad > 0 then coalesce(p.kept, '') else c.text end as clean_text
 from cut c left join per p on c.rid = p.rid
 """
