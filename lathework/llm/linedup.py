@@ -6,10 +6,10 @@ of each line hash is built map-side from the lines as they occur and merged by
 aggregation; only lines whose estimate is near the threshold get an exact
 distinct count. Only DataFrame functions.
 
-Copies of a text say nothing about its lines: equal texts count as one, in the
-first of their sites. A text that was copied as a whole to many sites keeps its
-lines, for near-duplicate removal to judge it. Lines of edited copies can't be
-told from boilerplate and go if their texts are on enough sites.
+Copies of a document say nothing about its lines. Texts with the same longest
+line are taken as versions of one document and count in the first of their sites
+only, so that a document that many sites copied keeps its lines, for
+near-duplicate removal to judge it as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm.common import documents
+from lathework.llm.common import documents, meet_groups
 from lathework.session import materialize
 
 MIN_SITES, LG_K = 6, 10
@@ -53,10 +53,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: st
     their own boilerplate lines. Other columns are never touched.
     """
     hashes = F.expr(f"transform(filter(split(`{text_col}`, '\\n', -1), x -> trim(x) <> ''), x -> xxhash64(trim(x)))")
-    seen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(site_col).alias("site"), hashes.alias("lines"))
-    # one row for each text; the first of its sites, null before all others
-    texts = seen.groupBy("key").agg(F.min(F.struct(F.col("site").isNotNull().alias("has"), "site", "lines")).alias("one")).select("key", "one.site", "one.lines")
-    texts = materialize(texts, "text_lines")
+    longest = F.expr(f"xxhash64(array_max(transform(split(`{text_col}`, '\\n', -1), x -> struct(length(trim(x)) as n, trim(x) as line))))")
+    seen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), longest.alias("version"), F.col(site_col).alias("site"), hashes.alias("lines"))
+    # one row for each text, then one site for each version; the first is null before all others
+    least = F.min(F.struct(F.col("site").isNotNull().alias("has"), "site"))
+    texts = seen.groupBy("key").agg(least.alias("one"), F.first("version").alias("version"), F.first("lines").alias("lines")).select("key", "version", "one.site", "lines")
+    texts = materialize(texts.withColumn("salt", F.pmod("key", F.lit(32)).cast("int")), "text_lines")
+    versions = materialize(texts.groupBy("version").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "versions")
+    texts = meet_groups(texts, versions, ["version"], "left").select("key", F.when(F.col("first").isNull(), F.col("site")).otherwise(F.col("first.site")).alias("site"), "lines")
     spread = materialize(spread_lines(texts.select(F.explode("lines").alias("line"), "site"), min_sites, lg_k), "spread_lines")
     # sets of a text's own boilerplate lines
     own = texts.select("key", F.explode(F.array_distinct("lines")).alias("line")).join(spread.select("line"), "line", "left_semi").groupBy("key").agg(F.collect_set("line").alias("_drop"))
@@ -87,10 +91,14 @@ OP2_SQL = rf"""
 with cut as (
   select doc_id, text, string_split(text, chr(10)) as parts, row_number() over () as rid from documents
 ), texts as (
-  select text, min(coalesce(source, chr(0))) as source from documents where text is not null group by text
+  select row_number() over () as tid, text, min(coalesce(source, chr(0))) as source from documents where text is not null group by text
+), cells as (
+  select tid, source, trim(unnest(string_split(text, chr(10))), ' ') as line from texts
+), versions as (
+  select tid, line as version from cells qualify row_number() over (partition by tid order by length(line) desc, line desc) = 1
 ), spread as (
-  select line from (select source, trim(unnest(string_split(text, chr(10))), ' ') as line from texts) where line <> '' group by 1
-  having count(distinct source) >= {MIN_SITES}
+  select line from cells join (select tid, min(source) over (partition by version) as first from versions join texts using (tid)) using (tid)
+  where line <> '' group by 1 having count(distinct first) >= {MIN_SITES}
 ), lines as (
   select rid, unnest(parts) as line, unnest(range(len(parts))) as pos from cut where text is not null
 ), marked as (

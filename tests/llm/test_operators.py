@@ -150,11 +150,15 @@ def plain_lines(own, sites=linedup.MIN_SITES):
         if r["text"] is not None:
             site = "" if r["source"] is None else "s" + r["source"]
             first[r["text"]] = min(first.get(r["text"], site), site)
-    spread = collections.defaultdict(set)
+    longest = lambda t: max((len(x.strip(" ")), x.strip(" ")) for x in t.split("\n"))
+    site_of = {}
     for text, site in first.items():
+        site_of[longest(text)] = min(site_of.get(longest(text), site), site)
+    spread = collections.defaultdict(set)
+    for text in first:
         for line in text.split("\n"):
             if line.strip(" "):
-                spread[line.strip(" ")].add(site)
+                spread[line.strip(" ")].add(site_of[longest(text)])
     bad = {x for x, s in spread.items() if len(s) >= sites}
     return [(r["doc_id"], None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if x.strip(" ") not in bad)) for r in own]
 
@@ -174,13 +178,13 @@ def test_op2_odd_rows(spark, odd, empty):
     assert sorted(str(r["text"]) for r in got) == sorted(str(t) for _, t in plain_lines(odd.collect(), 2))
     assert linedup.remove_boilerplate(empty).count() == 0
     # copies over many sites count once, boilerplate goes from any text, clashing columns stay
-    rows = [(k, f"one text\nthat was copied", f"s{k}", "a", 1, 2) for k in range(6)] + [(10 + k, f"own {k}\n All rights reserved ", f"s{k}", "b", 1, 2) for k in range(6)] + [(20, "All rights reserved", "s0", "c", 1, 2), (21, "All rights reserved\n\nx", None, "c", 1, 2)]
+    rows = [(k, f"one text\nthat was copied with a change {k % 2}\nand this is its longest line of all of them", f"s{k}", "a", 1, 2) for k in range(6)] + [(10 + k, f"a line of its own {k}\n All rights reserved ", f"s{k}", "b", 1, 2) for k in range(6)] + [(20, "All rights reserved", "s0", "c", 1, 2), (21, "All rights reserved\n\nx", None, "c", 1, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string, _drop long, n_lines int")
     found = linedup.remove_boilerplate(docs)
     assert found.columns == ["doc_id", "text", "source", "_key", "_drop", "n_lines", "n_removed"]
     got = {r["doc_id"]: r for r in found.collect()}
     assert all(got[k]["text"] == rows[k][1] and got[k]["n_removed"] == 0 and got[k]["_drop"] == 1 for k in range(6))
-    assert all(got[10 + k]["text"] == f"own {k}" and got[10 + k]["n_removed"] == 1 for k in range(6))
+    assert all(got[10 + k]["text"] == f"a line of its own {k}" and got[10 + k]["n_removed"] == 1 for k in range(6))
     assert got[20]["text"] == "" and got[21]["text"] == "\nx" and got[21]["n_lines"] == 3
     # sketches: many more sites than the threshold, and exactly at it
     lines = spark.range(0, 40_000).select((F.col("id") % 4).alias("line"), F.concat(F.lit("s"), F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(F.col("id") % (4 * (49 + F.col("id") % 4)))).alias("site"))
