@@ -248,10 +248,71 @@ def test_op3_targets_reach_their_limits(spark):
     assert got == pytest.approx(plain_targets(sizes))
 
 
+def plain_lambda(sizes, target, limit=2.0):
+    """By bisection: words at rates min(limit, exp(lambda * sqrt(size))) meet the target."""
+    x = np.array([n for n in sizes if n], float)
+    low, high = -60.0, 60.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (x * np.minimum(limit, np.exp(np.minimum(mid * np.sqrt(x), 50)))).sum() < target else (low, mid)
+    return high
+
+
 def test_op3_dual_solution(spark):
-    cells = spark.createDataFrame([(1, "a", 0, 30, 45.0), (1, "a", 1, 20, 45.0), (1, "b", 0, 80, 20.0), (0, "", 0, 0, 0.0)], "has int, source string, bin int, words long, target double")
-    got = {r["source"]: r["lambda"] for r in mixing.solve(cells).collect()}
-    assert got["a"] == pytest.approx(np.log(0.9)) and got["b"] == pytest.approx(np.log(0.25)) and got[""] is None
+    r = np.random.default_rng(5)
+    sources = {f"s{k}": (r.integers(0, 400, 300), f) for k, f in enumerate((0.02, 0.4, 0.97, 1.0, 1.3, 1.9, 2.0))} | {"none": (np.zeros(3, int), 1.0)}
+    rows = [(1, s, int(n) % 32, int(n), 1, f * float(sizes.sum())) for s, (sizes, f) in sources.items() for n in sizes]
+    got = {x["source_key"]: x["lambda"] for x in mixing.solve(spark.createDataFrame(rows, "has int, source_key string, salt int, size long, n long, target double")).collect()}
+    assert got.pop("none") is None
+    for s, value in got.items():
+        sizes, f = sources[s]
+        rates = np.minimum(2, np.exp(value * np.sqrt(sizes)))
+        assert (sizes * rates).sum() == pytest.approx(f * sizes.sum(), rel=1e-8)
+        if 0 < f < 2:
+            assert value == pytest.approx(plain_lambda(sizes, f * sizes.sum()), rel=1e-6, abs=1e-9)
+
+
+def test_op3_copies_equal_brute_force(spark, sf, rows):
+    """Rates by bisection, copies by a plain walk in the order of rounding, then the two best single changes."""
+    got = {r["doc_id"]: r for r in run(spark, sf, "op3_mixing")}
+    by = collections.defaultdict(list)
+    for i, r in rows.items():
+        by[r["source"]].append((i, len(WORD.findall(r["text"] or ""))))
+    want = plain_targets({s: sum(n for _, n in v) for s, v in by.items()})
+    hashes = {(r["doc_id"], r["n"]): r["h"] for r in spark.createDataFrame([(i, n) for v in by.values() for i, n in v], "doc_id long, n long").select("*", mixing.F.xxhash64(mixing.F.lit("mix"), "doc_id", "n").alias("h")).collect()}
+    for s, own in by.items():
+        rate = {i: got[i]["rate"] for i, _ in own}
+        lam = plain_lambda([n for _, n in own], want[s])
+        if want[s] < 2 * sum(n for _, n in own):
+            assert all(rate[i] == pytest.approx(min(2, np.exp(lam * np.sqrt(n))), rel=1e-6) for i, n in own)
+        copies = {i: int(rate[i] + 1e-9) for i, _ in own}
+        order = []
+        for i, n in own:
+            f = rate[i] - copies[i]
+            u = (hashes[i, n] % 2**52 + 0.5) / 2**52
+            if f > 1e-9:
+                odds = u / (1 - u) * (1 - f) / f
+                order.append((odds / (1 + odds), hashes[i, n], i, n))
+        need = int(want[s] - sum(copies[i] * n for i, n in own) + 1e-6)
+        for _, _, i, n in sorted(order):
+            if n > need:
+                break
+            copies[i] += 1
+            need -= n
+        changed = [i for i, _ in own if got[i]["copies"] != copies[i]]
+        assert len(changed) <= 2
+        size = dict(own)
+        gap = lambda c: abs(want[s] - sum(c[i] * n for i, n in own))
+        final = {i: got[i]["copies"] for i, _ in own}
+        assert gap(final) <= gap(copies) and all(abs(final[i] - copies[i]) == 1 and size[i] for i in changed)
+
+
+def test_op3_clashing_columns(spark):
+    rows = [(k, " ".join(["w"] * (k % 9)), "ab"[k % 2], 7, 7, 7.0, "x", 7, "y") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, salt int, has int, target double, base string, _copies int, _row string")
+    out = mixing.apply_plan(docs, mixing.plan(docs))
+    assert out.columns == docs.columns and {r["salt"] for r in out.collect()} == {7}
+    assert collections.Counter(r["doc_id"] for r in out.collect()) == {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------
