@@ -46,8 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Texts stay where they are."""
-    done = mixing.apply_plan(docs, mixing.plan(docs.select("doc_id", "text", "source"))).where("_copies > 0")
-    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return mixing.apply_plan(docs, mixing.plan(docs.select("doc_id", "text", "source")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
