@@ -66,7 +66,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: st
     own = texts.select("key", F.explode(F.array_distinct("lines")).alias("line")).join(spread.select("line"), "line", "left_semi").groupBy("key").agg(F.collect_set("line").alias("_drop"))
     # a merge join of two plain exchanges at every size: what a hot key brings together can be split
     own = materialize(own.withColumnRenamed("key", "_key"), "drops").hint("merge")
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
+    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
     keep = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", line_hash(x)))
     done = (
         packed.join(own, "_key", "left")
@@ -76,7 +77,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: st
         .withColumn("_gone", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
         .withColumn("_text", F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")))
     )
-    rest = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rest = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c == text_col or c in others]
     return done.select(*rest, F.col("_n").alias("n_lines"), F.col("_gone").alias("n_removed"))
 
 

@@ -591,7 +591,7 @@ def test_op10(spark, sf, rows):
     for i, r in rows.items():
         want = plain_statistics(r["text"])
         assert tuple(got[i][c] for c in NAMES) == want and got[i]["base_failed"] == base_failed(want)
-        assert not (got[i]["kept"] and got[i]["base_failed"]) and (got[i]["kept"] == (not got[i]["base_failed"] and got[i]["d2"] <= rules.CUTOFF))
+        assert not (got[i]["kept"] and got[i]["base_failed"]) and (got[i]["kept"] == (not got[i]["base_failed"] and got[i]["d2"] <= 22.457744484825323))
 
 
 def test_op10_odd_rows(odd, empty):
@@ -600,19 +600,106 @@ def test_op10_odd_rows(odd, empty):
     assert rules.judge(empty).count() == 0
 
 
+def estimate(x, w=None):
+    """Weighted mean and scatter with the floor."""
+    w = np.ones(len(x)) if w is None else w
+    mean = (x * w[:, None]).sum(0) / w.sum()
+    return mean, (x * w[:, None]).T @ x / w.sum() - np.outer(mean, mean)
+
+
+def distances(x, mean, cov):
+    z = np.linalg.solve(np.linalg.cholesky(cov + np.diag(rules.FLOOR)), (x - mean).T)
+    return (z * z).sum(0)
+
+
+def nearest(d, h=0.75):
+    """Weights of the share h nearest, the last bin of distances in part."""
+    bins = np.floor(32 * np.log2(np.clip(d, 2.0**-12, 2.0**24)))
+    w, left = np.zeros(len(d)), h * len(d)
+    for b in np.unique(bins):
+        here = bins == b
+        w[here] = min(1, max(0, left / here.sum()))
+        left -= here.sum()
+    return w
+
+
+def lower_median(a):
+    return np.sort(a)[(len(a) - 1) // 2]
+
+
+def plain_mcd(x):
+    """Four starts, two steps each, the smallest determinant to the end; then one reweighting. Squared distances."""
+    floor = np.diag(rules.FLOOR)
+    med = np.array([lower_median(c) for c in x.T])
+    sd = np.sqrt((np.array([lower_median(abs(c - m)) for c, m in zip(x.T, med, strict=True)]) / 0.6744897501960817) ** 2 + np.array(rules.FLOOR))
+    z = (x - med) / sd
+    starts = [estimate(x), (med, np.diag(sd**2) - floor)]
+    for view in (np.tanh(z), z / np.linalg.norm(z, axis=1)[:, None]):
+        c = np.cov(view.T, bias=True)
+        r = c / np.sqrt(np.outer(np.diag(c), np.diag(c))) * 0.99
+        np.fill_diagonal(r, 1)
+        starts.append((med, r * np.outer(sd, sd) - floor))
+    logdet = lambda c: np.linalg.slogdet(c + floor)[1]
+    for _ in range(2):
+        starts = [estimate(x, nearest(distances(x, *s))) for s in starts]
+    best = min(starts, key=lambda s: logdet(s[1]))
+    for _ in range(60):
+        new = estimate(x, nearest(distances(x, *best)))
+        settled = abs(logdet(new[1]) - logdet(best[1])) <= 1e-4
+        best = new
+        if settled:
+            break
+    from math import exp
+
+    chi6 = lambda q: 1 - exp(-q / 2) * (1 + q / 2 + q * q / 8)
+    chi8 = lambda q: chi6(q) - exp(-q / 2) * q**3 / 48
+    q75, q975 = 7.840804, 14.449375
+    assert abs(chi6(q75) - 0.75) < 1e-6 and abs(chi6(q975) - 0.975) < 1e-6
+    core = (best[1] + floor) * 0.75 / chi8(q75)
+    z = np.linalg.solve(np.linalg.cholesky(core), (x - best[0]).T)
+    mean, cov = estimate(x[(z * z).sum(0) <= q975])
+    return distances(x, mean, cov * 0.975 / chi8(q975)), starts
+
+
+def vectors_of(spark, x, groups=("s",)):
+    rows = [("l", groups[k % len(groups)], k % 32, *map(float, v)) for k, v in enumerate(x)]
+    return spark.createDataFrame(rows, "lang_key string, source_key string, salt int, " + ", ".join(f"{c} double" for c in rules.X))
+
+
+def in_order(x, got):
+    at = {tuple(v): k for k, v in enumerate(x)}
+    out = np.empty(len(x))
+    for r in got:
+        out[at[tuple(r[c] for c in rules.X)]] = r["d2"]
+    return out
+
+
 def test_op10_distance_equals_numpy(spark):
+    """Two groups at once; a tight far cluster of a fifth, which hides from the ordinary mean and scatter."""
     r = np.random.default_rng(3)
-    x = r.normal(size=(800, rules.D)) * [2, 1, 0.5, 1, 1, 1] + 3
-    x[:80] += 25
-    own = spark.createDataFrame([("l", "s", k % 32, *map(float, v)) for k, v in enumerate(x)], "lang_key string, source_key string, salt int, " + ", ".join(f"{c} double" for c in rules.X))
-    got = rules.outlier_distance(own).collect()
-    d2 = np.array([v["d2"] for v in sorted(got, key=lambda v: [tuple(np.round(y, 9)) for y in x].index(tuple(round(v[c], 9) for c in rules.X)))])
-    keep = np.ones(800, bool)
-    for step in range(rules.STEPS + 1):
-        mean, cov = x[keep].mean(axis=0), np.cov(x[keep].T, bias=True) + np.diag(rules.FLOOR)
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        if step < rules.STEPS:
-            keep = d <= np.sort(d)[int(0.75 * 800) - 1]
-    scale = max(1, np.median(d) / (rules.D * (1 - 2 / (9 * rules.D)) ** 3))
-    assert np.allclose(d2, d / scale, rtol=0.05)
-    assert d2[:80].min() > 5 * np.quantile(d2[80:], 0.99)
+    x = r.normal(size=(1200, rules.D)) @ r.normal(size=(rules.D, rules.D)) + 3
+    x[:240] = r.normal(size=(240, rules.D)) * 0.05 + 9
+    d2 = in_order(x, rules.outlier_distance(vectors_of(spark, x, ("s", "t"))).collect())
+    for g in (0, 1):
+        assert np.allclose(d2[g::2], plain_mcd(x[g::2])[0], rtol=1e-6)
+    masked = distances(x, *estimate(x))
+    assert masked[:240].max() < 22.4 < d2[:240].min()
+    assert (d2[240:] > 22.46).mean() < 0.02
+
+
+def test_op10_small_groups_and_ties(spark):
+    """Groups around MIN_GROUP are pooled in their language; constant features and equal rows give finite, equal distances."""
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(130, rules.D)) * [1, 1, 0, 1, 0, 1], 3, axis=0)
+    got = rules.outlier_distance(vectors_of(spark, x, ("s", "t"))).collect()  # 195 rows each: pooled
+    by = collections.defaultdict(set)
+    for v in got:
+        by[tuple(v[c] for c in rules.X)].add(v["d2"])
+    assert len(got) == 390 and all(len(v) == 1 for v in by.values()) and np.isfinite([v["d2"] for v in got]).all()
+    assert {(v["g_lang"], v["g_source"]) for v in got} == {("l", "*")}
+    lone = rules.outlier_distance(vectors_of(spark, x[:1])).collect()
+    assert len(lone) == 1 and lone[0]["d2"] == 0 and lone[0]["g_lang"] == "*"
+
+
+def test_op10_chi_squared():
+    assert rules.chi_quantile(0.999) == pytest.approx(22.457744484825323) and rules.consistency(0.75) == pytest.approx(0.75 / rules.chi_squared(7.840804, 8), rel=1e-6)
