@@ -2,35 +2,43 @@
 
 A page is cut into text blocks in page order. Markup settles most of them: text
 inside the article is main text; scripts, styles, menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments are not. All blocks
-outside the article form the page's token stream. The streams of a host's pages
-are concatenated and a suffix array finds the long token runs that recur on
-distinct pages: runs so covered are boilerplate and are removed. What is unique
-on a page and not settled by markup is kept in its place.
-
-A host's pages are dealt by hash into groups of about ``GROUP`` pages, so a host
-with a large share of all pages is many groups; a run that recurs on a
-hundredth of the pages is found in each. Article text takes no part: articles
-may be copies of each other and stay whole.
+sidebars, notices, adverts, forms and reader comments are not. Blocks that markup
+leaves open (all of a page without an article and without marks) form the page's
+token stream, and the suffix array over the streams of a host settles them: token
+runs that recur on distinct pages are boilerplate and are removed, what is unique
+stays in its place.
+
+The array of a host is never gathered. A run of ``MIN_RUN`` tokens is enough, as
+a longer one is covered by its parts, so suffixes are sorted to that depth: the
+array is then a row of buckets, and a bucket's pages are counted. Each task sorts
+the suffixes of its own pages, host by host, and gives out a row for each bucket;
+the sums over tasks are those of the whole host's array, whatever its size and
+however its pages are dealt. A run is boilerplate if ``MIN_PAGES`` pages and
+``MIN_SHARE`` of the host's pages have it; pages with equal streams count as one,
+so copied pages stay whole. Article text takes no part: articles may quote or copy
+each other and nothing of them may go.
 """
 
 from __future__ import annotations
 
+import collections
 import html as html_entities
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from lathework.llm.common import bounded_broadcast, map_texts
 from lathework.session import materialize
 
-#: Tokens that a recurring run has at least, pages that it is on at least, pages in a group.
-MIN_RUN, MIN_PAGES, GROUP = 6, 2, 256
+#: Tokens that a recurring run has at least, different pages and share of the host's different pages that it is on at least.
+MIN_RUN, MIN_PAGES, MIN_SHARE = 6, 3, 0.01
+#: Rows of 8 to 16 bytes that are sent to every task at most.
+MAX_SENT = 1_000_000
 
 DROP = {"script", "style", "noscript", "template", "svg", "math", "canvas", "iframe", "object", "head", "title", "nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "video", "audio", "map"}
 RAW = {"script", "style", "textarea", "title"}
@@ -45,11 +53,14 @@ CHROME = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "footer", "sidebar", "aside", "complementary", "contentinfo", "widget", "related", "recommended", "share", "sharing",
     "social", "subscribe", "subscription", "newsletter", "signup", "login", "search", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies",
 }
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+EDGE = re.compile(r"[>\"']")
 MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 SPACE = re.compile(r"\s+")
+#: Elements that frame the page: only their own end tags, and those of elements around them, close them.
+FRAME, MAX_FRAMES = {"article", "main", "body", "html"}, 16
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN, OTHER, CHROMED = 1, 0, -1
 
@@ -68,6 +79,23 @@ def _chrome(tag: str, attributes: str) -> bool:
     return False
 
 
+def _tag_end(source: str, at: int, loose: bool) -> tuple[int, bool]:
+    """Where the ``>`` of a tag is whose name ends at ``at``, -1 if there is none, and whether quotes still count.
+
+    A ``>`` inside quotes does not end a tag. If that leaves a tag without an end, quotes
+    are not balanced: from there on the first ``>`` ends a tag. A page is scanned twice at most.
+    """
+    if not loose:
+        k = at
+        while (m := EDGE.search(source, k)) is not None:
+            if m[0] == ">":
+                return m.start(), False
+            k = source.find(m[0], m.end()) + 1
+            if k == 0:
+                break
+    return source.find(">", at), True
+
+
 def text_blocks(source: str | None) -> list[tuple[int, str]]:
     """``(kind, text)`` of each non-empty block in page order: MAIN, OTHER or CHROMED (settled by markup).
 
@@ -76,10 +104,13 @@ def text_blocks(source: str | None) -> list[tuple[int, str]]:
     """
     source = source or ""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, chrome from here on, main from here on
+    # tag, chrome from here on, main from here on, chrome for another reason than a header in the article, frames up to here
+    stack: list[tuple[str, bool, bool, bool, int]] = []
+    opened: collections.Counter = collections.Counter()  # open tags by frame and name
     buffer: list[str] = []
     kind = OTHER
-    at = 0
+    at, n = 0, len(source)
+    loose = False
 
     def flush() -> None:
         if buffer:
@@ -88,56 +119,61 @@ def text_blocks(source: str | None) -> list[tuple[int, str]]:
                 out.append((kind, text))
             buffer.clear()
 
-    def current() -> int:
-        if not stack:
-            return OTHER
-        _, chrome, main = stack[-1]
-        return CHROMED if chrome else MAIN if main else OTHER
+    def pop() -> str:
+        tag, *_, frames = stack.pop()
+        opened[frames, tag] -= 1
+        return tag
 
-    n = len(source)
     while at < n:
-        m = TAG.search(source, at)
+        m = NAME.search(source, at)
         if m is None:
-            rest = source[at:]
-            cut = rest.rfind("<")
-            if cut >= 0 and re.match(r"</?[a-zA-Z]", rest[cut : cut + 3]):
-                rest = rest[:cut]  # a tag that was cut off
-            buffer.append(rest)
+            buffer.append(source[at:])
             break
-        if m.start() > at:
-            buffer.append(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        buffer.append(source[at : m.start()])
+        if m[1]:
+            end = source.find("-->", m.end())
+            at = n if end < 0 else end + 3
+            continue
+        if m[2]:
+            end = source.find(">", m.end())
+            at = n if end < 0 else end + 1
             continue
-        tag = m[2].lower()
+        end, loose = _tag_end(source, m.end(), loose)
+        if end < 0:
+            break  # a tag that was cut off
+        at = end + 1
+        tag, attributes = m[4].lower(), source[m.end() : end]
         if tag in BLOCK or tag in DROP:
             flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "body", "html") and tag not in ("article", "main", "body", "html"):
-                    break  # a stray end tag does not close the page's frame
-        elif tag not in VOID and not m[3].endswith("/"):
+        frames = stack[-1][4] if stack else 0
+        if m[3]:
+            if tag in FRAME:
+                if any(opened[k, tag] > 0 for k in range(1, frames + 1)):
+                    while pop() != tag:
+                        pass
+            elif opened[frames, tag] > 0:  # a stray end tag does not close the page's frame
+                while pop() != tag:
+                    pass
+        elif tag not in VOID and not attributes.endswith("/"):
             if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            chrome = bool(stack and stack[-1][1])
-            main = bool(stack and stack[-1][2])
-            if not chrome:
-                chrome = _chrome(tag, m[3]) or (tag == "header" and not main)
-                if main and tag in HEADING and stack[-1][0] == "header":
-                    chrome = False
-                elif main and tag == "header":
-                    chrome = True
-            elif main and tag in HEADING and stack[-1][0] == "header" and not any(c for t, c, _ in stack if t != "header"):
-                chrome = False  # the article's own title
-            stack.append((tag, chrome, main or (not chrome and tag in ("article", "main"))))
+                pop()
+            up, chrome, main, hard, _ = stack[-1] if stack else ("", False, False, False, 0)
+            own = _chrome(tag, attributes)
+            if main and tag in HEADING and up == "header":
+                chrome = hard or own  # the article's own title
+            else:
+                chrome = chrome or own or tag == "header"
+            hard = hard or (own and tag != "header")
+            # frames in frames share a number beyond a few, so that closing one stays cheap
+            frames = min(frames + 1, MAX_FRAMES) if tag in FRAME else frames
+            stack.append((tag, chrome, main or (not chrome and tag in ("article", "main")), hard, frames))
+            opened[frames, tag] += 1
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
-                stack.pop()
-        new = current()
+                close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                at = close.end() if close else n
+                pop()
+        _, chrome, main, _, _ = stack[-1] if stack else ("", False, False, False, 0)
+        new = CHROMED if chrome else MAIN if main else OTHER
         if new != kind:
             flush()
             kind = new
@@ -145,134 +181,143 @@ def text_blocks(source: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of an integer sequence, by doubling the compared length."""
+def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of an integer sequence sorted by their first ``depth`` tokens or more, and their ranks: equal prefixes, equal ranks.
+
+    By doubling the compared length.
+    """
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(rank, kind="stable")
     step = 1
-    while True:
+    while step < depth:
+        add = min(step, depth - step)  # never beyond the depth
         second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
+        second[: n - add] = rank[add:] + 1
+        order = np.lexsort((second, rank))
         new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        change = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
+        new[order] = np.concatenate([[0], np.cumsum(change)])[:n]
         rank = new
-        if n == 0 or rank[order[-1]] == n - 1 or step >= n:
-            return order
-        step *= 2
+        step += add
+    return order, rank
 
 
-def covered(streams: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a run of ``min_run`` tokens or more that ``min_pages`` distinct pages have.
+def run_hash(host: str, tokens: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\0".join([host, *tokens]).encode("utf-8", "replace")) - (1 << 63)
 
-    Runs of ``min_run`` are enough: a longer one is covered by its parts. In the
-    suffix array, suffixes with a common prefix of that length are neighbours.
-    """
-    sizes = [len(s) for s in streams]
-    if not sum(sizes):
-        return [np.zeros(0, bool) for _ in streams]
+
+def buckets(streams: list[list[str]], min_run: int = MIN_RUN) -> list[tuple[int, int, int]]:
+    """The suffix array's buckets of ``min_run`` tokens: a page and position where each occurs, and how many of the pages have it."""
     number: dict[str, int] = {}
     words, page = [], []
     for k, s in enumerate(streams):
         words += [number.setdefault(t, len(number)) for t in s]
         words.append(-1 - k)  # ends are distinct: no run crosses pages
         page += [k] * (len(s) + 1)
+    if len(words) == len(streams):
+        return []
     tokens, page = np.array(words, np.int64), np.array(page)
-    order = suffix_array(tokens)
-    n = len(tokens)
-    # equal prefixes of neighbours, compared token by token
-    a, b = order[:-1], order[1:]
-    same = np.ones(n - 1, bool)
-    for k in range(min_run):
-        ia, ib = a + k, b + k
-        inside = (ia < n) & (ib < n)
-        same &= inside
-        same[inside] &= tokens[ia[inside]] == tokens[ib[inside]]
-    group = np.concatenate([[0], np.cumsum(~same)])
-    pairs = np.unique(group * len(streams) + page[order])
-    spread = np.bincount(pairs // len(streams), minlength=group[-1] + 1)
-    starts = order[spread[group] >= min_pages]
-    mark = np.zeros(n + min_run + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + min_run, -1)
-    hit = np.cumsum(mark)[:n] > 0
-    ends = np.cumsum([0, *[s + 1 for s in sizes]])
-    return [hit[e : e + s] for e, s in zip(ends[:-1], sizes, strict=True)]
+    ends = np.flatnonzero(tokens < 0)
+    order, rank = suffix_array(tokens, min_run)
+    whole = ends[page] - np.arange(len(tokens)) >= min_run  # the run ends before the page does
+    order = order[whole[order]]
+    if not len(order):
+        return []
+    pairs = np.unique(rank[order] * len(streams) + page[order])
+    spread = np.bincount(pairs // len(streams), minlength=rank.max() + 1)
+    first = order[np.concatenate([[True], rank[order][1:] != rank[order][:-1]])]
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [(int(page[p]), int(p - starts[page[p]]), int(spread[rank[p]])) for p in first]
+
+
+def open_tokens(kinds: list[int], texts: list[str]) -> list[str]:
+    return [w for k, t in zip(kinds, texts, strict=True) if k == OTHER for w in t.split(" ")]
 
 
 def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _merge(kinds: list, texts: list, keep: list[np.ndarray]) -> str:
-    """Main blocks, and of other blocks the unique runs, in page order."""
-    out = []
-    outside = iter(keep)
+def _merge(host: str, kinds: list[int], texts: list[str], runs: set[int], min_run: int) -> str:
+    """Main blocks, and of open blocks what no recurring run covers, in page order."""
+    stream = open_tokens(kinds, texts) if runs else []
+    hit = bytearray(len(stream))
+    for k in range(len(stream) - min_run + 1):
+        if run_hash(host, stream[k : k + min_run]) in runs:
+            hit[k : k + min_run] = b"\1" * min_run
+    out, at = [], 0
     for kind, text in zip(kinds, texts, strict=True):
-        if kind == MAIN:
-            out.append(text)
-            continue
-        hit = next(outside)
-        if kind == OTHER:
+        if kind == OTHER and runs:
             words = text.split(" ")
-            left = " ".join(w for w, h in zip(words, hit, strict=True) if not h)
-            if left:
-                out.append(left)
+            text = " ".join(w for w, h in zip(words, hit[at : at + len(words)], strict=True) if not h)
+            at += len(words)
+        if kind != CHROMED and text:
+            out.append(text)
     return "\n".join(out)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``(id, url, text)`` for every row of ``pages``; the text is empty where there is none.
 
-    Null pages count as empty; pages without a host form one host. Equal rows
-    count as distinct pages. Other columns are ignored.
+    Null pages count as empty; pages without a host form one host. Rows repeat as
+    in ``pages``; equal ones count once for runs. Other columns are ignored.
     """
 
-    def make() -> Callable:
+    def cut() -> Callable:
         def of(sources: list) -> list[list]:
             found = [text_blocks(s) for s in sources]
-            return [[[k for k, _ in f] for f in found], [[t for _, t in f] for f in found]]
+            kinds, texts = [[k for k, _ in f] for f in found], [[t for _, t in f] for f in found]
+            streams = [open_tokens(k, t) for k, t in zip(kinds, texts, strict=True)]
+            return [kinds, texts, [len(s) for s in streams], [xxhash.xxh64_intdigest(" ".join(s).encode("utf-8", "replace")) - (1 << 63) for s in streams]]
 
         return of
 
-    hosts = pages.groupBy(host_of(url_col).alias("_host")).agg(F.count("*").alias("_n"))
-    hosts = materialize(hosts, "hosts")
-    groups = hosts.agg(F.sum(F.ceil(F.col("_n") / GROUP))).first()[0] or 1
-    hosts, small = bounded_broadcast(hosts, 20_000)
-    own = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), host_of(url_col).alias("_host"))
-    if small:
-        own = own.join(hosts, "_host")
-        deal = F.pmod(F.xxhash64(id_col, url_col), F.ceil(F.col("_n") / GROUP)).cast("int")
-        own = own.withColumn("_deal", deal)
-    else:
-        # too many hosts to send to every task: the counts meet the pages' keys, dealt over a salt
-        salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        own = own.withColumn("_salt", F.pmod(F.xxhash64(url_col), F.lit(16)).cast("int")).join(salted, ["_host", "_salt"]).drop("_salt")
-        own = own.withColumn("_deal", F.pmod(F.xxhash64(id_col, url_col), F.ceil(F.col("_n") / GROUP)).cast("int"))
-    cut = map_texts(own, [id_col, url_col, "_host", "_deal"], "_html", make, [("kinds", "array<int>"), ("texts", "array<string>")], rows=128)
-    schema = cut.select(id_col, url_col).withColumn("text", F.lit("")).schema
-
-    kinds_of = to_arrow_schema(schema)
-
-    def work(group: pa.Table) -> pa.Table:
-        rows = list(zip(group.column("kinds").to_pylist(), group.column("texts").to_pylist(), strict=True))
-        streams = [[w for k, t in zip(ks, ts, strict=True) if k != MAIN for w in t.split(" ")] for ks, ts in rows]
-        texts = []
-        for (ks, ts), hit in zip(rows, covered(streams, min_run, min_pages), strict=True):
-            keep, at = [], 0
-            for k, t in zip(ks, ts, strict=True):
-                if k != MAIN:
-                    n = t.count(" ") + 1
-                    keep.append(hit[at : at + n])
-                    at += n
-            texts.append(_merge(ks, ts, keep))
-        return pa.table([group.column(id_col).cast(kinds_of.field(0).type), group.column(url_col).cast(kinds_of.field(1).type), pa.array(texts, kinds_of.field(2).type)], schema=kinds_of)
-
-    # tasks grow in number with the groups, not in size
-    parts = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(groups) // 8)
-    return cut.repartition(parts, "_host", "_deal").groupBy("_host", "_deal").applyInArrow(work, schema)
+    own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(url_col).alias("host"))
+    own = map_texts(own, ["_id", "_url", "host"], "_html", cut, [("kinds", "array<int>"), ("texts", "array<string>"), ("n_open", "int"), ("stream", "long")], rows=128)
+    own = materialize(own.withColumn("row", F.monotonically_increasing_id()), "blocks")
+    undecided = own.where("n_open > 0")
+
+    # pages with equal streams count once
+    reps = materialize(undecided.groupBy("host", "stream").agg(F.min("row").alias("first"), F.count("*").alias("c")), "streams")
+    spare, _ = bounded_broadcast(undecided.select("host", "stream", "row").join(reps.where("c > 1"), ["host", "stream"]).where("row <> first").select("row"), MAX_SENT)
+    hosts = reps.groupBy("host").agg(F.count("*").alias("pages_of_host"))
+
+    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                by: dict[str, list[list[str]]] = collections.defaultdict(list)
+                for host, kinds, texts in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    by[host].append(open_tokens(kinds, texts))
+                found = [(host, run_hash(host, streams[p][k : k + min_run]), n) for host, streams in by.items() for p, k, n in buckets(streams, min_run)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=["host", "run", "n"])
+
+    runs = undecided.join(spare, "row", "left_anti").select("host", "kinds", "texts").mapInArrow(count_runs, "host string, run long, n long")
+    runs = runs.groupBy("run").agg(F.sum("n").alias("n"), F.first("host").alias("host")).where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= min_share * F.col("pages_of_host"))
+    runs, _ = bounded_broadcast(materialize(runs.select("run"), "runs"), MAX_SENT)
+
+    def runs_of() -> Callable:
+        def of(rows: list) -> list[list]:
+            out = []
+            for r in rows:
+                s = open_tokens(r["kinds"], r["texts"])
+                out.append(list({run_hash(r["host"], s[k : k + min_run]) for k in range(len(s) - min_run + 1)}))
+            return [out]
+
+        return of
+
+    held = map_texts(undecided.select("row", F.struct("host", "kinds", "texts").alias("_page")), ["row"], "_page", runs_of, [("runs", "array<long>")], rows=256)
+    held = held.select("row", F.explode("runs").alias("run")).join(runs, "run").groupBy("row").agg(F.collect_list("run").alias("runs"))
+    none = F.array().cast("array<long>")
+    settled = own.where("n_open = 0").withColumn("runs", none)
+    undecided = undecided.join(materialize(held, "covered"), "row", "left").withColumn("runs", F.coalesce("runs", none))
+
+    def merge() -> Callable:
+        return lambda rows: [[_merge(r["host"], r["kinds"], r["texts"], set(r["runs"]), min_run) for r in rows]]
+
+    page = F.struct("host", "kinds", "texts", "runs").alias("_page")
+    done = settled.select("_id", "_url", page).unionByName(undecided.select("_id", "_url", page))
+    return map_texts(done, ["_id", "_url"], "_page", merge, [("text", "string")], rows=256).withColumnsRenamed({"_id": id_col, "_url": url_col})
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

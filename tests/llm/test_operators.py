@@ -4,7 +4,9 @@ import collections
 import hashlib
 import html as html_entities
 import itertools
+import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -380,6 +382,10 @@ def test_op5(spark, sf):
         ("<article><p>cut off <a href='", "cut off"),
         ("<div id=cookieNotice>c</div><article>a<br>b<!-- <p>no</p> --></article>", "a\nb"),
         ("<article><div class='ad'>buy</div><p>kept</p><p hidden>no</p></article>", "kept"),
+        ('<article><p class="x>Hello</p><p>again</p></article>', "Hello\nagain"),
+        ("<article><a title='1 > 0'>t</a><p data-x=it's>u</p></article><footer>f</footer>", "t\nu"),
+        ("<article><header class='entry-header'><h1>T</h1>by</header></x></div><p>a</article></article>b", "T\na\nb"),
+        ("<article><section><article>in</section>ner</article>out</article><nav>n", "in\nner\nout"),
     ],
 )
 def test_op5_pages(spark, source, want):
@@ -398,22 +404,79 @@ def test_op5_repeated_runs_outside_the_article_go(spark):
     assert html.extract(own.limit(0)).count() == 0
 
 
+def test_op5_hostile_pages_take_linear_time():
+    for unit in ('<a "', "<a '>'", "<div>", "</x>", "<x><article><div></x>", "<!--", "<script>", "&#", "<header><h1>"):
+        start = time.process_time()
+        html.text_blocks(unit * (400_000 // len(unit)))
+        html.text_blocks("<div>" * 20_000 + unit * 20_000)
+        assert time.process_time() - start < 6, unit
+
+
 def test_op5_suffix_array():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 50):
         t = r.integers(0, 3, n)
-        assert list(html.suffix_array(t)) == sorted(range(n), key=lambda k: list(t[k:]))
-    streams = [[str(x) for x in r.integers(0, 4, 40)] for _ in range(6)]
+        for depth in (1, 3, 6, 64):
+            order, rank = html.suffix_array(t, depth)
+            plain = [tuple(t[k : k + depth]) for k in range(n)]
+            assert [plain[k] for k in order] == sorted(plain)
+            assert all((rank[a] == rank[b]) == (plain[a] == plain[b]) for a in range(n) for b in range(n))
+    streams = [[str(x) for x in r.integers(0, 4, 40)] for _ in range(6)] + [[], ["0", "1"]]
     seen = collections.defaultdict(set)
     for k, s in enumerate(streams):
         for a in range(len(s) - 3):
             seen[tuple(s[a : a + 4])].add(k)
-    for s, hit in zip(streams, html.covered(streams, 4, 3), strict=True):
-        want = np.zeros(len(s), bool)
-        for a in range(len(s) - 3):
-            if len(seen[tuple(s[a : a + 4])]) >= 3:
-                want[a : a + 4] = True
-        assert (hit == want).all()
+    got = html.buckets(streams, 4)
+    assert {tuple(streams[p][k : k + 4]): n for p, k, n in got} == {g: len(v) for g, v in seen.items()} and len(got) == len(seen)
+    assert html.buckets([[], []]) == html.buckets([]) == []
+
+
+def plain_extract(pages, min_run=6, min_pages=3, share=0.01):
+    """All of it by hand: the runs of each host's different streams in a dictionary."""
+    cut = {i: (re.match("https?://([^/]*)", url)[1].lower(), [" ".join(x.split()) for x in re.split("</?div>", source) if x.strip()]) for i, url, source in pages}
+    streams = collections.defaultdict(set)
+    for host, blocks in cut.values():
+        streams[host].add(tuple(" ".join(blocks).split()))
+    runs = collections.defaultdict(set)
+    for host, own in streams.items():
+        for s in own:
+            for k in range(len(s) - min_run + 1):
+                runs[host, s[k : k + min_run]].add(s)
+    out = {}
+    for i, (host, blocks) in cut.items():
+        s = " ".join(blocks).split()
+        hit = [False] * len(s)
+        for k in range(len(s) - min_run + 1):
+            n = len(runs[host, tuple(s[k : k + min_run])])
+            if n >= min_pages and n >= share * len(streams[host]):
+                hit[k : k + min_run] = [True] * min_run
+        left, at = [], 0
+        for x in blocks:
+            words = x.split()
+            left.append(" ".join(w for w, h in zip(words, hit[at:], strict=False) if not h))
+            at += len(words)
+        out[i] = "\n".join(x for x in left if x)
+    return out
+
+
+def test_op5_without_marks_equals_brute_force(spark):
+    """Pages without any mark: one host of 2,000 pages, one of 30 with copies, one of 2; the same however pages are dealt."""
+    r = random.Random(1)
+    word = lambda: f"w{r.randrange(3000)}"
+    menus = [" ".join(word() for _ in range(9)) for _ in range(6)]
+    rare = " ".join(word() for _ in range(12))
+    pages = []
+    for k in range(2032):
+        host = "big" if k < 2000 else "mid" if k < 2030 else "two"
+        blocks = [menus[0] if k % 3 else menus[1], " ".join(word() for _ in range(r.randrange(1, 40))), r.choice(menus[2:]) + " " + word(), *([rare] if k in (5, 900, 1500, 2001, 2010, 2020) else []), f"page {k}"]
+        pages.append((k, f"http://{host}.example/{k}", "".join(f"<div>{x}</div>" for x in blocks)))
+    pages += [(3000 + k, f"http://mid.example/copy{k}", pages[2005][2]) for k in range(40)]
+    want = plain_extract(pages)
+    for parts in (1, 7):
+        own = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)
+        assert {x["page_id"]: x["text"] for x in html.extract(own).collect()} == want
+    assert rare in want[5] and rare not in want[2010] and menus[1] in want[2031]
+    assert not any(m in want[k] for k in range(2000) for m in menus) and want[3000] == want[2005] != ""
 
 
 # 6, 7 ---------------------------------------------------------------------------------------------------------------
