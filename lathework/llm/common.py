@@ -25,23 +25,30 @@ def word_count(text: Column) -> Column:
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows (counted), and whether it is."""
-    small = df.limit(max_rows + 1).count() <= max_rows
+    small = few(df, max_rows)
     return (F.broadcast(df) if small else df), small
 
 
-def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", max_rows: int = 5_000, copies: int = 32) -> DataFrame:
+def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", max_rows: int = 5_000, copies: int = 32, small: bool | None = None) -> DataFrame:
     """Rows with their group's values, a row per group.
 
-    Up to ``max_rows`` groups (counted) are broadcast and the rows stay where
-    they are. More of them are joined by key, each group's row once for each
-    value 0..``copies``-1 of the rows' column ``salt``, which deals a hot group out.
+    Up to ``max_rows`` groups are broadcast and the rows stay where they are. More
+    of them are joined by key, each group's row once for each value
+    0..``copies``-1 of the rows' column ``salt``, which deals a hot group out.
+    Groups are counted, unless the caller has done so and says in ``small``
+    whether they are that few.
     """
-    small, is_small = bounded_broadcast(groups, max_rows)
-    if is_small:
-        return rows.join(small, keys, how)
+    if small is None:
+        small = few(groups, max_rows)
+    if small:
+        return rows.join(F.broadcast(groups), keys, how)
     return rows.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), [*keys, "salt"], how)
 
 
+def few(df: DataFrame, max_rows: int = 5_000) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def hash_sample(rows: DataFrame, most: int, n: int, *columns: str) -> DataFrame:
     """``most`` of ``n`` rows: those with the smallest hashes of ``columns``.
 

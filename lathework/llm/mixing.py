@@ -22,17 +22,17 @@ Rates are rounded into whole copies by order sampling: each document gets
 where f is what is left of the rate and u a uniform hash, until the words that the
 source still needs are reached: a document's chance is close to f. The cut is found
 on a histogram of that order, refined within one bin and then by rows inside a
-16-millionth. One or two single documents per source whose size fits the rest best
-are then added or left out. All this is a row per source; a document's copies follow
+16-millionth. A single document per source whose size fits the rest best is then
+added or left out. All this is a row per source; a document's copies follow
 from that row alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lathework.llm.common import documents, meet_groups, word_count
+from lathework.llm.common import documents, few, meet_groups, word_count
 from lathework.session import materialize
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2.0
@@ -78,7 +78,7 @@ def _rate(limit: float, tilt: float, size: str = "_size") -> Column:
     return F.when(F.col(size) == 0, F.lit(1.0)).otherwise(F.coalesce(free, F.lit(0.0)))
 
 
-def solve(cells: DataFrame, limit: float = LIMIT, tilt: float = TILT, tolerance: float = 1e-10, max_steps: int = 80) -> DataFrame:
+def solve(cells: DataFrame, limit: float = LIMIT, tilt: float = TILT, tolerance: float = 1e-10, max_steps: int = 80, small: bool | None = None) -> DataFrame:
     """Newton on the dual: ``(has, source_key, source_size, target, lambda)``.
 
     ``cells (has, source_key, salt, size, n, target)`` count the documents of each
@@ -97,8 +97,9 @@ def solve(cells: DataFrame, limit: float = LIMIT, tilt: float = TILT, tolerance:
     high = F.when(grows, F.greatest(F.lit(0.0), top)).otherwise(F.lit(0.0))
     start = start.withColumn("low", F.when(solvable, low)).withColumn("high", F.when(solvable, high))
     state = materialize(start.withColumn("lambda", F.when(F.col("target") >= limit * F.col("source_size"), F.col("high")).otherwise(F.when(solvable, F.lit(0.0)))).drop("least"), "dual")
+    small = few(state) if small is None else small
     for _ in range(max_steps):
-        at = meet_groups(words, state.select(*_KEYS, "lambda"), _KEYS, copies=SALT)
+        at = meet_groups(words, state.select(*_KEYS, "lambda"), _KEYS, copies=SALT, small=small)
         rate = F.exp(F.col("lambda") * x)
         mass = F.col("size") * F.col("n") * F.least(F.lit(float(limit)), rate)
         slope = F.when(rate < limit, F.col("size") * F.col("n") * x * rate).otherwise(F.lit(0.0))
@@ -111,8 +112,10 @@ def solve(cells: DataFrame, limit: float = LIMIT, tilt: float = TILT, tolerance:
         step = F.when((F.col("slope") > 0) & (newton >= F.col("low")) & (newton <= F.col("high")), newton).otherwise((F.col("low") + F.col("high")) / 2)
         settled = (F.col("gap") < tolerance) | (F.col("high") - F.col("low") <= 1e-15)
         met = met.withColumn("done", F.col("lambda").isNull() | settled).withColumn("lambda", F.when(F.col("done"), F.col("lambda")).otherwise(step))
-        state = materialize(met.select(*_KEYS, "source_size", "target", "low", "high", "lambda", "done"), "dual", before)
-        if state.where("not done").isEmpty():
+        seen = Observation()
+        met = met.select(*_KEYS, "source_size", "target", "low", "high", "lambda", "done").observe(seen, F.count_if(~F.col("done")).alias("open"))
+        state = materialize(met, "dual", before)
+        if not seen.get["open"]:
             break
     return state.select(*_KEYS, "source_size", "target", "lambda")
 
@@ -150,7 +153,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
 
     ``lambda`` gives the rates; the order of rounding is taken up to bin ``cut``,
     within it up to bin ``fine``, and within that up to the row ``last``; ``flips``
-    are single rows for which it is the other way round. Rows equal in id, size
+    is a single row for which it is the other way round. Rows equal in id, size
     and source are taken alike.
     """
     return _plan(_keyed(docs, id_col, text_col, source_col).drop("_row"), weights, share, limit, tilt)
@@ -170,10 +173,11 @@ def _plan(keyed: DataFrame, weights: tuple[int, ...], share: float, limit: float
     cells = materialize(units.groupBy(*_KEYS, F.col("_size").alias("size"), F.pmod("_size", F.lit(SALT)).cast("int").alias("salt")).agg(F.sum("n").alias("n")), "cells")
     wanted = targets(cells.groupBy("has", F.col("source_key").alias("source")).agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, limit)
     wanted = materialize(wanted.select("has", F.col("source").alias("source_key"), "target"), "targets")
-    per = solve(meet_groups(cells, wanted, _KEYS, copies=SALT), limit, tilt).withColumn("most", F.lit(int(limit)).cast("long"))
+    small = few(wanted)
+    per = solve(meet_groups(cells, wanted, _KEYS, copies=SALT, small=small), limit, tilt, small=small).withColumn("most", F.lit(int(limit)).cast("long"))
     per = materialize(per, "rates")
 
-    dealt = lambda lam: _rounding(meet_groups(units, lam, _KEYS, copies=SALT), limit, tilt)
+    dealt = lambda lam: _rounding(meet_groups(units, lam, _KEYS, copies=SALT, small=small), limit, tilt)
     bins = dealt(per.select(*_KEYS, "lambda")).groupBy(*_KEYS, "_bin").agg(F.sum(F.when(F.col("_order").isNotNull(), F.col("words")).otherwise(0)).alias("words"), F.sum(F.col("base") * F.col("words")).alias("sure"))
     bins = materialize(bins, "bins")
     sure = bins.groupBy(*_KEYS).agg(F.sum("sure").alias("sure"))
@@ -191,19 +195,16 @@ def _plan(keyed: DataFrame, weights: tuple[int, ...], share: float, limit: float
     last = inside.withColumn("upto", upto).where("upto <= rest").groupBy(*_KEYS).agg(F.max(F.struct(*_ROW)).alias("last"))
     none = F.filter(F.array(F.col("last")), lambda x: F.lit(False))
     per = per.drop("need", "cut_before", "fine_before", "rest").join(last, _KEYS, "left").withColumn("flips", none)
-    per = materialize(per, "plan")
-    for _ in range(2):
-        per = _fit(units, per, limit, tilt)
-    return per
+    return _fit(units, materialize(per, "plan"), limit, tilt, small)
 
 
-def _fit(units: DataFrame, per: DataFrame, limit: float, tilt: float) -> DataFrame:
+def _fit(units: DataFrame, per: DataFrame, limit: float, tilt: float, small: bool) -> DataFrame:
     """Per source, the one row is flipped that brings the words taken closest to the target, if any does."""
-    chosen = _rounding(meet_groups(units, per, _KEYS, copies=SALT), limit, tilt).withColumn("extra", _extra())
+    chosen = _rounding(meet_groups(units, per, _KEYS, copies=SALT, small=small), limit, tilt).withColumn("extra", _extra())
     taken = chosen.groupBy(*_KEYS).agg(F.sum((F.col("base") + F.col("extra")) * F.col("words")).alias("taken"))
     gap = materialize(per.join(taken, _KEYS).select(*_KEYS, (F.col("target") - F.col("taken")).alias("gap")), "gaps")
     single = "words > 0 and (base + extra < most or extra = 1 or base > 0) and not exists(flips, f -> f._hash = _hash and f._id <=> _id and f._size = _size)"
-    scored = meet_groups(chosen.where(single), gap, _KEYS, copies=SALT)
+    scored = meet_groups(chosen.where(single), gap, _KEYS, copies=SALT, small=small)
     more = (F.col("extra") <= 0) & (F.col("base") + F.col("extra") < F.col("most"))
     after = F.abs(F.col("gap") - F.when(more, F.col("words")).otherwise(-F.col("words")))
     best = scored.withColumn("after", after).where(F.col("after") < F.abs("gap")).groupBy(*_KEYS, "salt").agg(F.min(F.struct("after", *_ROW)).alias("best")).groupBy(*_KEYS).agg(F.min("best").alias("best"))

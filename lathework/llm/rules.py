@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathework.llm.common import WORD, documents, meet_groups
@@ -229,8 +229,9 @@ def determinant_search(own: DataFrame, h: float = H) -> DataFrame:
     state = materialize(state.join(best, keys, "left_semi"), "estimates", state)
     for _ in range(STEPS):
         new = _concentrate(own, state.drop("was"), h).join(state.select(*keys, F.col("logdet").alias("was")), keys)
-        state = materialize(new, "estimates", state)
-        if state.where(F.abs(F.col("was") - F.col("logdet")) > SETTLED).isEmpty():
+        seen = Observation()
+        state = materialize(new.observe(seen, F.count_if(F.abs(F.col("was") - F.col("logdet")) > SETTLED).alias("moved")), "estimates", state)
+        if not seen.get["moved"]:
             break
     return state.drop("was", "start", "logdet")
 

@@ -18,7 +18,7 @@ import itertools
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.llm.common import documents, map_texts
@@ -113,8 +113,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: all edges point down; the smaller neighbours of u are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", edges)
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        seen = Observation()
+        after = small.union(least.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("sum"))
+        edges = materialize(after, "edges", edges)
+        now = dict(seen.get)
         if now == before:
             break
         before = now
