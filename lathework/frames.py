@@ -12,10 +12,7 @@ def global_rank(df: DataFrame, order: str, target: str = "rank", per_range: int
     Values are cut into ranges at approximate quantiles; ranks are counted
     inside a range and offset by the sizes of the ranges before.
     """
-    n = df.count()
-    ranges = min(4_096, -(-n // per_range))
-    cuts = [] if ranges <= 1 else sorted(set(df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 50_000)).first()[0]))
-    part = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    part, _ = range_parts(df, order, per_range, 4_096)
     dealt = df.withColumn("_part", part)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
@@ -33,3 +30,25 @@ def hash_order(*parts: Column | str) -> Column:
     """The first 32 bits of the same hash, to order rows by."""
     columns = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
     return F.conv(F.substring(F.md5(F.concat_ws("-", *columns)), 1, 8), 16, 10).cast("long")
+
+
+def range_parts(df: DataFrame, key: str, per_range: int, max_ranges: int = 20_000) -> tuple[Column, int]:
+    """A column that numbers ranges of ``key`` in ascending order (nulls in the first), and how many there are at most.
+
+    The cuts are approximate quantiles about ``per_range`` rows apart; there are
+    at most ``max_ranges``, which bounds what the driver and the plan hold. A row
+    finds its range by binary search. Equal keys share a range.
+    """
+    n = df.count()
+    ranges = min(max_ranges, max(1, -(-n // per_range)))
+    cuts: list = []
+    if ranges > 1:
+        found = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10 * max(1_000, ranges))).first()[0]
+        cuts = sorted(set(found or []))
+    if not cuts:
+        return F.lit(0), 1
+    half = lambda s: F.floor((s["l"] + s["h"]) / 2).cast("int")
+    state = lambda low, high: F.struct(low.cast("int").alias("l"), high.cast("int").alias("h"))
+    step = lambda s, _: F.when(s["l"] >= s["h"], s).when(F.col(key) > F.element_at(F.lit(cuts), half(s) + 1), state(half(s) + 1, s["h"])).otherwise(state(s["l"], half(s)))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), state(F.lit(0), F.lit(len(cuts))), step, lambda s: s["l"])
+    return F.coalesce(F.when(F.col(key).isNotNull(), found), F.lit(0)), len(cuts) + 1

@@ -78,8 +78,8 @@ def sign_label(x: Column, up: str = "UP", down: str = "DOWN") -> Column:
 
 
 def symbol_quality(x: Column) -> Column:
-    """2 for a resolved symbol, 1 for a cluster-style or numeric placeholder, 0 for none or a bare accession."""
-    return F.when(x.isNull() | (x == "") | F.startswith(x, F.lit("ENSG")), 0).when(x.rlike(r"^(LOC|LINC|[A-Z]{2}\d{6})"), 1).otherwise(2)
+    """2 for a resolved symbol, 1 for a locus or non-coding placeholder, 0 for none or a bare accession."""
+    return F.when(x.isNull() | (x == "") | F.startswith(x, F.lit("ENSG")), 0).when(x.rlike("^(LOC|LINC)"), 1).otherwise(2)
 
 
 def unit_vector(a: Column) -> Column:

@@ -43,12 +43,20 @@ def _block_pairs(vectors: DataFrame, blocks: int, work) -> DataFrame:
     return left.unionByName(right).groupBy("x", "y").applyInPandas(block, f"i {kind}, j {kind}, d double")
 
 
-def pair_distances(vectors: DataFrame, metric: str = "sqeuclidean", blocks: int = 4) -> DataFrame:
+#: Samples in a block, so that a pair of blocks and its square of distances fit a task.
+BLOCK = 2_048
+
+
+def _blocks(vectors: DataFrame, least: int) -> int:
+    return max(least, -(-vectors.count() // BLOCK))
+
+
+def pair_distances(vectors: DataFrame, metric: str = "sqeuclidean", blocks: int | None = None) -> DataFrame:
     """``(i, j, d)`` for all ordered pairs of different samples; metric ``sqeuclidean`` or ``cosine`` (one minus the clipped cosine).
 
-    Each pair of blocks is one matrix product; choose ``blocks`` so that a block
-    of samples and its square of distances fit a task.
+    Each pair of blocks is one matrix product; blocks hold ``BLOCK`` samples or fewer unless their number is given.
     """
+    blocks = blocks or _blocks(vectors, 4)
 
     def work(ids, a, others, b):
         d = _matrix(a, b, metric)
@@ -64,19 +72,29 @@ def nearest(distances: DataFrame, k: int = 20, digits: int = 9) -> DataFrame:
     return distances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_blocked(vectors: DataFrame, k: int = 20, blocks: int = 8, metric: str = "sqeuclidean") -> DataFrame:
+def nearest_blocked(vectors: DataFrame, k: int = 20, blocks: int | None = None, metric: str = "sqeuclidean") -> DataFrame:
     """``(i, j, d)``: the ``k`` nearest of each sample without a row per pair.
 
     Samples are dealt into blocks; each pair of blocks is one task's matrix
     product, which keeps ``k`` candidates per sample; the best ``k`` of a
     sample's candidates follow by rank. Shuffles ``blocks`` copies of the
-    vectors and ``blocks * k`` candidates per sample.
+    vectors and ``blocks * k`` candidates per sample. Without a number of blocks
+    these hold ``BLOCK`` samples or fewer.
     """
+    blocks = blocks or _blocks(vectors, 8)
 
     def work(ids, a, others, b):
         d = _matrix(a, b, metric)
         d = np.where(ids[:, None] == others[None, :], np.inf, d)
-        order = np.lexsort((np.broadcast_to(others, d.shape), np.round(d, 9)))[:, :k]
+        near = np.round(d, 9)
+        if d.shape[1] > 4 * k:  # only what is as near as the k-th is sorted
+            edge = np.partition(near, k - 1, axis=1)[:, k - 1]
+            order = np.empty((len(ids), k), np.int64)
+            for q in range(len(ids)):
+                own = np.flatnonzero(near[q] <= edge[q])
+                order[q] = own[np.lexsort((others[own], near[q, own]))[:k]]
+        else:
+            order = np.lexsort((np.broadcast_to(others, d.shape), near))[:, :k]
         i, j, v = np.repeat(ids, order.shape[1]), others[order].ravel(), np.take_along_axis(d, order, 1).ravel()
         return i[np.isfinite(v)], j[np.isfinite(v)], v[np.isfinite(v)]
 

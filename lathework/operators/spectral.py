@@ -55,8 +55,8 @@ def spectrum(w: np.ndarray) -> np.ndarray:
 
 
 def eigengap(values: np.ndarray, most: int = 10) -> int:
-    """The number of groups, 2 to ``most``, after which the next eigenvalue is farthest."""
-    gaps = np.diff(values[: most + 1])[1:]
+    """The number of groups, 2 to ``most + 1``, after which the next eigenvalue is farthest."""
+    gaps = np.diff(values[1 : most + 2])
     return 2 + int(np.argmax(np.round(gaps, 12))) if len(gaps) else 1
 
 
@@ -93,11 +93,14 @@ def k_means(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, steps: int =
 
 
 def spectral_labels(w: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """k-means on the row-normalised first ``k`` eigenvectors."""
+    """k-means on the first ``k`` eigenvectors, the trivial one included, scaled back by degree."""
+    return k_means(first_vectors(w, k), k, seed)
+
+
+def first_vectors(w: np.ndarray, k: int) -> np.ndarray:
+    d = np.maximum(w.sum(axis=1), 1e-10)
     _, vectors = np.linalg.eigh(np.eye(len(w)) - normalised(w))
-    v = vectors[:, :k]
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return k_means(v / np.where(norm == 0, 1, norm), k, seed)
+    return fix_signs(vectors[:, :k] / np.sqrt(d)[:, None])
 
 
 def silhouette_scores(w: np.ndarray, labels: np.ndarray, k: int) -> float:
@@ -182,60 +185,65 @@ def principal_components(vectors: DataFrame, dims: int, components: int = 10) ->
     return vectors.select("id", "vec").mapInPandas(project, f"id {kind}, pc array<double>"), ratio
 
 
-def combat_chunk(x: np.ndarray, batch: np.ndarray, mean_only: bool, tolerance: float = 1e-6) -> np.ndarray:
-    """Empirical-Bayes location and scale adjustment of features x samples."""
-    groups = [batch == b for b in np.unique(batch)]
-    sizes = np.array([g.sum() for g in groups])
-    means = np.stack([x[:, g].mean(axis=1) for g in groups], axis=1)
-    grand = (means * sizes).sum(axis=1) / sizes.sum()
-    resid = x.copy()
-    for q, g in enumerate(groups):
-        resid[:, g] -= means[:, [q]]
-    sd = np.sqrt((resid**2).mean(axis=1))
-    sd = np.where(sd == 0, 1, sd)
-    z = (x - grand[:, None]) / sd[:, None]
-    out = z.copy()
-    for g in groups:
-        own, n = z[:, g], int(g.sum())
-        gamma = own.mean(axis=1)
-        g_bar, t2 = gamma.mean(), max(gamma.var(ddof=1) if len(gamma) > 1 else 0.0, 1e-12)
-        if mean_only or n < 2:
-            star = (n * t2 * gamma + g_bar) / (n * t2 + 1)
-            out[:, g] = own - star[:, None]
-            continue
-        delta = own.var(axis=1, ddof=1)
-        m, s2 = delta.mean(), max(delta.var(ddof=1) if len(delta) > 1 else 0.0, 1e-12)
-        a, b = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
-        star, scale = gamma.copy(), np.where(delta == 0, 1.0, delta)
-        for _ in range(200):
-            new = (n * t2 * gamma + scale * g_bar) / (n * t2 + scale)
-            spread = (b + 0.5 * ((own - new[:, None]) ** 2).sum(axis=1)) / (n / 2 + a - 1)
-            moved = max(np.max(np.abs(new - star) / np.maximum(np.abs(star), 1e-12)), np.max(np.abs(spread - scale) / scale))
-            star, scale = new, spread
-            if moved < tolerance:
-                break
-        out[:, g] = (own - star[:, None]) / np.sqrt(scale)[:, None]
-    return out * sd[:, None] + grand[:, None]
-
-
-def combat(long: DataFrame, batches: DataFrame, chunks: int = 16) -> DataFrame:
-    """``(sample_id, feature_id, value)`` adjusted for ``batches (sample_id, batch)``.
+def shrink(n: np.ndarray, gamma: np.ndarray, delta: np.ndarray, prior: tuple[float, float, float, float], tolerance: float = 1e-8, steps: int = 1_000) -> tuple[np.ndarray, np.ndarray]:
+    """Empirical-Bayes location and scale of standardised features in a batch, each iterated by itself until it settles.
 
-    Feature chunks are adjusted side by side, each with its own priors. If any
-    batch has one sample only, means are adjusted and scales are not. The frame
-    must be dense.
+    ``n`` samples with mean ``gamma`` and sample variance ``delta``; ``prior`` is
+    the mean and variance of the locations and of the scales over all features.
+    """
+    g_bar, t2, m, s2 = prior
+    t2, s2 = max(t2, 1e-12), max(s2, 1e-12)
+    a, b = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
+    star, scale = gamma.copy(), np.where(delta == 0, 1.0, delta)
+    active = np.ones(len(n), bool)
+    for _ in range(steps):
+        k, g, q = n[active], gamma[active], scale[active]
+        new = (k * t2 * g + q * g_bar) / (k * t2 + q)
+        squares = (k - 1) * delta[active] + k * (g - new) ** 2
+        spread = (b + 0.5 * squares) / (k / 2 + a - 1)
+        moved = np.maximum(np.abs(new - star[active]) / np.maximum(np.abs(star[active]), 1e-12), np.abs(spread - q) / q)
+        star[active], scale[active] = new, spread
+        active[np.flatnonzero(active)] = moved >= tolerance
+        if not active.any():
+            break
+    return star, scale
+
+
+def combat(long: DataFrame, batches: DataFrame) -> DataFrame:
+    """``(sample_id, feature_id, value)`` adjusted for ``batches (sample_id, batch)`` by empirical Bayes.
+
+    Moments per feature and batch are aggregates; priors are taken over all
+    features of a batch, a row per batch; each feature's shrunken location and
+    scale follow from its own moments and the priors. If any batch has one sample
+    only, means are adjusted and scales are not. The frame must be dense.
     """
     single = not batches.groupBy("batch").count().where("count = 1").isEmpty()
-    joined = long.join(batches, "sample_id").withColumn("chunk", F.pmod(F.xxhash64("feature_id"), F.lit(chunks)).cast("int"))
-    schema = long.select("sample_id", "feature_id", "value").schema
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot(index="feature_id", columns="sample_id", values="value")
-        batch = part.drop_duplicates("sample_id").set_index("sample_id")["batch"].loc[wide.columns].to_numpy()
-        done = pd.DataFrame(combat_chunk(wide.to_numpy(), batch, single), index=wide.index, columns=wide.columns)
-        return done.stack().rename("value").reset_index()[["sample_id", "feature_id", "value"]]
-
-    return joined.groupBy("chunk").applyInPandas(work, schema)
+    own = long.join(batches, "sample_id")
+    cells = own.groupBy("feature_id", "batch").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("var"))
+    whole = cells.groupBy("feature_id").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sqrt(F.sum((F.col("n") - 1) * F.col("var")) / F.sum("n")).alias("sd"))
+    whole = whole.withColumn("sd", F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
+    scaled = cells.join(whole, "feature_id").select("feature_id", "batch", "n", "grand", "sd", ((F.col("mean") - F.col("grand")) / F.col("sd")).alias("gamma"), (F.col("var") / F.col("sd") / F.col("sd")).alias("delta"))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    prior = scaled.groupBy("batch").agg(F.avg("gamma").alias("g_bar"), none(F.var_samp("gamma")).alias("t2"), F.avg("delta").alias("m"), none(F.var_samp("delta")).alias("s2"))
+    if single:
+        t2 = F.greatest(F.col("t2"), F.lit(1e-12))
+        star = scaled.join(prior, "batch").withColumn("star", (F.col("n") * t2 * F.col("gamma") + F.col("g_bar")) / (F.col("n") * t2 + 1)).withColumn("scale", F.lit(1.0))
+    else:
+
+        def work(parts):
+            for part in parts:
+                out = part[["feature_id", "batch", "grand", "sd"]].assign(star=0.0, scale=1.0)
+                for _, rows in part.reset_index(drop=True).groupby("batch"):
+                    first = rows.iloc[0]
+                    found = shrink(rows["n"].to_numpy(), rows["gamma"].to_numpy(), rows["delta"].to_numpy(), (first["g_bar"], first["t2"], first["m"], first["s2"]))
+                    out.iloc[rows.index, out.columns.get_loc("star")], out.iloc[rows.index, out.columns.get_loc("scale")] = found
+                yield out
+
+        kinds = {f.name: f.dataType.simpleString() for f in scaled.schema.fields}
+        star = scaled.join(prior, "batch").mapInPandas(work, f"feature_id {kinds['feature_id']}, batch {kinds['batch']}, grand double, sd double, star double, scale double")
+    z = (F.col("value") - F.col("grand")) / F.col("sd")
+    done = (z - F.col("star")) / F.sqrt("scale") * F.col("sd") + F.col("grand")
+    return own.join(star.select("feature_id", "batch", "grand", "sd", "star", "scale"), ["feature_id", "batch"]).select("sample_id", "feature_id", done.alias("value"))
 
 
 def mean_shift(long: DataFrame, batches: DataFrame) -> DataFrame:
@@ -268,16 +276,50 @@ def rand_index(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 if most == expected else float((pairs(n) - expected) / (most - expected))
 
 
-def clustering_record(w: np.ndarray, k: int, reference: np.ndarray, seeds: int = 10) -> dict:
-    """Sizes, silhouette, agreement with the reference, and agreement between seeds."""
-    runs = [spectral_labels(w, k, s) for s in range(seeds)]
+def shared_information(a: np.ndarray, b: np.ndarray) -> float:
+    """Mutual information over the mean of the two entropies; one where both are zero."""
+    n = pd.crosstab(a, b).to_numpy().astype(float) / len(a)
+    h = lambda p: -(p[p > 0] * np.log(p[p > 0])).sum()
+    ha, hb = h(n.sum(axis=1)), h(n.sum(axis=0))
+    return 1.0 if ha + hb <= 1e-15 else float(2 * (ha + hb - h(n.ravel())) / (ha + hb))
+
+
+def group_survival_p(labels: np.ndarray, time: np.ndarray, event: np.ndarray) -> float:
+    """p of the log-rank test between labels; samples without a time are left out, NaN without two groups or an event."""
+    from lathework.operators.tests import chi2_tail
+
+    known = ~np.isnan(time)
+    labels, time, event = labels[known], time[known], event[known].astype(bool)
+    names = np.unique(labels)
+    if len(names) < 2 or not event.any():
+        return float("nan")
+    at = np.unique(time[event])
+    n = np.stack([(np.sort(time[labels == g])[:, None] >= at[None, :]).sum(axis=0) for g in names]).astype(float)
+    d = np.stack([((time[:, None] == at[None, :]) & (event & (labels == g))[:, None]).sum(axis=0) for g in names]).astype(float)
+    total, died = n.sum(axis=0), d.sum(axis=0)
+    u = (d - died * n / total).sum(axis=1)[:-1]
+    factor = np.where(total > 1, died * (total - died) / np.maximum(total - 1, 1), 0)
+    share = n / total
+    v = np.diag((factor * share).sum(axis=1)) - (factor * share) @ share.T
+    return chi2_tail(float(u @ np.linalg.pinv(v[:-1, :-1]) @ u), len(u))
+
+
+def clustering_record(w: np.ndarray, k: int, reference: np.ndarray, seeds: int = 10, survival: tuple[np.ndarray, np.ndarray] | None = None) -> dict:
+    """Sizes, silhouette, agreement with the reference and between seeds, and the log-rank p of the labels (NaN without ``survival (time, event)``)."""
+    v = first_vectors(w, k)
+    runs = [k_means(v, k, s) for s in range(seeds)]
     ari = [rand_index(runs[a], runs[b]) for a in range(seeds) for b in range(a + 1, seeds)]
-    return {"k": k, "sizes": str([int((runs[0] == g).sum()) for g in range(k)]), "silhouette": silhouette_scores(w, runs[0], k), "ari": rand_index(runs[0], reference), "stability_mean": float(np.mean(ari)), "stability_sd": float(np.std(ari)), "stable": bool(np.mean(ari) >= 0.8)}
+    return {
+        "k": k, "sizes": str([int((runs[0] == g).sum()) for g in range(k)]), "silhouette": silhouette_scores(w, runs[0], k), "ari": rand_index(runs[0], reference), "nmi": shared_information(runs[0], reference),
+        "logrank_p": group_survival_p(runs[0], *survival) if survival else float("nan"), "stability_mean": float(np.mean(ari)), "stability_sd": float(np.std(ari)), "stable": bool(np.mean(ari) >= 0.8),
+    }
 
 
-def sweep(vectors: DataFrame, configs: list[tuple[int, int, str]], parts: list[tuple[int, int]], steps: int = 20) -> DataFrame:
+def sweep(vectors: DataFrame, configs: list[tuple[int, int, str]], parts: list[tuple[int, int]], steps: int = 20, seeds: int = 10) -> DataFrame:
     """One row per distinct configuration ``(neighbours, dimensions, metric)``: fusion of the parts' kernels and its two-group record.
 
+    ``vectors (id, vec, label, time, event)``; times may be null.
+
     Configurations run side by side; each task holds the samples' matrices, behind the same check of n.
     """
     n = vectors.count()
@@ -293,7 +335,11 @@ def sweep(vectors: DataFrame, configs: list[tuple[int, int, str]], parts: list[t
         x = np.array(part["vec"].tolist(), float)
         use = np.sort(np.argsort(-np.round(np.median(np.abs(x - np.median(x, axis=0)), axis=0), 12), kind="stable")[:dims])
         kernels = [kernel_matrix(x[:, own], k, metric=metric) for a, b in parts if len(own := use[(use >= a) & (use < b)])]
-        record = clustering_record(fuse(kernels, k, steps), 2, part["label"].to_numpy(), seeds=3)
-        return pd.DataFrame([{"config": f"K={k} · {dims}feat · {metric}", "cluster_sizes": record["sizes"], "ari": record["ari"], "silhouette": record["silhouette"]}])
+        survival = part["time"].to_numpy(float), part["event"].fillna(False).to_numpy(bool)
+        record = clustering_record(fuse(kernels, k, steps), 2, part["label"].to_numpy(), seeds, survival)
+        return pd.DataFrame([{"config": f"K={k} · {dims}feat · {metric}", "cluster_sizes": record["sizes"], **{c: record[c] for c in _RECORD}}])
+
+    return each.groupBy("k", "dims", "metric").applyInPandas(work, "config string, cluster_sizes string, " + ", ".join(f"{c} double" for c in _RECORD))
+
 
-    return each.groupBy("k", "dims", "metric").applyInPandas(work, "config string, cluster_sizes string, ari double, silhouette double")
+_RECORD = ("ari", "nmi", "silhouette", "stability_mean", "stability_sd", "logrank_p")

@@ -48,7 +48,7 @@ def _risk_sets(rows: DataFrame, group: str) -> DataFrame:
     times = own.where("event").select("time").distinct()
     groups = own.select(group).distinct()
     cells = own.groupBy(group, "time").agg(F.sum(F.col("event").cast("long")).alias("d_g"), F.count("*").alias("m"))
-    grid = own.select("time").distinct().crossJoin(F.broadcast(groups)).join(cells, ["time", group], "left").na.fill(0, ["d_g", "m"])
+    grid = own.select("time").distinct().crossJoin(groups).join(cells, ["time", group], "left").na.fill(0, ["d_g", "m"])
     later = Window.partitionBy(group).orderBy("time").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     grid = grid.withColumn("n_g", F.sum("m").over(later)).join(times, "time", "left_semi")
     at = Window.partitionBy("time")
@@ -89,7 +89,12 @@ def log_rank_many(rows: DataFrame, group: str) -> tuple[float, int, float]:
     return stat, len(u), chi2_tail(stat, len(u))
 
 
-def _pairs_of_blocks(rows: DataFrame, columns: list[str], blocks: int) -> DataFrame:
+#: Patients in a block, so that what a pair of blocks is compared in fits a task.
+BLOCK = 2_048
+
+
+def _pairs_of_blocks(rows: DataFrame, columns: list[str], blocks: int | None) -> DataFrame:
+    blocks = blocks or max(4, -(-rows.count() // BLOCK))
     own = rows.select(*columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     left = each.select(F.col("b").alias("x"), F.col("o").alias("y"), F.lit(True).alias("first"), *columns)
@@ -101,7 +106,7 @@ def comparable(ta, ea, tb, eb) -> np.ndarray:
     return ea[:, None] & ((ta[:, None] < tb[None, :]) | ((ta[:, None] == tb[None, :]) & ~eb[None, :]))
 
 
-def concordance(rows: DataFrame, risk: str = "risk", blocks: int = 4, piece: int = 2_000) -> DataFrame:
+def concordance(rows: DataFrame, risk: str = "risk", blocks: int | None = None, piece: int = 2_000) -> DataFrame:
     """``(concordant, comparable, c)``: higher risk should have the event first; equal risks count one half."""
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +133,7 @@ def multiplicities(spark, n: int, replicates: int, seed: str = "b") -> DataFrame
     return drawn.groupBy("rank").agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("w"))
 
 
-def bootstrap_concordance(ranked: DataFrame, risks: list[str], replicates: int = 1_000, seed: str = "b", blocks: int = 4) -> DataFrame:
+def bootstrap_concordance(ranked: DataFrame, risks: list[str], replicates: int = 1_000, seed: str = "b", blocks: int | None = None) -> DataFrame:
     """``(b, c_<risk>...)`` per replicate: the concordance of each risk under the same resample of patients.
 
     ``ranked`` has ranks 0..n-1. A pair counts as often as the product of its

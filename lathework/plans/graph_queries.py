@@ -26,7 +26,7 @@ def _near(d: str, k: int = 20) -> str:
 
 
 def _kernel(d: str) -> str:
-    return f"(with dd as {d}, m as (select i, avg(d) as m from {_near('dd')} group by 1) select dd.i, dd.j, exp(-dd.d / (2 * greatest(0.5 * (a.m + b.m + dd.d) / 3, 2.2250738585072014e-308))) as w from dd join m a on a.i = dd.i join m b on b.i = dd.j)"
+    return f"(with dd as materialized {d}, m as materialized (select i, avg(d) as m from {_near('dd')} group by 1) select dd.i, dd.j, exp(-dd.d / (2 * greatest(0.5 * (a.m + b.m + dd.d) / 3, 2.2250738585072014e-308))) as w from dd join m a on a.i = dd.i join m b on b.i = dd.j)"
 
 
 @query("pairwise_sqeuclidean", f"select i, j, {r('d')} as d from {_D}")

@@ -27,9 +27,15 @@ def _graph(spark, d):
     return L.gather(G.affinity(G.pair_distances(vectors(spark, d))))
 
 
-def _labels(spark, d, ids):
-    own = dict((x["id"], x["label"]) for x in vectors(spark, d).select("id", "label").collect())  # as many as the dense graph has
-    return np.array([own[i] for i in ids])
+def _samples(spark, d):
+    """Vectors with the survival of the patient of the same number, if there is one."""
+    return vectors(spark, d).join(patients(spark, d).select(F.col("pid").alias("id"), "time", "event"), "id", "left")
+
+
+def _known(spark, d, ids):
+    """Labels and survival in the order of ``ids``: as many rows as the dense graph has."""
+    own = _samples(spark, d).select("id", "label", "time", "event").toPandas().set_index("id").loc[ids]
+    return own["label"].to_numpy(), (own["time"].to_numpy(float), own["event"].fillna(False).to_numpy(bool))
 
 
 @query("laplacian_spectrum")
@@ -61,8 +67,8 @@ def spectral_clustering(spark, d):
 def k_selection(spark, d):
     """A record for each k; the first k with the largest silhouette is primary."""
     ids, w = _graph(spark, d)
-    ref = _labels(spark, d, ids)
-    out = pd.DataFrame([L.clustering_record(w, k, ref, seeds=10 if k == 2 else 2) for k in range(2, 7)])
+    ref, times = _known(spark, d, ids)
+    out = pd.DataFrame([L.clustering_record(w, k, ref, 10, times) for k in range(2, 7)])
     out["primary"] = np.arange(len(out)) == int(np.argmax(np.round(out["silhouette"], 12)))
     return spark.createDataFrame(out)
 
@@ -70,7 +76,7 @@ def k_selection(spark, d):
 @query("network_fusion")
 def network_fusion(spark, d):
     found = [L.gather(m) for m in modalities(spark, d)]
-    return L.to_edges(spark, found[0][0], L.fuse([w for _, w in found], 10))
+    return L.to_edges(spark, found[0][0], L.fuse([w for _, w in found], 10, 20))
 
 
 @query("early_integration")
@@ -126,7 +132,7 @@ def parameter_sweep(spark, d):
     """One at a time around the reference configuration; repeated configurations once."""
     base = (20, 64, "sqeuclidean")
     configs = [base, *[(k, *base[1:]) for k in (10, 15, 20, 25)], *[(base[0], n, base[2]) for n in (32, 64)], *[(*base[:2], m) for m in ("sqeuclidean", "cosine")]]
-    return L.sweep(vectors(spark, d), configs, PARTS)
+    return L.sweep(_samples(spark, d), configs, PARTS)
 
 
 # survival models ---------------------------------------------------------------------------------------------------

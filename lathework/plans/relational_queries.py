@@ -196,7 +196,7 @@ def round_key(spark, d):
 _SYM = "case when p_partkey % 4 = 0 then 'ENSG' || cast(p_partkey as varchar) when p_partkey % 4 = 1 then 'LOC' || cast(p_partkey as varchar) when p_partkey % 4 = 2 then p_name end"
 
 
-@query("symbol_quality", f"select p_partkey, case when s is null or s = '' or starts_with(s, 'ENSG') then 0 when regexp_matches(s, '^(LOC|LINC|[A-Z]{{2}}\\d{{6}})') then 1 else 2 end as q, case when s is null or s = '' then cast(p_partkey as varchar) else s end as shown from (select p_partkey, {_SYM} as s from part)")
+@query("symbol_quality", f"select p_partkey, case when s is null or s = '' or starts_with(s, 'ENSG') then 0 when regexp_matches(s, '^(LOC|LINC)') then 1 else 2 end as q, case when s is null or s = '' then cast(p_partkey as varchar) else s end as shown from (select p_partkey, {_SYM} as s from part)")
 def symbol_quality(spark, d):
     k = F.col("p_partkey")
     s = F.when(k % 4 == 0, F.concat(F.lit("ENSG"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("LOC"), k.cast("string"))).when(k % 4 == 2, F.col("p_name"))

@@ -27,11 +27,14 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "lat
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, one machine) is a local folder made for it.
+    Only where it is unset and everything runs on this machine (tests) is a local folder made for it.
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark.sparkContext, "_lathework_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="lathework-")

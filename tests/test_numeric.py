@@ -119,16 +119,73 @@ def test_principal_components(spark):
     assert ratio == pytest.approx(s[:2] ** 2 / (s**2).sum())
 
 
+def dense_combat(x, batch, mean_only=False):
+    """Features by samples, priors over all features of a batch, iterated far."""
+    groups = [batch == b for b in np.unique(batch)]
+    grand = x.mean(axis=1, keepdims=True)
+    resid = np.concatenate([x[:, g] - x[:, g].mean(axis=1, keepdims=True) for g in groups], axis=1)
+    sd = np.sqrt((resid**2).mean(axis=1, keepdims=True))
+    z, out = (x - grand) / sd, np.empty_like(x)
+    for g in groups:
+        own, n = z[:, g], g.sum()
+        gamma = own.mean(axis=1)
+        g_bar, t2 = gamma.mean(), gamma.var(ddof=1)
+        if mean_only:
+            out[:, g] = own - ((n * t2 * gamma + g_bar) / (n * t2 + 1))[:, None]
+            continue
+        delta = own.var(axis=1, ddof=1)
+        m, s2 = delta.mean(), delta.var(ddof=1)
+        a, b = (2 * s2 + m**2) / s2, (m * s2 + m**3) / s2
+        star, scale = gamma, delta
+        for _ in range(500):
+            star = (n * t2 * gamma + scale * g_bar) / (n * t2 + scale)
+            scale = (b + 0.5 * ((own - star[:, None]) ** 2).sum(axis=1)) / (n / 2 + a - 1)
+        out[:, g] = (own - star[:, None]) / np.sqrt(scale)[:, None]
+    return out * sd + grand
+
+
+def test_eigengap_looks_at_ten_gaps():
+    assert spectral.eigengap(np.array([0, *np.linspace(0.1, 0.2, 10), 0.9, 0.95])) == 11
+    assert spectral.eigengap(np.array([0, 0.1, 0.8, 0.85, 0.9])) == 2
+
+
+def test_clustering_record_is_whole():
+    w = blocks()
+    ref = np.repeat([0, 1], 12)
+    time = np.concatenate([np.arange(1, 13), np.arange(21, 33)]).astype(float)
+    time[3] = np.nan
+    r = spectral.clustering_record(w, 2, ref, 10, (time, np.ones(24, bool)))
+    assert r["nmi"] == pytest.approx(1) and r["ari"] == 1 and r["logrank_p"] < 1e-4
+    assert spectral.shared_information(ref, np.tile([0, 1], 12)) == pytest.approx(0, abs=1e-12)
+    # by hand: four patients, two groups
+    p = spectral.group_survival_p(np.array([0, 0, 1, 1]), np.array([1.0, 2, 3, 4]), np.array([True, True, True, False]))
+    u, v = 2 - (2 / 4 + 1 / 3), 1 / 4 + 2 / 9
+    assert p == pytest.approx(chi2_tail(u * u / v, 1))
+
+
+def test_inner_folds_need_two_events():
+    x, t, _ = data(30)
+    few = np.zeros(30, bool)
+    few[:3] = True
+    assert cox.tuned_fold(x, t, few, x, alphas=(0.01, 10.0), inner=3)[1] in (0.01, 10.0, cox.FALLBACK)
+    few[1:] = False
+    assert cox.tuned_fold(x, t, few, x, alphas=(0.01, 10.0))[1] == cox.FALLBACK
+
+
 def test_combat_removes_batch_means(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(40, 30))
     x[:, :15] += 4
     batch = np.repeat([0, 1], 15)
-    done = spectral.combat_chunk(x, batch, False)
-    assert abs(done[:, :15].mean() - done[:, 15:].mean()) < 0.1
     long = spark.createDataFrame(pd.DataFrame({"sample_id": np.tile(np.arange(30), 40), "feature_id": np.repeat(np.arange(40), 30), "value": x.ravel()}))
     batches = spark.createDataFrame(pd.DataFrame({"sample_id": np.arange(30), "batch": batch}))
-    assert spectral.combat(long, batches, 3).count() == 1200
+    for parts in (1, 7):
+        got = spectral.combat(long.repartition(parts), batches).toPandas().pivot(index="feature_id", columns="sample_id", values="value").to_numpy()
+        assert np.allclose(got, dense_combat(x, batch), rtol=1e-6)
+    assert abs(got[:, :15].mean() - got[:, 15:].mean()) < 0.1
+    lone = np.where(np.arange(30) == 29, 2, batch)
+    alone = spectral.combat(long, spark.createDataFrame(pd.DataFrame({"sample_id": np.arange(30), "batch": lone}))).toPandas().pivot(index="feature_id", columns="sample_id", values="value").to_numpy()
+    assert np.allclose(alone, dense_combat(x, lone, True), rtol=1e-6)
     shifted = spectral.mean_shift(long, batches).join(batches, "sample_id").groupBy("batch").avg("value").toPandas()["avg(value)"]
     assert shifted.max() - shifted.min() < 1e-9
 
