@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lathework.frames import range_parts  # noqa: F401
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,25 +85,3 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
                 yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(work, schema)
-
-
-def range_parts(df: DataFrame, key: str, per_range: int, max_ranges: int = 20_000) -> tuple[Column, int]:
-    """A column that numbers ranges of ``key`` in ascending order (nulls in the first), and how many there are at most.
-
-    The cuts are approximate quantiles about ``per_range`` rows apart; there are
-    at most ``max_ranges``, which bounds what the driver and the plan hold. A row
-    finds its range by binary search. Equal keys share a range.
-    """
-    n = df.count()
-    ranges = min(max_ranges, max(1, -(-n // per_range)))
-    cuts: list = []
-    if ranges > 1:
-        found = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10 * max(1_000, ranges))).first()[0]
-        cuts = sorted(set(found or []))
-    if not cuts:
-        return F.lit(0), 1
-    half = lambda s: F.floor((s["l"] + s["h"]) / 2).cast("int")
-    state = lambda low, high: F.struct(low.cast("int").alias("l"), high.cast("int").alias("h"))
-    step = lambda s, _: F.when(s["l"] >= s["h"], s).when(F.col(key) > F.element_at(F.lit(cuts), half(s) + 1), state(half(s) + 1, s["h"])).otherwise(state(s["l"], half(s)))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), state(F.lit(0), F.lit(len(cuts))), step, lambda s: s["l"])
-    return F.coalesce(F.when(F.col(key).isNotNull(), found), F.lit(0)), len(cuts) + 1

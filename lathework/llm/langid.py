@@ -203,8 +203,10 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
 
     found = map_texts(sample, [lang], text, make, [("ids", "array<int>"), ("tf", "array<float>")]).toArrow()
     labels = found.column(0).to_pylist()
-    data = [(np.array(i.as_py(), np.int64), np.array(v.as_py())) for i, v in zip(found.column(1), found.column(2), strict=True)]
-    data = [(i, v * idf[i], y) for (i, v), y in zip(data, labels, strict=True) if len(i)]
+    # views of the whole columns, so that the sample is held once
+    ids, tf = found.column(1).combine_chunks(), found.column(2).combine_chunks()
+    edge, ids, tf = ids.offsets.to_numpy(), ids.values.to_numpy(), tf.values.to_numpy()
+    data = [(ids[a:b], tf[a:b] * idf[ids[a:b]], y) for a, b, y in zip(edge[:-1], edge[1:], labels, strict=True) if b > a]
     classes = sorted({y for *_, y in data})
     if not classes:
         return Model([], np.zeros((DIM, 1)), np.zeros(1))
