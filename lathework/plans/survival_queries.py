@@ -83,9 +83,11 @@ def concordance_index(spark, d):
 
 _B = 1_000
 _RANKED = f"(select *, row_number() over (order by pid) - 1 as rank, (pid * 7919 % 1009)::double as other from {PATIENTS})"
+#: Each patient's comparisons with all others, and each resample's multiplicities, as lists in rank order: sums over pairs are dot products.
 _BOOT = f"""(with p as materialized {_RANKED}, n as (select count(*) as n from p), w as materialized (select b, cast('0x' || substr(md5('b-' || b || '-' || k), 1, 8) as bigint) % n as rank, count(*) as m from (select unnest(range(0, {_B})) as b) x, (select unnest(range(0, (select n from n))) as k) y, n group by 1, 2),
- pairs as materialized (select a.rank as i, b.rank as j, case when a.risk > b.risk then 1.0 when a.risk = b.risk then 0.5 else 0 end as g, case when a.other > b.other then 1.0 when a.other = b.other then 0.5 else 0 end as h from p a join p b on {_CMP})
- select x.b, sum(x.m * y.m * g)::double / sum(x.m * y.m)::double as c_risk, sum(x.m * y.m * h)::double / sum(x.m * y.m)::double as c_other from pairs join w x on x.rank = i join w y on y.rank = j and y.b = x.b group by 1)"""
+ wl as materialized (select x.b, list(coalesce(m, 0)::double order by p.rank) as wv from (select unnest(range(0, {_B})) as b) x cross join p left join w on w.b = x.b and w.rank = p.rank group by 1),
+ gl as materialized (select i, list(c order by j) as nv, list(c * g order by j) as gv, list(c * h order by j) as hv from (select a.rank as i, b.rank as j, case when {_CMP} then 1.0::double else 0.0::double end as c, case when a.risk > b.risk then 1.0::double when a.risk = b.risk then 0.5::double else 0.0::double end as g, case when a.other > b.other then 1.0::double when a.other = b.other then 0.5::double else 0.0::double end as h from p a cross join p b where a.event) group by 1)
+ select b, sum(wv[i + 1] * list_dot_product(gv, wv)) / sum(wv[i + 1] * list_dot_product(nv, wv)) as c_risk, sum(wv[i + 1] * list_dot_product(hv, wv)) / sum(wv[i + 1] * list_dot_product(nv, wv)) as c_other from wl cross join gl group by 1)"""
 
 
 def _boot(spark, d):
