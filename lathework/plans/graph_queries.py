@@ -86,11 +86,11 @@ def _slice(a: int, b: int) -> str:
     return _kernel(_dist(f"(select vec_id as id, cast(embedding as double[])[{a}:{b}] as vec from embeddings)")).replace("rank <= 20", "rank <= 10")
 
 
-def _p(w: str) -> str:
+def transition(w: str) -> str:
     return f"(select i, j, w / (2 * sum(w) over (partition by i)) as p from {w} union all select i, i, 0.5 from (select distinct i from {w}))"
 
 
-def _s(w: str) -> str:
+def spread(w: str) -> str:
     return f"(select i, j, w / sum(w) over (partition by i) as s from (select *, row_number() over (partition by i order by floor(w * 1e9 + 0.5) desc, j) as rn from {w}) where rn <= 10)"
 
 
@@ -100,10 +100,10 @@ def modalities(spark, d):
     return [G.affinity(G.pair_distances(p), 10) for p in parts]
 
 
-_W = [_slice(1, 21), _slice(22, 42), _slice(43, 64)]
+KERNELS = [_slice(1, 21), _slice(22, 42), _slice(43, 64)]
 
 
-@query("fusion_step", f"""with w1 as materialized {_W[0]}, w2 as materialized {_W[1]}, w3 as materialized {_W[2]}, p2 as materialized {_p('w2')}, p3 as materialized {_p('w3')}, s1 as materialized {_s('w1')},
+@query("fusion_step", f"""with w1 as materialized {KERNELS[0]}, w2 as materialized {KERNELS[1]}, w3 as materialized {KERNELS[2]}, p2 as materialized {transition('w2')}, p3 as materialized {transition('w3')}, s1 as materialized {spread('w1')},
  q as (select p2.i, p2.j, (p2.p + p3.p) / 2 as p from p2 join p3 on p2.i = p3.i and p2.j = p3.j),
  t as (select s1.i, q.j, sum(s1.s * q.p) as p from s1 join q on s1.j = q.i group by 1, 2)
  select t.i, s1.i as j, {r('sum(t.p * s1.s)')} as p from t join s1 on t.j = s1.j group by 1, 2""")

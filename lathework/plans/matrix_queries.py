@@ -20,11 +20,11 @@ _MAD = f"(select feature_id, any_value(m) as median, median(abs(value - m)) as m
 _TOP = f"(select feature_id from {_MAD} order by floor(mad * 1e9 + 0.5) desc, feature_id limit 50)"
 
 
-def _zscore(frame: str) -> str:
+def zscore_sql(frame: str) -> str:
     return f"(select sample_id, feature_id, case when sd = 0 then value - mean else (value - mean) / sd end as value from (select *, avg(value) over (partition by feature_id) as mean, stddev_pop(value) over (partition by feature_id) as sd from {frame}))"
 
 
-@query("matrix_prep", f"select sample_id, feature_id, {r('value')} as value from {_zscore(f'(select * from {_GRID} where feature_id in (select feature_id from {_TOP}))')}")
+@query("matrix_prep", f"select sample_id, feature_id, {r('value')} as value from {zscore_sql(f'(select * from {_GRID} where feature_id in (select feature_id from {_TOP}))')}")
 def matrix_prep(spark, d):
     return rounded(M.prepare_counts(counts(spark, d)), "value").select("sample_id", "feature_id", "value")
 
@@ -69,12 +69,12 @@ def mad_top_n(spark, d):
     return M.top_features(M.median_absolute_deviation(kept, n), "mad", 50).select("feature_id")
 
 
-@query("zscore", f"select sample_id, feature_id, {r('value')} as value from {_zscore(COUNTS)}")
+@query("zscore", f"select sample_id, feature_id, {r('value')} as value from {zscore_sql(COUNTS)}")
 def zscore(spark, d):
     return rounded(M.zscore(counts(spark, d)), "value").select("sample_id", "feature_id", "value")
 
 
-@query("mad_on_zscores", f"select feature_id, {r('mad')} as mad from (select feature_id, median(abs(value - m)) as mad from (select *, median(value) over (partition by feature_id) as m from {_zscore(COUNTS)}) group by 1) order by floor(mad * 1e6 + 0.5) desc, feature_id limit 20")
+@query("mad_on_zscores", f"select feature_id, {r('mad')} as mad from (select feature_id, median(abs(value - m)) as mad from (select *, median(value) over (partition by feature_id) as m from {zscore_sql(COUNTS)}) group by 1) order by floor(mad * 1e6 + 0.5) desc, feature_id limit 20")
 def mad_on_zscores(spark, d):
     return rounded(M.top_features(M.median_absolute_deviation(M.zscore(counts(spark, d))), "mad", 20, 6), "mad").select("feature_id", "mad")
 
@@ -117,7 +117,7 @@ def impute_feature_mean(spark, d):
     return rounded(M.impute_mean(M.densify(beta(spark, d))), "value").select("sample_id", "feature_id", "value")
 
 
-@query("winsorise", f"select sample_id, feature_id, {r('greatest(least(value, 5.0), -5.0)')} as value from {_zscore(COUNTS)}")
+@query("winsorise", f"select sample_id, feature_id, {r('greatest(least(value, 5.0), -5.0)')} as value from {zscore_sql(COUNTS)}")
 def winsorise(spark, d):
     return rounded(M.winsorise(M.zscore(counts(spark, d))), "value").select("sample_id", "feature_id", "value")
 
@@ -134,7 +134,7 @@ def l2_normalise(spark, d):
 _COHORT = "(select s_suppkey as sample_id from supplier where s_nationkey < 12)"
 
 
-@query("load_modality", f"select sample_id, feature_id, {r('value')} as value from {_unit(f'(select sample_id, feature_id, greatest(least(value, 5.0), -5.0) as value from {_zscore(COUNTS)} where sample_id in (select sample_id from {_COHORT}))')}")
+@query("load_modality", f"select sample_id, feature_id, {r('value')} as value from {_unit(f'(select sample_id, feature_id, greatest(least(value, 5.0), -5.0) as value from {zscore_sql(COUNTS)} where sample_id in (select sample_id from {_COHORT}))')}")
 def load_modality(spark, d):
     cohort = table(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("sample_id"))
     return rounded(M.load_modality(M.zscore(counts(spark, d)), cohort), "value").select("sample_id", "feature_id", "value")
@@ -147,7 +147,7 @@ _BFULL = f"(select sample_id, feature_id, coalesce(value, median(value) over (pa
 _BMAD = f"(select feature_id, median(abs(value - m)) as mad from (select *, median(value) over (partition by feature_id) as m from {_BFULL}) group by 1)"
 
 
-@query("beta_prep", f"select sample_id, feature_id, {r('value')} as value from {_zscore(f'(select * from {_BFULL} where feature_id in (select feature_id from {_BMAD} order by floor(mad * 1e9 + 0.5) desc, feature_id limit 50))')}")
+@query("beta_prep", f"select sample_id, feature_id, {r('value')} as value from {zscore_sql(f'(select * from {_BFULL} where feature_id in (select feature_id from {_BMAD} order by floor(mad * 1e9 + 0.5) desc, feature_id limit 50))')}")
 def beta_prep(spark, d):
     listed = table(spark, d, "part").where("p_brand = 'Brand#2' and p_size > 45").select(F.concat(F.lit("f"), (F.col("p_partkey") % 100).cast("string")).alias("feature_id"))
     return rounded(M.prepare_beta(beta(spark, d), [listed], drop_prefix="f9"), "value").select("sample_id", "feature_id", "value")
@@ -165,7 +165,7 @@ def to_vectors(spark, d):
     return own.select("sample_id", F.size("vec").cast("long").alias("n"), r6(F.element_at("vec", 1)).alias("first_value"), r6(F.element_at("vec", -1)).alias("last_value"))
 
 
-@query("matrix_summary", f"select {r('avg(abs(value))')} as mean_abs, {r('min(value)')} as low, {r('max(value)')} as high, {r('avg(value)')} as mean from {_zscore(COUNTS)}")
+@query("matrix_summary", f"select {r('avg(abs(value))')} as mean_abs, {r('min(value)')} as low, {r('max(value)')} as high, {r('avg(value)')} as mean from {zscore_sql(COUNTS)}")
 def matrix_summary(spark, d):
     return M.zscore(counts(spark, d)).agg(r6(F.avg(F.abs("value"))).alias("mean_abs"), r6(F.min("value")).alias("low"), r6(F.max("value")).alias("high"), r6(F.avg("value")).alias("mean"))
 

@@ -15,7 +15,8 @@ from lathework.operators import relate as R
 from lathework.operators import spectral as L
 from lathework.operators import survival as S
 from lathework.plans.base import COUNTS, Registry, counts, patients, r, rounded, vectors
-from lathework.plans.graph_queries import modalities
+from lathework.plans.graph_queries import KERNELS, modalities, spread, transition
+from lathework.plans.matrix_queries import zscore_sql
 from lathework.plans.survival_queries import folds
 from lathework.session import table
 
@@ -73,10 +74,23 @@ def k_selection(spark, d):
     return spark.createDataFrame(out)
 
 
-@query("network_fusion")
+def _fusion(steps: int) -> str:
+    """All steps of the fusion, a matrix of each modality after each."""
+    parts = [f"w{q} as materialized {w}, s{q} as materialized {spread(f'w{q}')}, p{q}_0 as materialized {transition(f'w{q}')}" for q, w in enumerate(KERNELS)]
+    for k in range(steps):
+        for q in range(3):
+            a, b = (x for x in range(3) if x != q)
+            parts.append(f"q{q}_{k} as materialized (select a.i, a.j, (a.p + b.p) / 2 as p from p{a}_{k} a join p{b}_{k} b on a.i = b.i and a.j = b.j)")
+            parts.append(f"t{q}_{k} as materialized (select s.i, q.j, sum(s.s * q.p) as p from s{q} s join q{q}_{k} q on s.j = q.i group by 1, 2)")
+            parts.append(f"u{q}_{k} as materialized (select t.i, s.i as j, sum(t.p * s.s) as p from t{q}_{k} t join s{q} s on t.j = s.j group by 1, 2)")
+            parts.append(f"p{q}_{k + 1} as materialized (select a.i, a.j, (a.p + b.p) / 2 as p from u{q}_{k} a join u{q}_{k} b on a.i = b.j and a.j = b.i)")
+    return f"with {', '.join(parts)} select x.i, x.j, {r('(x.p + y.p + z.p) / 3')} as w from p0_{steps} x join p1_{steps} y on x.i = y.i and x.j = y.j join p2_{steps} z on x.i = z.i and x.j = z.j where x.i <> x.j"
+
+
+@query("network_fusion", _fusion(20))
 def network_fusion(spark, d):
     found = [L.gather(m) for m in modalities(spark, d)]
-    return L.to_edges(spark, found[0][0], L.fuse([w for _, w in found], 10, 20))
+    return rounded(L.to_edges(spark, found[0][0], L.fuse([w for _, w in found], 10, 20)), "w")
 
 
 @query("early_integration")
@@ -114,9 +128,24 @@ def _batches(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), (F.col("s_nationkey") % 5).alias("batch"))
 
 
-@query("combat")
+_SITES = "(select s_suppkey as sample_id, s_nationkey % 5 as batch from supplier)"
+_DENSE = f"(select s.sample_id, f.feature_id, coalesce(value, 0.0) as value from (select distinct sample_id from {COUNTS}) s cross join (select distinct feature_id from {COUNTS}) f left join {COUNTS} c on c.sample_id = s.sample_id and c.feature_id = f.feature_id)"
+#: The same by aggregates and a recursion of 200 steps; on the smallest tables a batch has one sample, and means alone are shrunk.
+_COMBAT = f"""(with recursive own as materialized (select z.*, batch from {zscore_sql(_DENSE)} z join {_SITES} using (sample_id)), single as (select bool_or(n = 1) as single from (select count(*) as n from {_SITES} group by batch)),
+ cells as materialized (select feature_id, batch, count(*)::double as n, avg(value) as mean, coalesce(var_samp(value), 0.0) as var from own group by 1, 2),
+ whole as (select feature_id, grand, case when sd = 0 then 1.0 else sd end as sd from (select feature_id, sum(n * mean) / sum(n) as grand, sqrt(sum((n - 1) * var) / sum(n)) as sd from cells group by 1)),
+ scaled as materialized (select feature_id, batch, n, grand, sd, (mean - grand) / sd as gamma, var / sd / sd as delta from cells join whole using (feature_id)),
+ prior as (select batch, avg(gamma) as g_bar, greatest(coalesce(var_samp(gamma), 0.0), 1e-12) as t2, avg(delta) as m, greatest(coalesce(var_samp(delta), 0.0), 1e-12) as s2 from scaled group by 1),
+ start as materialized (select s.*, g_bar, t2, (2 * s2 + m * m) / s2 as a, (m * s2 + m * m * m) / s2 as b from scaled s join prior using (batch)),
+ step as (select feature_id, batch, 0 as k, gamma as star, case when delta = 0 then 1.0 else delta end as scale, gamma, delta, n, g_bar, t2, a, b from start
+  union all select feature_id, batch, k + 1, new, (b + 0.5 * ((n - 1) * delta + n * (gamma - new) * (gamma - new))) / (n / 2 + a - 1), gamma, delta, n, g_bar, t2, a, b from (select *, (n * t2 * gamma + scale * g_bar) / (n * t2 + scale) as new from step where k < 200)),
+ eb as (select s.feature_id, s.batch, s.grand, s.sd, case when single then (s.n * s.t2 * s.gamma + s.g_bar) / (s.n * s.t2 + 1) else e.star end as star, case when single then 1.0 else e.scale end as scale from start s join step e on e.feature_id = s.feature_id and e.batch = s.batch and e.k = 200, single)
+ select sample_id, feature_id, ((value - grand) / sd - star) / sqrt(scale) * sd + grand as value from own join eb using (feature_id, batch))"""
+
+
+@query("combat", f"select sample_id, feature_id, {r('value')} as value from {_COMBAT}")
 def combat(spark, d):
-    return L.combat(M.zscore(M.densify(counts(spark, d), 0.0)), _batches(spark, d))
+    return rounded(L.combat(M.zscore(M.densify(counts(spark, d), 0.0)), _batches(spark, d)), "value")
 
 
 _BATCHED = f"(select c.*, s_nationkey % 5 as batch from {COUNTS} c join supplier on s_suppkey = sample_id)"
