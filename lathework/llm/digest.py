@@ -7,6 +7,9 @@ neighbouring windows the best one, by rank and then by hash, wins a point;
 windows with ``POINTS`` or more are the text's features. Features are inserted
 into a chain of Bloom filters, ``PER_FILTER`` in each.
 
+Ranks are those of the corpus whose counts are given: within one run those of all
+its texts. To match digests across runs, counts are stored once and read again.
+
 Two digests are compared filter by filter: the overlap of set bits is put on a
 scale between what chance gives and the most there can be. Each filter of the
 shorter chain takes its best partner; the mean is the likeness.
@@ -194,6 +197,18 @@ def _slices(column: pa.Array, most: int = 1 << 19) -> Iterator[list[str]]:
         yield part
 
 
+def write_counts(spark: SparkSession, counts: np.ndarray, path: str) -> None:
+    """Keeps the counts that ranks come from, a row per bin, so that texts of later runs and other corpora get digests that can be compared."""
+    spark.createDataFrame([(k, int(n)) for k, n in enumerate(counts)], "bin int, n long").coalesce(1).write.parquet(path)
+
+
+def read_counts(spark: SparkSession, path: str) -> np.ndarray:
+    found = np.zeros(BINS, np.int64)
+    for r in spark.read.parquet(path).collect():  # a row per bin
+        found[r["bin"]] = r["n"]
+    return found
+
+
 def rarity(counts: np.ndarray) -> np.ndarray:
     """The rank of each bin, rarest first; bins of weak windows after all others."""
     order = sorted(range(BINS), key=lambda k: (k >= WEAK, counts[k], k))

@@ -512,6 +512,73 @@ def test_op6_parts():
     assert model.predict(texts)[1] == pytest.approx([model.predict([t])[1][0] for t in texts], abs=1e-5)
 
 
+def plain_grams(text):
+    """For each order the hashed n-grams of the framed letters, one after the other."""
+    import unicodedata
+
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower()).split()
+    points = [ord(c) for c in f" {' '.join(kept)} "] if kept else []
+    out = []
+    for n in (1, 2, 3):
+        own = []
+        for k in range(len(points) - n + 1):
+            h = 0
+            for c in points[k : k + n]:
+                h = (h ^ c) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+            own.append((h * 0x85EBCA6B % 2**32 >> 32 - langid.BITS) + ((n - 1) << langid.BITS))
+        out.append(own)
+    return out
+
+
+def test_op6_equals_brute_force(spark, docs):
+    """Document frequencies, predictions of the trained model, and one learning step, feature by feature."""
+    some = docs.where("n_chars < 3000").orderBy("doc_id").limit(60).collect()
+    grams = [plain_grams(r["text"]) for r in some]
+    df, n = langid.document_frequencies(spark.createDataFrame([(r["text"],) for r in some], "text string"))
+    want = collections.Counter(g for own in grams for g in {x for o in own for x in o})
+    assert n == sum(bool(g[0]) for g in grams) and {k: int(v) for k, v in enumerate(df) if v} == dict(want)
+    model = langid.train(docs, epochs=1)
+    lang, score = model.predict([r["text"] for r in some])
+    for own, name, p in zip(grams, lang, score, strict=True):
+        if not own[0]:
+            assert (name, p) == ("und", 0.0)
+            continue
+        total = model.bias.astype(float) + sum(np.mean([model.table[g] for g in o], axis=0) if o else 0 for o in own)
+        chances = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert name == model.classes[int(chances.argmax())] and p == pytest.approx(chances.max(), abs=1e-5)
+    one = langid.Ftrl(2)
+    z, acc = {}, {}
+    for ids, values, label in (([3, 5], [1.0, 0.5], 0), ([5], [2.0], 1), ([3, 5], [0.3, 0.3], 1)):
+        weight = lambda i, c: 0.0 if abs(z.get((i, c), 0)) <= 0.02 else -(z[i, c] - np.sign(z[i, c]) * 0.02) / ((1 + acc[i, c] ** 0.5) / 2 + 0.05)
+        x = dict(zip([*ids, langid.DIM], [*values, 1.0], strict=True))
+        w = {(i, c): weight(i, c) for i in x for c in (0, 1)}
+        e = [np.exp(sum(x[i] * w[i, c] for i in x)) for c in (0, 1)]
+        one.learn(np.array(ids), np.array(values), label)
+        for i in x:
+            for c in (0, 1):
+                g = x[i] * (e[c] / sum(e) - (c == label))
+                before = acc.get((i, c), 0.0)
+                acc[i, c] = before + g * g
+                z[i, c] = z.get((i, c), 0.0) + g - (acc[i, c] ** 0.5 - before**0.5) / 2 * w[i, c]
+    assert all(one.z[k] == pytest.approx(v) and one.n[k] == pytest.approx(acc[k]) for k, v in z.items())
+
+
+def test_op7_equals_brute_force(docs):
+    """Scores window by window, chunk by chunk."""
+    net = quality_cnn.Network(seed=3)
+    net.bias[:] = np.linspace(-0.5, 0.5, quality_cnn.FILTERS)
+    texts = ["", "a", "some words", *[r["text"] for r in docs.where("n_chars between 200 and 1500").orderBy("doc_id").limit(12).collect()]]
+    got = net.score(texts, net.pairs())
+    for text, p in zip(texts, got, strict=True):
+        raw = text.encode() or b"\0"
+        padded = raw + bytes(7)
+        conv = np.array([sum(net.table[k, padded[a + k]] for k in range(8)) for a in range(len(raw))])
+        pooled = np.array([np.maximum(conv[a : a + 256].max(axis=0) + net.bias, 0) for a in range(0, len(raw), 256)])
+        x = np.concatenate([pooled.max(axis=0), pooled.mean(axis=0)]) @ net.out + net.shift[0]
+        assert p == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-5)
+
+
 def test_op7(spark, sf):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = run(spark, sf, "op7_quality_cnn")
@@ -545,6 +612,15 @@ def test_op7_whole_texts_and_gradient():
         down = loss()
         p[k] = old
         assert (up - down) / 2e-2 == pytest.approx(g[k], rel=0.05, abs=1e-4)
+    # the filters, where steps are small enough to leave the winners of the pools
+    for k in zip(*np.unravel_index(np.argsort(-np.abs(grads[0]).ravel())[:5], grads[0].shape), strict=True):
+        old = net.table[k]
+        net.table[k] = old + 1e-3
+        up = loss()
+        net.table[k] = old - 1e-3
+        down = loss()
+        net.table[k] = old
+        assert (up - down) / 2e-3 == pytest.approx(grads[0][k], rel=0.1, abs=2e-4)
 
 
 def test_op7_odd_rows(spark, odd, empty):
@@ -604,6 +680,77 @@ def test_op8_windows():
     assert (moved[77:] == hasher(data)).all() and len(set(hasher(data))) > 200
 
 
+def plain_digest(raw, rank):
+    """Feature hashes of one text window by window, span by span."""
+    w, span = 8, 32
+    windows = [raw[k : k + w] for k in range(len(raw) - w + 1)] if len(raw) >= w else [raw + bytes(w - len(raw))] if raw else []
+    inverse, keys = pow(0x9E3779B97F4A7C15, -1, 1 << 64), []
+    for p, x in enumerate(windows):
+        h = sum((b + 1) * pow(inverse, i, 1 << 64) for i, b in enumerate(x)) % (1 << 64)
+        for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = (h ^ h >> shift) * m % (1 << 64)
+        n = collections.Counter(x)
+        entropy_bin = sum(round(64 * c * np.log2(c)) for c in n.values()) // 16
+        keys.append((rank[entropy_bin], h, p))
+    points = collections.Counter(min(keys[max(0, a) : a + span])[2] for a in range(1 - span, len(keys)))
+    out = []
+    for p in sorted(points):
+        if points[p] >= 8 and keys[p][1] not in out:
+            out.append(keys[p][1])
+    return out
+
+
+def plain_filters(features):
+    chain = []
+    for a in range(0, len(features), 160):
+        bits = set()
+        for h in features[a : a + 160]:
+            bits |= {h >> 11 * k & 2047 for k in range(5)}
+        chain.append(bits)
+    return chain
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+
+    def score(x, y):
+        most, least = min(len(x), len(y)), len(x) * len(y) / 2048
+        cut = least + 0.05 * (most - least)
+        return min(1, max(0, (len(x & y) - cut) / max(most - cut, 1e-6)))
+
+    def one_way(x, y):
+        return sum(max(score(p, q) for q in y) * len(p) for p in x) / sum(map(len, x))
+
+    return (one_way(a, b) + one_way(b, a)) / 2 if len(a) == len(b) else one_way(*sorted((a, b), key=len))
+
+
+def test_op8_equals_brute_force(spark, docs, tmp_path):
+    some = docs.where("n_chars < 4000").orderBy("doc_id").limit(40).collect()
+    texts = [r["text"] or "" for r in some]
+    counts = collections.Counter()
+    for t in texts:
+        raw = t.encode()
+        for x in [raw[k : k + 8] for k in range(len(raw) - 7)] if len(raw) >= 8 else [raw + bytes(8 - len(raw))] if raw else []:
+            counts[sum(round(64 * c * np.log2(c)) for c in collections.Counter(x).values()) // 16] += 1
+    own = spark.createDataFrame([(r["doc_id"], r["text"]) for r in some], "doc_id long, text string")
+    found = digest.entropy_counts(own)
+    assert {k: int(n) for k, n in enumerate(found) if n} == dict(counts)
+    digest.write_counts(spark, found, str(tmp_path / "counts"))
+    rank = digest.rarity(digest.read_counts(spark, str(tmp_path / "counts")))
+    weak = (3 - 1) * 64 * 8 // 16
+    assert sorted(range(len(rank)), key=lambda k: rank[k]) == sorted(range(len(rank)), key=lambda k: (k >= weak, counts[k], k))
+    got = {r["doc_id"]: r for r in digest.digest_with_next(own, rank).collect()}
+    plain = [plain_filters(plain_digest(t.encode(), rank)) for t in texts]
+    for k, r in enumerate(some):
+        following = (k + 1) % len(some)
+        edit = texts[k][: len(texts[k]) - len(texts[k]) // 2] + texts[following][: len(texts[k]) // 2]
+        bits = digest.from_text(got[r["doc_id"]]["fingerprint"])
+        assert [set(np.flatnonzero(row).tolist()) for row in bits] == plain[k]
+        assert got[r["doc_id"]]["near_next"] == pytest.approx(plain_likeness(plain[k], plain[following]), abs=1e-5)
+        assert got[r["doc_id"]]["near_edited"] == pytest.approx(plain_likeness(plain[k], plain_filters(plain_digest(edit.encode(), rank))), abs=1e-5)
+
+
 # 9, 10 --------------------------------------------------------------------------------------------------------------
 
 
