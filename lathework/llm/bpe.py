@@ -130,7 +130,7 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
 
 
-def _worker(path: str, pattern: str, digest: bool) -> Callable:
+def _worker(path: str, pattern: str, hash_ids: bool, hash_decoded: bool) -> Callable:
     def make() -> Callable[[list], list[list]]:
         codec = Codec(path, pattern)
         names = list(map(str, range(max(codec.rank_of) + 1)))
@@ -141,8 +141,8 @@ def _worker(path: str, pattern: str, digest: bool) -> Callable:
                 ids = codec.encode(text or "")
                 back = codec.decode(ids)
                 counts.append(len(ids))
-                left.append(hashlib.sha256(",".join([names[k] for k in ids]).encode()).hexdigest() if digest else ids)
-                right.append(hashlib.sha256(back).hexdigest() if digest else back.decode("utf-8", "replace"))
+                left.append(hashlib.sha256(",".join([names[k] for k in ids]).encode()).hexdigest() if hash_ids else ids)
+                right.append(hashlib.sha256(back).hexdigest() if hash_decoded else back.decode("utf-8", "replace"))
             return [counts, left, right]
 
         return of
@@ -150,16 +150,16 @@ def _worker(path: str, pattern: str, digest: bool) -> Callable:
     return make
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """Per row: id, ``n_tokens``, and ``ids`` with the ``decoded`` text, or with ``digest`` the SHA-256 of both.
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", hash_ids: bool = False, hash_decoded: bool = False) -> DataFrame:
+    """Per row: id, ``n_tokens``, ``ids`` (or ``ids_sha256`` of the decimal ids), and the ``decoded`` text (or ``decoded_sha256`` of its bytes).
 
     One pass over the texts without a shuffle. Null texts count as empty, with
     no ids. Rows repeat as they do in ``docs``; other columns are ignored.
     """
     own = default_vocabulary()
-    names = [("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [("ids", "array<int>"), ("decoded", "string")]
-    return map_texts(docs, [id_col], text_col, _worker(path or own[0], pattern or own[1], digest), [("n_tokens", "long"), *names])
+    names = [("ids_sha256", "string") if hash_ids else ("ids", "array<int>"), ("decoded_sha256" if hash_decoded else "decoded", "string")]
+    return map_texts(docs, [id_col], text_col, _worker(path or own[0], pattern or own[1], hash_ids, hash_decoded), [("n_tokens", "long"), *names])
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(documents(spark, sf_dir), digest=True)
+    return encode_documents(documents(spark, sf_dir), hash_ids=True, hash_decoded=True)
