@@ -26,16 +26,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled row nothing can be told apart, and all texts with letters stay.
     """
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.identify(docs, model, keep=docs.columns, names=("_lang", "_sure"))
-    sure = (F.col("_sure") >= MIN_LANGUAGE_SCORE) & (F.col("_lang") != langid.UNKNOWN) if model.classes else F.regexp_count("text", F.lit(r"\p{L}")) > 0
-    kept = found.where(sure).withColumn("lang", F.coalesce("lang", F.nullif(F.col("_lang"), F.lit(langid.UNKNOWN))))
-    return kept.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    found = langid.identify(rows, model, keep=["_row"], names=("_lang", "_sure"))
+    sure = (F.col("_sure") >= MIN_LANGUAGE_SCORE) & (F.col("_lang") != langid.UNKNOWN) if model.classes else F.regexp_count("_row.text", F.lit(r"\p{L}")) > 0
+    filled = F.coalesce("_row.lang", F.nullif(F.col("_lang"), F.lit(langid.UNKNOWN))).alias("lang")
+    return found.where(sure).select(*[filled if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that spread over many sources are taken out of the texts; ``n_chars`` follows."""
-    found = linedup.remove_boilerplate(docs)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("text", "source", "n_chars")]
+    found = linedup.remove_boilerplate(docs.select("text", "source", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest")))
+    own = {"text": F.col("text"), "source": F.col("source"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
+    return found.select(*[own[c] if c in own else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids``, and the SHA-256 of what the ids decode to."""
-    found = bpe.encode_documents(docs)
-    return found.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return bpe.encode_documents(docs, hash_decoded=True)
 
 
 STAGES = [
