@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TINY = 2.2250738585072014e-308
@@ -66,6 +66,16 @@ def pair_distances(vectors: DataFrame, metric: str = "sqeuclidean", blocks: int
     return _block_pairs(vectors, blocks, work)
 
 
+def products(vectors: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``(i, j, w)``: the inner products of all ordered pairs of samples, each with itself included."""
+
+    def work(ids, a, others, b):
+        w = a @ b.T
+        return np.broadcast_to(ids[:, None], w.shape).ravel(), np.broadcast_to(others[None, :], w.shape).ravel(), w.ravel()
+
+    return _block_pairs(vectors, blocks or _blocks(vectors, 4), work).withColumnRenamed("d", "w")
+
+
 def nearest(distances: DataFrame, k: int = 20, digits: int = 9) -> DataFrame:
     """The ``k`` smallest distances of each sample with their rank; ties (to ``digits`` places) by id."""
     w = Window.partitionBy("i").orderBy(F.floor(F.col("d") * 10.0**digits + 0.5), "j")
@@ -114,6 +124,18 @@ def symmetrise(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["i", "j"]).select("i", "j", ((F.col("w") + F.col("v")) / 2).alias("w"))
 
 
+def save_matrix(edges: DataFrame, path: str) -> None:
+    """A dense matrix in Parquet: a row's values in the order of the columns' ids, and these ids."""
+    rows = edges.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("cells"))
+    rows.select("i", F.col("cells.j").alias("columns"), F.col("cells.w").alias("values")).write.parquet(path)
+
+
+def load_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """The edge list of a saved matrix."""
+    cells = F.explode(F.arrays_zip("columns", "values")).alias("c")
+    return spark.read.parquet(path).select("i", cells).select("i", F.col("c.columns").alias("j"), F.col("c.values").alias("w"))
+
+
 def clean_fused(edges: DataFrame) -> DataFrame:
     """Negative weights to zero, symmetric, without self edges."""
     return symmetrise(edges.where("i <> j").withColumn("w", F.greatest("w", F.lit(0.0))))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lathework.operators import graph as G
 from lathework.plans.base import Registry, r, rounded, vectors
-from lathework.session import table
+from lathework.session import shared_dir, table
 
 query = Registry()
 
@@ -81,6 +83,14 @@ def clean_fused(spark, d):
     return rounded(G.clean_fused(edges), "w")
 
 
+@query("matrix_round_trip", f"select i, j, {r('w')} as w from {_kernel(_D)}")
+def matrix_round_trip(spark, d):
+    """A graph stored as a dense matrix and loaded again."""
+    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    G.save_matrix(G.affinity(G.pair_distances(vectors(spark, d))), path)
+    return rounded(G.load_matrix(spark, path), "w")
+
+
 def _slice(a: int, b: int) -> str:
     """The kernel of one modality: dimensions a to b, ten neighbours."""
     return _kernel(_dist(f"(select vec_id as id, cast(embedding as double[])[{a}:{b}] as vec from embeddings)")).replace("rank <= 20", "rank <= 10")

@@ -71,6 +71,18 @@ def scan_annotation(spark, d):
     return files.annotation(spark, files.first_glob(spark, f"{path}/*.bz2", f"{path}/*.gz"), ["probe", "chrm", "gone"])
 
 
+@query("scan_cases", "select c_name as case_id, cast(c_custkey as varchar) as submitter_id, case when c_custkey % 3 = 0 then '' when c_acctbal > 0 then 'Alive' else 'Dead' end as vital_status, case when c_custkey % 3 > 0 and c_acctbal <= 0 then cast(c_nationkey * 10 as varchar) else '' end as days_to_death, case when c_custkey % 3 > 0 and c_acctbal > 0 then cast(c_nationkey * 20 as varchar) else '' end as days_to_last_follow_up, case when c_custkey % 3 > 0 then c_mktsegment else '' end as ajcc_pathologic_stage, case when c_custkey % 4 > 0 then cast(c_nationkey as varchar) else '' end as age_at_index from customer")
+def scan_cases(spark, d):
+    """Responses of a case service: customers as cases, a response per nation, some without a diagnosis or age."""
+    own, k, n = table(spark, d, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    alive = F.col("c_acctbal") > 0
+    diagnosis = F.struct(F.when(alive, "Alive").otherwise("Dead").alias("vital_status"), F.when(~alive, n * 10).alias("days_to_death"), F.when(alive, n * 20).alias("days_to_last_follow_up"), F.col("c_mktsegment").alias("ajcc_pathologic_stage"))
+    hit = F.struct(F.col("c_name").alias("case_id"), k.cast("string").alias("submitter_id"), F.when(k % 3 > 0, F.array(diagnosis)).alias("diagnoses"), F.when(k % 4 > 0, F.struct(n.alias("age_at_index"))).alias("demographic"))
+    path = _place(spark, "cases")
+    own.groupBy("c_nationkey").agg(F.struct(F.collect_list(hit).alias("hits")).alias("data")).select("data").write.json(path)
+    return files.flatten_cases(spark, path, whole_file=False)
+
+
 @query("id_list_round_trip", "select c_custkey::varchar as id from customer where c_mktsegment = 'BUILDING'")
 def id_list_round_trip(spark, d):
     path = _place(spark, "ids")

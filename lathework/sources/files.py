@@ -52,6 +52,19 @@ def flatten_response(spark: SparkSession, path: str) -> DataFrame:
     return hits.select(F.col("h.file_id").alias("file_id"), F.col("h.file_name").alias("file_name"), text(case["case_id"]).alias("case_id"), text(case["submitter_id"]).alias("submitter_id"), text(sample["sample_type"]).alias("sample_type"), text(sample["sample_id"]).alias("sample_id"))
 
 
+def flatten_cases(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """Landed JSON responses of cases, a row each: ids, survival and stage of the first diagnosis, age; what is absent is empty.
+
+    A file is one response, or without ``whole_file`` one in each line.
+    """
+    diagnosis = ("vital_status", "days_to_death", "days_to_last_follow_up", "ajcc_pathologic_stage")
+    schema = f"data struct<hits: array<struct<case_id: string, submitter_id: string, diagnoses: array<struct<{', '.join(f'{c}: string' for c in diagnosis)}>>, demographic: struct<age_at_index: string>>>>"
+    case = spark.read.schema(schema).json(path, multiLine=whole_file).select(F.explode("data.hits").alias("h"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    first = F.get(F.col("h.diagnoses"), 0)
+    return case.select(*[text(F.col(f"h.{c}")).alias(c) for c in ("case_id", "submitter_id")], *[text(first[c]).alias(c) for c in diagnosis], text(F.col("h.demographic.age_at_index")).alias("age_at_index"))
+
+
 def _file_key() -> F.Column:
     """The name of the folder that a file is in."""
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)

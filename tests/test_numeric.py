@@ -119,6 +119,14 @@ def test_principal_components(spark):
     assert ratio == pytest.approx(s[:2] ** 2 / (s**2).sum())
 
 
+def test_wide_principal_components(spark):
+    x = np.random.default_rng(7).normal(size=(40, 1500)) * np.linspace(3, 0.1, 1500) + 2
+    scores, ratio = spectral.principal_components(spark.createDataFrame(pd.DataFrame({"id": np.arange(40), "vec": x.tolist()})), 1500, 5)
+    got = np.array(scores.orderBy("id").toPandas()["pc"].tolist())
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :5] * s[:5])) and ratio == pytest.approx(s[:5] ** 2 / (s**2).sum())
+
+
 def dense_combat(x, batch, mean_only=False):
     """Features by samples, priors over all features of a batch, iterated far."""
     groups = [batch == b for b in np.unique(batch)]

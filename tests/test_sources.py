@@ -55,6 +55,12 @@ def test_response(spark, tmp_path):
     assert {tuple(r) for r in files.flatten_response(spark, str(p)).collect()} == {("f1", "n", "c", "s", "T", "q"), ("f2", "m", "", "", "", "")}
 
 
+def test_cases(spark, tmp_path):
+    full = {"case_id": "c", "submitter_id": "s", "diagnoses": [{"vital_status": "Dead", "days_to_death": 12, "ajcc_pathologic_stage": "Stage I"}, {"vital_status": "Alive"}], "demographic": {"age_at_index": 50}}
+    p = write(tmp_path / "r.json", json.dumps({"data": {"hits": [full, {"case_id": "d", "diagnoses": [], "demographic": None}]}}))
+    assert {tuple(r) for r in files.flatten_cases(spark, str(p)).collect()} == {("c", "s", "Dead", "12", "", "Stage I", "50"), ("d", "", "", "", "", "", "")}
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     make = lambda n: spark.range(n)
