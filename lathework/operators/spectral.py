@@ -362,8 +362,10 @@ def sweep(vectors: DataFrame, configs: list[tuple[int, int, str]], parts: list[t
         x = np.array(part["vec"].tolist(), float)
         use = np.sort(np.argsort(-np.round(np.median(np.abs(x - np.median(x, axis=0)), axis=0), 12), kind="stable")[:dims])
         kernels = [kernel_matrix(x[:, own], k, metric=metric) for a, b in parts if len(own := use[(use >= a) & (use < b)])]
-        survival = part["time"].to_numpy(float), part["event"].fillna(False).to_numpy(bool)
-        record = clustering_record(fuse(kernels, k, steps), 2, part["label"].to_numpy(), seeds, survival)
+        survival = part["time"].to_numpy(float), part["event"].eq(True).to_numpy(bool)
+        fused = np.maximum(fuse(kernels, k, steps), 0)
+        np.fill_diagonal(fused, 0)
+        record = clustering_record((fused + fused.T) / 2, 2, part["label"].to_numpy(), seeds, survival)
         return pd.DataFrame([{"config": f"K={k} · {dims}feat · {metric}", "cluster_sizes": record["sizes"], **{c: record[c] for c in _RECORD}}])
 
     return each.groupBy("k", "dims", "metric").applyInPandas(work, "config string, cluster_sizes string, " + ", ".join(f"{c} double" for c in _RECORD))

@@ -36,7 +36,7 @@ def _samples(spark, d):
 def _known(spark, d, ids):
     """Labels and survival in the order of ``ids``: as many rows as the dense graph has."""
     own = _samples(spark, d).select("id", "label", "time", "event").toPandas().set_index("id").loc[ids]
-    return own["label"].to_numpy(), (own["time"].to_numpy(float), own["event"].fillna(False).to_numpy(bool))
+    return own["label"].to_numpy(), (own["time"].to_numpy(float), own["event"].eq(True).to_numpy(bool))
 
 
 @query("laplacian_spectrum")

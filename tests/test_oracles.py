@@ -39,10 +39,6 @@ def test_oracle(spark, sf, duck, name):
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
 
 
-#: On the smallest tables these take long, or have too few rows for a fold; their operators have tests of their own.
-ELSEWHERE = {"k_selection", "parameter_sweep", "cox_cross_validation", "cox_oof_bootstrap", "network_fusion", "laplacian_spectrum", "spectral_clustering"}
-
-
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.ORACLES.keys() - ELSEWHERE))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.ORACLES.keys()))
 def test_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() >= 1
