@@ -74,14 +74,16 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
     schema = T.StructType([df.schema[c] for c in keep] + T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields)).fields)
     kinds = to_arrow_schema(schema)
     n = len(keep)
+    at_text = keep.index(text) if text in keep else n  # a text that is kept is not sent twice
+    held = lambda a, kind: a if a.type == kind else a.cast(kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                made = of(part.column(n).to_pylist())
-                arrays = [part.column(k).cast(kinds.field(k).type) for k in range(n)] + [pa.array(x, type=kinds.field(n + k).type) for k, x in enumerate(made)]
+                made = of(part.column(at_text).to_pylist())
+                arrays = [held(part.column(k), kinds.field(k).type) for k in range(n)] + [pa.array(x, type=kinds.field(n + k).type) for k, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(work, schema)
+    return df.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(work, schema)
