@@ -26,11 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled row nothing can be told apart, and all texts with letters stay.
     """
     model = langid.train(docs.where(~langid.held_out()))
-    rows = docs.select(F.struct("*").alias("_row"), "text")
-    found = langid.identify(rows, model, keep=["_row"], names=("_lang", "_sure"))
-    sure = (F.col("_sure") >= MIN_LANGUAGE_SCORE) & (F.col("_lang") != langid.UNKNOWN) if model.classes else F.regexp_count("_row.text", F.lit(r"\p{L}")) > 0
-    filled = F.coalesce("_row.lang", F.nullif(F.col("_lang"), F.lit(langid.UNKNOWN))).alias("lang")
-    return found.where(sure).select(*[filled if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest"), "text")
+    found = langid.identify(rows, model, keep=["_rest", "text"], names=("_lang", "_sure"))
+    sure = (F.col("_sure") >= MIN_LANGUAGE_SCORE) & (F.col("_lang") != langid.UNKNOWN) if model.classes else F.regexp_count("text", F.lit(r"\p{L}")) > 0
+    own = {"text": F.col("text"), "lang": F.coalesce("_rest.lang", F.nullif(F.col("_lang"), F.lit(langid.UNKNOWN))).alias("lang")}
+    return found.where(sure).select(*[own[c] if c in own else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
