@@ -13,9 +13,8 @@ a longer one is covered by its parts, so suffixes are sorted to that depth: the
 array is then a row of buckets, and a bucket's pages are counted. Each task sorts
 the suffixes of its own pages, host by host, and gives out a row for each bucket;
 the sums over tasks are those of the whole host's array, whatever its size and
-however its pages are dealt. A run is boilerplate if ``MIN_PAGES`` pages and
-``MIN_SHARE`` of the host's pages have it; pages with equal streams count as one,
-so copied pages stay whole. Article text takes no part: articles may quote or copy
+however its pages are dealt. A run is boilerplate if ``MIN_PAGES`` pages of the
+host have it; pages with equal streams count as one, so copied pages stay whole. Article text takes no part: articles may quote or copy
 each other and nothing of them may go.
 """
 
@@ -35,8 +34,8 @@ from pyspark.sql import functions as F
 from lathework.llm.common import bounded_broadcast, map_texts
 from lathework.session import materialize
 
-#: Tokens that a recurring run has at least, different pages and share of the host's different pages that it is on at least.
-MIN_RUN, MIN_PAGES, MIN_SHARE = 6, 3, 0.01
+#: Tokens that a recurring run has at least, and different pages of the host that it is on at least, however large the host.
+MIN_RUN, MIN_PAGES = 6, 3
 #: Rows of 8 to 16 bytes that are sent to every task at most.
 MAX_SENT = 1_000_000
 
@@ -47,12 +46,16 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
-#: Words in class, id or role that mark what is not main text.
+#: Words of a class, id or role that mark what is not main text, if all its other words are only of the page's layout.
 CHROME = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "footer", "sidebar", "aside", "complementary", "contentinfo", "widget", "related", "recommended", "share", "sharing",
     "social", "subscribe", "subscription", "newsletter", "signup", "login", "search", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies",
 }
+LAYOUT = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "center", "col", "column", "container", "element", "fixed", "form", "global", "group", "inner", "item", "items", "large", "left", "link", "links", "list", "main", "outer", "page",
+    "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "small", "stories", "sticky", "text", "top", "unit", "user", "users", "reader", "readers", "wrap", "wrapper", "zone",
+}
 NAME = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 EDGE = re.compile(r"[>\"']")
 MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -74,11 +77,17 @@ def _chrome(tag: str, attributes: str) -> bool:
         return True
     for m in MARK.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
-        if any(w in CHROME for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+        if any(_marks(name) for name in value.split()):
             return True
     return False
 
 
+def _marks(name: str) -> bool:
+    """Whether a class, id or role names what is not main text: ``ad``, ``site-nav``, ``adSlot3``, but not ``ad-free`` or ``share-price``."""
+    words = {w for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()}
+    return not words.isdisjoint(CHROME) and words <= CHROME | LAYOUT
+
+
 def _tag_end(source: str, at: int, loose: bool) -> tuple[int, bool]:
     """Where the ``>`` of a tag is whose name ends at ``at``, -1 if there is none, and whether quotes still count.
 
@@ -257,7 +266,7 @@ def _merge(host: str, kinds: list[int], texts: list[str], runs: set[int], min_ru
     return "\n".join(out)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> DataFrame:
     """``(id, url, text)`` for every row of ``pages``; the text is empty where there is none.
 
     Null pages count as empty; pages without a host form one host. Rows repeat as
@@ -281,7 +290,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # pages with equal streams count once
     reps = materialize(undecided.groupBy("host", "stream").agg(F.min("row").alias("first"), F.count("*").alias("c")), "streams")
     spare, _ = bounded_broadcast(undecided.select("host", "stream", "row").join(reps.where("c > 1"), ["host", "stream"]).where("row <> first").select("row"), MAX_SENT)
-    hosts = reps.groupBy("host").agg(F.count("*").alias("pages_of_host"))
 
     def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,11 +297,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 by: dict[str, list[list[str]]] = collections.defaultdict(list)
                 for host, kinds, texts in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     by[host].append(open_tokens(kinds, texts))
-                found = [(host, run_hash(host, streams[p][k : k + min_run]), n) for host, streams in by.items() for p, k, n in buckets(streams, min_run)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=["host", "run", "n"])
+                found = [(run_hash(host, streams[p][k : k + min_run]), n) for host, streams in by.items() for p, k, n in buckets(streams, min_run)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["run", "n"])
 
-    runs = undecided.join(spare, "row", "left_anti").select("host", "kinds", "texts").mapInArrow(count_runs, "host string, run long, n long")
-    runs = runs.groupBy("run").agg(F.sum("n").alias("n"), F.first("host").alias("host")).where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= min_share * F.col("pages_of_host"))
+    runs = undecided.join(spare, "row", "left_anti").select("host", "kinds", "texts").mapInArrow(count_runs, "run long, n long")
+    runs = runs.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
     runs, _ = bounded_broadcast(materialize(runs.select("run"), "runs"), MAX_SENT)
 
     def runs_of() -> Callable:

@@ -33,13 +33,12 @@ UNKNOWN = "und"
 def letters_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row, lower case, every run of other characters one space; and where each text starts.
 
-    Every text is framed by spaces. A text without letters is a single space.
+    Every text is framed by spaces. A text without letters, if only of combining marks, is a single space.
     """
     import regex
 
-    runs = regex.compile(r"[^\p{L}\p{M}]+")
-    parts = [f" {runs.sub(' ', (t or '').lower()).strip()} " if t else " " for t in texts]
-    parts = [p if len(p) > 2 else " " for p in parts]
+    runs, letter = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
+    parts = [f" {runs.sub(' ', t.lower()).strip()} " if t and letter.search(t) else " " for t in texts]
     starts = np.cumsum([0, *map(len, parts)])
     return np.frombuffer("".join(parts).encode("utf-32-le", "replace"), dtype=np.uint32), starts
 

@@ -6,10 +6,13 @@ of each line hash is built map-side from the lines as they occur and merged by
 aggregation; only lines whose estimate is near the threshold get an exact
 distinct count. Only DataFrame functions.
 
-Copies of a document say nothing about its lines. Texts with the same longest
-line are taken as versions of one document and count in the first of their sites
-only, so that a document that many sites copied keeps its lines, for
-near-duplicate removal to judge it as a whole.
+Copies of a document say nothing about its lines. Texts whose sets of lines are
+alike (Jaccard ``MIN_ALIKE`` or more) are versions of one document and count in the
+first of their sites only, so that a document that many sites copied keeps its
+lines, for near-duplicate removal to judge it as a whole. A text is compared with
+two others: the first of the texts with the same least, and with the same greatest,
+MD5 among their lines. No single line decides: a notice of any length that stands
+beside different lines counts in all of its sites.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from lathework.llm.common import documents, meet_groups
 from lathework.session import materialize
 
-MIN_SITES, LG_K = 6, 10
+MIN_SITES, LG_K, MIN_ALIKE = 6, 10, 0.8
 
 
 def line_hash(line: Column) -> Column:
@@ -43,6 +46,26 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     return exact.unionByName(far)
 
 
+def versions(texts: DataFrame, min_alike: float = MIN_ALIKE) -> DataFrame:
+    """``texts (key, name, low, high, site, lines)`` with ``version``: the name of the text that a text is a version of.
+
+    A row per text; ``name`` orders texts. Candidates are the first by name of
+    those with the same ``low`` and of those with the same ``high``.
+    """
+    out = texts
+    for end in ("low", "high"):
+        first = texts.where(F.col(end).isNotNull()).groupBy(end).agg(F.min_by(F.struct("name", "lines"), "name").alias(f"_{end}"), F.count("*").alias("n")).where("n > 1").drop("n")
+        # a merge join of two plain exchanges at every size: a hot key's rows can be split
+        out = out.join(first.hint("merge"), end, "left")
+
+    def alike(end: str) -> Column:
+        other = F.col(f"_{end}.lines")
+        shared = F.size(F.array_intersect("lines", other))
+        return F.when(shared >= min_alike * (F.size(F.array_distinct("lines")) + F.size(F.array_distinct(other)) - shared), F.col(f"_{end}.name"))
+
+    return out.select("key", "site", "lines", F.coalesce(alike("low"), alike("high"), "name").alias("version"))
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``, and ``n_lines``, ``n_removed`` (in place of columns so named).
 
@@ -53,14 +76,15 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: st
     their own boilerplate lines. Other columns are never touched.
     """
     hashes = F.expr(f"transform(filter(split(`{text_col}`, '\\n', -1), x -> trim(x) <> ''), x -> xxhash64(trim(x)))")
-    longest = F.expr(f"xxhash64(array_max(transform(split(`{text_col}`, '\\n', -1), x -> struct(length(trim(x)) as n, trim(x) as line))))")
-    seen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), longest.alias("version"), F.col(site_col).alias("site"), hashes.alias("lines"))
+    marks = F.expr(f"transform(filter(split(`{text_col}`, '\\n', -1), x -> trim(x) <> ''), x -> md5(trim(x)))")
+    seen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.md5(text_col).alias("name"), F.col(site_col).alias("site"), hashes.alias("lines"), marks.alias("marks"))
+    seen = seen.select("key", "name", "site", "lines", F.array_min("marks").alias("low"), F.array_max("marks").alias("high"))
     # one row for each text, then one site for each version; the first is null before all others
     least = F.min(F.struct(F.col("site").isNotNull().alias("has"), "site"))
-    texts = seen.groupBy("key").agg(least.alias("one"), F.first("version").alias("version"), F.first("lines").alias("lines")).select("key", "version", "one.site", "lines")
-    texts = materialize(texts.withColumn("salt", F.pmod("key", F.lit(32)).cast("int")), "text_lines")
-    versions = materialize(texts.groupBy("version").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "versions")
-    texts = meet_groups(texts, versions, ["version"], "left").select("key", F.when(F.col("first").isNull(), F.col("site")).otherwise(F.col("first.site")).alias("site"), "lines")
+    texts = seen.groupBy("key").agg(least.alias("one"), *[F.first(c).alias(c) for c in ("name", "low", "high", "lines")]).select("key", "name", "low", "high", "one.site", "lines")
+    texts = materialize(versions(materialize(texts, "text_lines")).withColumn("salt", F.pmod("key", F.lit(32)).cast("int")), "text_versions")
+    many = materialize(texts.groupBy("version").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "versions")
+    texts = meet_groups(texts, many, ["version"], "left").select("key", F.when(F.col("first").isNull(), F.col("site")).otherwise(F.col("first.site")).alias("site"), "lines")
     spread = materialize(spread_lines(texts.select(F.explode("lines").alias("line"), "site"), min_sites, lg_k), "spread_lines")
     # sets of a text's own boilerplate lines
     own = texts.select("key", F.explode(F.array_distinct("lines")).alias("line")).join(spread.select("line"), "line", "left_semi").groupBy("key").agg(F.collect_set("line").alias("_drop"))
@@ -95,10 +119,16 @@ with cut as (
   select row_number() over () as tid, text, min(coalesce(source, chr(0))) as source from documents where text is not null group by text
 ), cells as (
   select tid, source, trim(unnest(string_split(text, chr(10))), ' ') as line from texts
+), sets as (
+  select tid, any_value(source) as source, md5(any_value(text)) as name, list(distinct line) as own, min(md5(line)) as low, max(md5(line)) as high from cells join (select tid, text from texts) using (tid) where line <> '' group by 1
+), ends as (
+  select *, first_value(name) over l as lname, first_value(own) over l as lown, first_value(name) over h as hname, first_value(own) over h as hown from sets
+  window l as (partition by low order by name), h as (partition by high order by name)
 ), versions as (
-  select tid, line as version from cells qualify row_number() over (partition by tid order by length(line) desc, line desc) = 1
+  select tid, source, case when len(list_intersect(own, lown)) >= {MIN_ALIKE} * (len(own) + len(lown) - len(list_intersect(own, lown))) then lname
+    when len(list_intersect(own, hown)) >= {MIN_ALIKE} * (len(own) + len(hown) - len(list_intersect(own, hown))) then hname else name end as version from ends
 ), spread as (
-  select line from cells join (select tid, min(source) over (partition by version) as first from versions join texts using (tid)) using (tid)
+  select line from cells join (select tid, min(source) over (partition by version) as first from versions) using (tid)
   where line <> '' group by 1 having count(distinct first) >= {MIN_SITES}
 ), lines as (
   select rid, unnest(parts) as line, unnest(range(len(parts))) as pos from cut where text is not null

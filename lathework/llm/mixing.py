@@ -116,8 +116,8 @@ def solve(cells: DataFrame, limit: float = LIMIT, tilt: float = TILT, tolerance:
         met = met.select(*_KEYS, "source_size", "target", "low", "high", "lambda", "done").observe(seen, F.count_if(~F.col("done")).alias("open"))
         state = materialize(met, "dual", before)
         if not seen.get["open"]:
-            break
-    return state.select(*_KEYS, "source_size", "target", "lambda")
+            return state.select(*_KEYS, "source_size", "target", "lambda")
+    raise RuntimeError(f"the dual has not settled in {max_steps} steps")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
