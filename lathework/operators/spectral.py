@@ -232,8 +232,8 @@ def shrink(n: np.ndarray, gamma: np.ndarray, delta: np.ndarray, prior: tuple[flo
         star[active], scale[active] = new, spread
         active[np.flatnonzero(active)] = moved >= tolerance
         if not active.any():
-            break
-    return star, scale
+            return star, scale
+    raise RuntimeError(f"{active.sum()} features have not settled in {steps} steps")
 
 
 def combat(long: DataFrame, batches: DataFrame) -> DataFrame:

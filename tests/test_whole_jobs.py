@@ -36,7 +36,7 @@ def test_k_selection_seeds(spark, sf, monkeypatch):
     """Two groups are judged by ten seeds."""
     asked = {}
 
-    def record(w, k, ref, seeds):
+    def record(w, k, ref, seeds, survival=None):
         asked[k] = seeds
         return {"k": k, "silhouette": 0.0}
 
