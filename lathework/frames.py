@@ -20,6 +20,31 @@ def global_rank(df: DataFrame, order: str, target: str = "rank", per_range: int
     return dealt.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn(target, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
 
 
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column | str], reverse: bool = False, per_range: int = 100_000) -> DataFrame:
+    """``df`` with running sums by ``order`` within ``keys``, the own row included; with ``reverse`` from the last row back.
+
+    A scan on two levels, so that no window covers a whole group: ``order`` is cut
+    into ranges, sums of the ranges before (a row per group and range) offset the
+    sums inside a range. Rows that agree in keys and order must be aggregated
+    beforehand; ``order`` has no nulls. Nulls in the summed columns add nothing.
+    """
+    part, ranges = range_parts(df, order, per_range, 4_096)
+    own = df.withColumns({"_part": part.cast("int")} | {f"_{k}": F.col(c) if isinstance(c, str) else c for k, c in sums.items()})
+    along = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
+    inside = Window.partitionBy(*keys, "_part").orderBy(along(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = own.withColumns({f"_in_{k}": F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0)) for k in sums})
+    if ranges == 1:
+        return scanned.withColumns({k: F.col(f"_in_{k}") for k in sums}).drop("_part", *[f"_{k}" for k in sums], *[f"_in_{k}" for k in sums])
+    before = Window.partitionBy(*keys).orderBy(along("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = own.groupBy(*keys, "_part").agg(*[F.sum(f"_{k}").alias(f"_all_{k}") for k in sums])
+    offsets = totals.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_off_{k}") for k in sums])
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = scanned.join(offsets, same).withColumns({k: F.col(f"_in_{k}") + F.col(f"_off_{k}") for k in sums})
+    return out.drop("_part", "_of", *[f"_key_{k}" for k in keys], *[f"{x}{k}" for k in sums for x in ("_", "_in_", "_off_")])
+
+
 def hash_draw(n: Column | int, *parts: Column | str) -> Column:
     """A draw from 0..n-1 by the first 32 bits of the MD5 of the joined parts: the same in any engine."""
     columns = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
@@ -39,16 +64,25 @@ def range_parts(df: DataFrame, key: str, per_range: int, max_ranges: int = 20_00
     at most ``max_ranges``, which bounds what the driver and the plan hold. A row
     finds its range by binary search. Equal keys share a range.
     """
-    n = df.count()
-    ranges = min(max_ranges, max(1, -(-n // per_range)))
-    cuts: list = []
-    if ranges > 1:
-        found = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10 * max(1_000, ranges))).first()[0]
-        cuts = sorted(set(found or []))
+    cuts = cut_points(df, key, per_range, max_ranges)
     if not cuts:
         return F.lit(0), 1
+    return cut_position(F.col(key), cuts), len(cuts) + 1
+
+
+def cut_points(df: DataFrame, key: str, per_range: int, max_ranges: int) -> list:
+    """Ascending approximate quantiles of ``key`` about ``per_range`` rows apart, fewer than ``max_ranges``; none for a single range."""
+    ranges = min(max_ranges, max(1, -(-df.count() // per_range)))
+    if ranges == 1:
+        return []
+    found = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10 * max(1_000, ranges))).first()[0]
+    return sorted(set(found or []))
+
+
+def cut_position(key: Column, cuts: list) -> Column:
+    """How many of ``cuts`` are below ``key``, by binary search; 0 for null."""
     half = lambda s: F.floor((s["l"] + s["h"]) / 2).cast("int")
     state = lambda low, high: F.struct(low.cast("int").alias("l"), high.cast("int").alias("h"))
-    step = lambda s, _: F.when(s["l"] >= s["h"], s).when(F.col(key) > F.element_at(F.lit(cuts), half(s) + 1), state(half(s) + 1, s["h"])).otherwise(state(s["l"], half(s)))
+    step = lambda s, _: F.when(s["l"] >= s["h"], s).when(key > F.element_at(F.lit(cuts), half(s) + 1), state(half(s) + 1, s["h"])).otherwise(state(s["l"], half(s)))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), state(F.lit(0), F.lit(len(cuts))), step, lambda s: s["l"])
-    return F.coalesce(F.when(F.col(key).isNotNull(), found), F.lit(0)), len(cuts) + 1
+    return F.coalesce(F.when(key.isNotNull(), found), F.lit(0))

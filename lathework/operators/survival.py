@@ -9,29 +9,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathework.frames import hash_draw
+from lathework.frames import cut_points, cut_position, hash_draw, running
+from lathework.session import materialize
 
 
-def life_table(rows: DataFrame, group: str | None = None) -> DataFrame:
-    """``(group, time, d, c, n)``: events, censored and number at risk at each distinct time."""
+def life_table(rows: DataFrame, group: str | None = None, per_range: int = 100_000) -> DataFrame:
+    """``(group, time, d, c, n)``: events, censored and number at risk at each distinct time, by a scan over ranges of time."""
     keys = [group] if group else []
     t = rows.where("time is not null and event is not null").groupBy(*keys, "time").agg(F.sum(F.col("event").cast("long")).alias("d"), F.sum((~F.col("event")).cast("long")).alias("c"))
-    later = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("time").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return t.withColumn("n", F.sum(F.col("d") + F.col("c")).over(later))
-
-
-def kaplan_meier(rows: DataFrame, group: str | None = None) -> DataFrame:
-    """``(group, time, n, d, s, low, high)`` at event times; Greenwood's variance on the log scale, 95 per cent."""
-    t = life_table(rows, group).where("d > 0")
-    sofar = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dead = F.max((F.col("d") == F.col("n")).cast("int")).over(sofar) == 1
-    step = F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n")))
-    var = F.when(F.col("d") < F.col("n"), F.col("d") / (F.col("n") * (F.col("n") - F.col("d"))))
-    out = t.withColumn("s", F.when(dead, 0.0).otherwise(F.exp(F.sum(step).over(sofar)))).withColumn("v", F.sqrt(F.sum(var).over(sofar)))
+    return running(t, keys, "time", {"n": F.col("d") + F.col("c")}, reverse=True, per_range=per_range)
+
+
+def kaplan_meier(rows: DataFrame, group: str | None = None, per_range: int = 100_000) -> DataFrame:
+    """``(group, time, n, d, s, low, high)`` at event times; Greenwood's variance on the log scale, 95 per cent.
+
+    Log survival and variance are running sums; from a time at which all at risk have their event on, survival is zero.
+    """
     keys = [group] if group else []
+    d, n = F.col("d"), F.col("n")
+    sums = {"ended": (d == n).cast("long"), "log_s": F.when(d < n, F.log(1 - d / n)), "v": F.when(d < n, d / (n * (n - d)))}
+    out = running(life_table(rows, group, per_range).where("d > 0"), keys, "time", sums, per_range=per_range)
+    out = out.withColumn("s", F.when(F.col("ended") > 0, 0.0).otherwise(F.exp("log_s"))).withColumn("v", F.sqrt("v"))
     bound = lambda sign: F.when(F.col("s") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("s") * F.exp(sign * 1.959963984540054 * F.col("v"))))
     return out.select(*keys, "time", "n", "d", "s", bound(-1).alias("low"), bound(1).alias("high"))
 
@@ -42,17 +43,27 @@ def median_survival(rows: DataFrame, group: str) -> DataFrame:
     return rows.select(group).distinct().join(curve.where("s <= 0.5").groupBy(group).agg(F.min("time").alias("median")), group, "left")
 
 
-def _risk_sets(rows: DataFrame, group: str) -> DataFrame:
-    """``(time, group, d_g, n_g, d, n)`` at times with an event, for each group that is at risk."""
+#: Groups that a test compares at most; the covariances of all of them reach the driver.
+MAX_GROUPS = 200
+
+
+def _risk_sets(rows: DataFrame, group: str, per_range: int = 100_000) -> DataFrame:
+    """``(time, group, d_g, n_g, d, n)`` at times with an event, for each group.
+
+    A row per time holds all groups' counts side by side; those at risk are running sums from the last time back.
+    """
     own = rows.where(f"time is not null and event is not null and {group} is not null")
-    times = own.where("event").select("time").distinct()
-    groups = own.select(group).distinct()
-    cells = own.groupBy(group, "time").agg(F.sum(F.col("event").cast("long")).alias("d_g"), F.count("*").alias("m"))
-    grid = own.select("time").distinct().crossJoin(groups).join(cells, ["time", group], "left").na.fill(0, ["d_g", "m"])
-    later = Window.partitionBy(group).orderBy("time").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    grid = grid.withColumn("n_g", F.sum("m").over(later)).join(times, "time", "left_semi")
-    at = Window.partitionBy("time")
-    return grid.withColumn("d", F.sum("d_g").over(at)).withColumn("n", F.sum("n_g").over(at)).drop("m")
+    names = sorted(r[0] for r in own.select(group).distinct().limit(MAX_GROUPS + 1).collect())
+    if len(names) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    is_g = lambda g: F.col(group) == F.lit(g)
+    counts = [F.sum((is_g(g) & F.col("event")).cast("long")).alias(f"d{k}") for k, g in enumerate(names)] + [F.sum(is_g(g).cast("long")).alias(f"m{k}") for k, g in enumerate(names)]
+    t = own.groupBy("time").agg(F.sum(F.col("event").cast("long")).alias("d"), F.count("*").alias("m"), *counts)
+    t = running(t, [], "time", {"n": "m"} | {f"n{k}": f"m{k}" for k in range(len(names))}, reverse=True, per_range=per_range).where("d > 0")
+    kind = rows.schema[group].dataType
+    cells = F.array(*[F.struct(F.lit(g).cast(kind).alias(group), F.col(f"d{k}").alias("d_g"), F.col(f"n{k}").alias("n_g")) for k, g in enumerate(names)])
+    empty = f"array<struct<`{group}`:{kind.simpleString()},d_g:bigint,n_g:bigint>>"
+    return t.select("time", F.explode(cells if names else F.array().cast(empty)).alias("g"), "d", "n").select("time", "g.*", "d", "n")
 
 
 def log_rank_parts(rows: DataFrame, group: str) -> DataFrame:
@@ -89,6 +100,8 @@ def log_rank_many(rows: DataFrame, group: str) -> tuple[float, int, float]:
     return stat, len(u), chi2_tail(stat, len(u))
 
 
+#: Events that a resample needs.
+MIN_EVENTS = 2
 #: Patients in a block, so that what a pair of blocks is compared in fits a task.
 BLOCK = 2_048
 
@@ -106,24 +119,78 @@ def comparable(ta, ea, tb, eb) -> np.ndarray:
     return ea[:, None] & ((ta[:, None] < tb[None, :]) | ((ta[:, None] == tb[None, :]) & ~eb[None, :]))
 
 
-def concordance(rows: DataFrame, risk: str = "risk", blocks: int | None = None, piece: int = 2_000) -> DataFrame:
-    """``(concordant, comparable, c)``: higher risk should have the event first; equal risks count one half."""
+#: Ranges of time and of risk at most: their table of counts, six times the square, is summed on the driver.
+MAX_RANGES = 256
 
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = part[part["first"] & part["event"]], part[~part["first"]]
-        tb, eb, rb = b["time"].to_numpy(), b["event"].to_numpy(bool), b["r"].to_numpy()
-        good = n = 0.0
-        for at in range(0, len(a), piece):
-            s = a.iloc[at : at + piece]
-            ok = comparable(s["time"].to_numpy(), s["event"].to_numpy(bool), tb, eb)
-            ra = s["r"].to_numpy()[:, None]
-            good += float((ok & (ra > rb[None, :])).sum() + 0.5 * (ok & (ra == rb[None, :])).sum())
-            n += float(ok.sum())
-        return pd.DataFrame({"good": [good], "n": [n]})
 
-    own = rows.where(f"time is not null and event is not null and {risk} is not null").withColumn("r", F.col(risk).cast("double"))
-    sums = _pairs_of_blocks(own, ["id", "time", "event", "r"], blocks).groupBy("x", "y").applyInPandas(work, "good double, n double")
-    return sums.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("comparable")).withColumn("c", F.try_divide("concordant", "comparable"))
+def dominated(order: np.ndarray, rank: np.ndarray, weight: np.ndarray, asks: np.ndarray) -> float:
+    """The sum over x of asks[x] times the weights of all y with order[y] > order[x] and rank[y] < rank[x].
+
+    Ranks are compared bit by bit: x and y part at one bit, where x has a one and
+    y a zero and the bits above are equal. For each bit one running sum, in
+    descending order, over those with equal bits above.
+    """
+    rank = np.unique(rank, return_inverse=True)[1]
+    seat = np.lexsort((-rank, -order))  # of equal order the higher rank comes first and counts none of them
+    rank, weight, asks = rank[seat], weight[seat].astype(float), asks[seat].astype(float)
+    total = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        above, one = rank >> (bit + 1), (rank >> bit & 1).astype(bool)
+        by = np.argsort(above, kind="stable")
+        before = np.concatenate([[0.0], np.cumsum(np.where(one[by], 0.0, weight[by]))])
+        first = np.searchsorted(above[by], above[by], side="left")
+        total += float((asks[by] * one[by] * (before[:-1] - before[first])).sum())
+    return total
+
+
+def concordance(rows: DataFrame, risk: str = "risk", per_range: int = 100_000, max_ranges: int = MAX_RANGES) -> DataFrame:
+    """``(concordant, comparable, c)``: higher risk should have the event first; equal risks count one half.
+
+    Pairs are counted, not made. Times and risks are cut into ranges, a value at
+    a cut is a range of its own. Of a pair with different times and risks either
+    the times share a range, or else the risks do, or neither: the first two are counted
+    inside one range in n log n, the third from a table of the ranges' sizes.
+    Each row is shuffled to its range of time and to its range of risk. Pairs
+    that can be ordered and pairs of equal risk are running sums.
+    """
+    own = rows.where(f"time is not null and event is not null and {risk} is not null").select("time", F.col("event").cast("boolean").alias("event"), F.col(risk).cast("double").alias("r"))
+    cells = materialize(own.groupBy("time", "event", "r").agg(F.count("*").alias("m")), "cells")
+    time, rank = (cut_points(cells, c, per_range, max_ranges) for c in ("time", "r"))
+    at_cut = lambda c, cuts, place: F.coalesce(F.get(F.lit(cuts), place) == F.col(c), F.lit(False)) if cuts else F.lit(False)
+    p, q = (cut_position(F.col(c), cuts) if cuts else F.lit(0) for c, cuts in (("time", time), ("r", rank)))
+    cells = cells.withColumn("p", 3 * p + F.when(~at_cut("time", time, p), 0).when(F.col("event"), 1).otherwise(2))
+    cells = materialize(cells.withColumn("q", 2 * q + at_cut("r", rank, q).cast("int")), "placed", cells)
+
+    def in_time(part: pd.DataFrame) -> pd.DataFrame:
+        event = part["event"].to_numpy(bool)
+        order = 2 * np.unique(part["time"].to_numpy(), return_inverse=True)[1] + ~event  # at equal times an event comes before a censored end
+        m = part["m"].to_numpy(float)
+        return pd.DataFrame({"good": [dominated(order, part["r"].to_numpy(), m, np.where(event, m, 0))]})
+
+    def in_risk(part: pd.DataFrame) -> pd.DataFrame:
+        m = part["m"].to_numpy(float)
+        return pd.DataFrame({"good": [dominated(part["p"].to_numpy(), part["r"].to_numpy(), m, np.where(part["event"].to_numpy(bool), m, 0))]})
+
+    near = cells.where("p % 3 = 0").groupBy("p").applyInPandas(in_time, "good double").unionByName(cells.where("q % 2 = 0").groupBy("q").applyInPandas(in_risk, "good double"))
+    table = cells.groupBy("p", "q").agg(F.sum("m").alias("m"), F.sum(F.when(F.col("event"), F.col("m")).otherwise(0)).alias("e")).toPandas()  # 6 * MAX_RANGES ** 2 rows at most
+    far = _apart(table["p"].to_numpy(int), table["q"].to_numpy(int), table["m"].to_numpy(float), table["e"].to_numpy(float)) if len(table) else 0.0
+
+    events, all_m = F.when(F.col("event"), F.col("m")).otherwise(0), F.sum("m").alias("m")
+    later = lambda keys: running(cells.groupBy(*keys, "time").agg(F.sum(events).alias("e"), all_m), keys, "time", {"later": "m"}, reverse=True, per_range=per_range).agg(
+        F.coalesce(F.sum(F.col("e") * (F.col("later") - F.col("e"))), F.lit(0)).cast("double").alias("n")
+    )
+    sums = near.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("near")).crossJoin(later(["r"]).withColumnRenamed("n", "ties")).crossJoin(later([]).withColumnRenamed("n", "comparable"))  # a row each
+    return sums.select((F.col("near") + F.lit(far) + 0.5 * F.col("ties")).alias("concordant"), "comparable").withColumn("c", F.try_divide("concordant", "comparable"))
+
+
+def _apart(p: np.ndarray, q: np.ndarray, m: np.ndarray, e: np.ndarray) -> float:
+    """Events with a later range of time and a lower range of risk, from the table of ranges."""
+    p, q = np.unique(p, return_inverse=True)[1], np.unique(q, return_inverse=True)[1]
+    all_m, all_e = np.zeros((p.max() + 2, q.max() + 2)), np.zeros((p.max() + 2, q.max() + 2))
+    all_m[p, q + 1], all_e[p, q + 1] = m, e
+    below = np.cumsum(all_m, axis=1)  # risks up to column q - 1
+    later = np.cumsum(below[::-1], axis=0)[::-1]
+    return float((all_e[:-1, 1:] * later[1:, :-1]).sum())
 
 
 def multiplicities(spark, n: int, replicates: int, seed: str = "b") -> DataFrame:
@@ -138,6 +205,7 @@ def bootstrap_concordance(ranked: DataFrame, risks: list[str], replicates: int =
 
     ``ranked`` has ranks 0..n-1. A pair counts as often as the product of its
     patients' multiplicities: the pairs are compared once for all replicates.
+    Replicates that drew fewer than ``MIN_EVENTS`` events have no row.
     """
     n = ranked.count()
     own = ranked.join(multiplicities(ranked.sparkSession, n, replicates, seed), "rank", "left")
@@ -165,6 +233,8 @@ def bootstrap_concordance(ranked: DataFrame, risks: list[str], replicates: int =
     schema = "b int, n double, " + ", ".join(f"g{q} double" for q in range(len(risks)))
     sums = _pairs_of_blocks(own, columns, blocks).groupBy("x", "y").applyInPandas(work, schema)
     total = sums.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(f"g{q}").alias(f"g{q}") for q in range(len(risks))])
+    enough = own.where("event").select(F.explode("w").alias("b", "m")).groupBy("b").agg(F.sum("m").alias("events")).where(F.col("events") >= MIN_EVENTS)
+    total = total.join(enough.select("b"), "b", "left_semi")
     return total.where("n > 0").select("b", *[(F.col(f"g{q}") / F.col("n")).alias(f"c_{r}") for q, r in enumerate(risks)])
 
 

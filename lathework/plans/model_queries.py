@@ -10,6 +10,7 @@ from lathework.frames import global_rank
 from lathework.functions.columns import r6
 from lathework.operators import cox as C
 from lathework.operators import graph as G
+from lathework.operators import lanczos as Z
 from lathework.operators import matrix as M
 from lathework.operators import relate as R
 from lathework.operators import spectral as L
@@ -18,7 +19,7 @@ from lathework.plans.base import COUNTS, Registry, counts, patients, r, rounded,
 from lathework.plans.graph_queries import KERNELS, modalities, spread, transition
 from lathework.plans.matrix_queries import zscore_sql
 from lathework.plans.survival_queries import folds
-from lathework.session import table
+from lathework.session import materialize, table
 
 query = Registry()
 PARTS = [(0, 21), (21, 42), (42, 64)]
@@ -64,6 +65,24 @@ def spectral_clustering(spark, d):
     return spark.createDataFrame(pd.DataFrame({"id": ids} | {f"cluster_k{k}": L.spectral_labels(w, k) for k in range(2, 7)}))
 
 
+def _sparse(spark, d):
+    """The graph of each sample's 20 nearest; nothing of it reaches the driver."""
+    return materialize(Z.neighbour_graph(vectors(spark, d), 20), "graph")
+
+
+@query("sparse_spectrum")
+def sparse_spectrum(spark, d):
+    """The 12 lowest eigenvalues of the neighbour graph's Laplacian, whether each has settled, and the gap to the next."""
+    found = Z.lowest_pairs(_sparse(spark, d), 12)
+    rows = [(k, float(np.round(v, 6)) + 0.0, bool(r <= Z.SETTLED)) for k, (v, r) in enumerate(zip(found.values, found.residuals, strict=True))]
+    return spark.createDataFrame(rows, "idx int, value double, settled boolean")
+
+
+@query("sparse_embedding")
+def sparse_embedding(spark, d):
+    return Z.embedding(_sparse(spark, d), 8)
+
+
 @query("k_selection")
 def k_selection(spark, d):
     """A record for each k; the first k with the largest silhouette is primary."""
