@@ -15,6 +15,7 @@ from lathework.operators import matrix as M
 from lathework.operators import relate as R
 from lathework.operators import spectral as L
 from lathework.operators import survival as S
+from lathework.operators.cox_frame import fit_frame
 from lathework.plans.base import COUNTS, Registry, counts, patients, r, rounded, vectors
 from lathework.plans.graph_queries import KERNELS, modalities, spread, transition
 from lathework.plans.matrix_queries import zscore_sql
@@ -213,6 +214,14 @@ def cox_cross_validation(spark, d):
     return C.summary(C.fold_scores(oof.unionByName(C.late_average(oof)), rows))
 
 
+@query("cox_whole_cohort")
+def cox_whole_cohort(spark, d):
+    """Coefficients of one model of all patients, by risk sets over ranges of time; no task holds the cohort."""
+    orders, _ = cohort(spark, d)
+    b = fit_frame(orders, 0.1)
+    return spark.createDataFrame([(k, float(np.round(v, 6)) + 0.0) for k, v in enumerate(b)], "feature int, coefficient double")
+
+
 @query("cox_late_concat")
 def cox_late_concat(spark, d):
     """Both feature sets side by side in one model."""

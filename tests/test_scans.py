@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lathework.frames import running
-from lathework.operators import lanczos, survival
+from lathework.operators import cox, lanczos, survival
+from lathework.operators.cox_frame import fit_frame, slope
 
 
 def chance(n, times, risks, seed, hot=False):
@@ -143,3 +144,45 @@ def test_neighbour_graph(spark):
     want = {(i, j) for i in range(40) for j in near[i]} | {(j, i) for i in range(40) for j in near[i]}
     assert got.keys() == want
     assert all(abs(w - np.exp(-d[i, j] / (2 * 0.5 * (mean[i] + mean[j] + d[i, j]) / 3))) < 1e-9 for (i, j), w in got.items())
+
+
+def cohort(n, d, seed, ties):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, d))
+    time = r.exponential(np.exp(-x[:, 0] + 0.5 * x[:, 1]))
+    return x, np.ceil(time * 4) if ties else time, r.random(n) < 0.6
+
+
+def cohort_frame(spark, x, t, e):
+    return spark.createDataFrame([(float(a), bool(b), v.tolist()) for a, b, v in zip(t, e, x, strict=True)], "time double, event boolean, vec array<double>")
+
+
+def test_slope_like_plain(spark):
+    """Likelihood, gradient and Hessian against sums over risk sets by hand, whatever the ranges."""
+    x, t, e = cohort(120, 3, 1, True)
+    b = np.array([0.4, -0.3, 0.1])
+    w = np.exp(x @ b)
+    value, gradient, hessian = 0.0, np.zeros(3), np.zeros((3, 3))
+    for k in np.flatnonzero(e):
+        at = t >= t[k]
+        mean = (w[at, None] * x[at]).sum(axis=0) / w[at].sum()
+        value -= x[k] @ b - np.log(w[at].sum())
+        gradient += mean - x[k]
+        hessian += (w[at, None, None] * x[at, :, None] * x[at, None, :]).sum(axis=0) / w[at].sum() - np.outer(mean, mean)
+    for per_range in (10**6, 5):
+        got = slope(cohort_frame(spark, x, t, e), b, 120, per_range)
+        assert np.isclose(got.value, value / 120) and np.allclose(got.gradient, gradient / 120) and np.allclose(got.hessian, hessian / 120)
+
+
+@pytest.mark.parametrize(("alpha", "l1_ratio", "ties"), [(0.05, 0.01, True), (0.1, 0.9, False)])
+def test_fit_frame_like_fit(spark, alpha, l1_ratio, ties):
+    x, t, e = cohort(300, 5, 2, ties)
+    want = cox.fit(x, t, e, alpha, l1_ratio, max_iter=5_000, tolerance=1e-11)
+    got = fit_frame(cohort_frame(spark, x, t, e), alpha, l1_ratio, per_range=50)
+    assert np.abs(got - want).max() < 1e-6 and (l1_ratio < 0.5 or (got == 0).any())
+
+
+def test_fit_frame_edges(spark):
+    x, t, e = cohort(30, 2, 3, True)
+    assert not fit_frame(cohort_frame(spark, x, t, np.zeros(30, bool)), 0.1).any()
+    assert len(fit_frame(cohort_frame(spark, x[:0], t[:0], e[:0]), 0.1)) == 0
