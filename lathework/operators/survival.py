@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathework.frames import cut_points, cut_position, hash_draw, running
@@ -102,44 +102,55 @@ def log_rank_many(rows: DataFrame, group: str) -> tuple[float, int, float]:
 
 #: Events that a resample needs.
 MIN_EVENTS = 2
-#: Patients in a block, so that what a pair of blocks is compared in fits a task.
-BLOCK = 2_048
+def comparable(ta, ea, tb, eb) -> np.ndarray:
+    """Which pairs (a, b) can be ordered: a has its event first; at equal times an event comes before a censored end."""
+    return ea[:, None] & ((ta[:, None] < tb[None, :]) | ((ta[:, None] == tb[None, :]) & ~eb[None, :]))
 
 
-def _pairs_of_blocks(rows: DataFrame, columns: list[str], blocks: int | None) -> DataFrame:
-    blocks = blocks or max(4, -(-rows.count() // BLOCK))
-    own = rows.select(*columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = each.select(F.col("b").alias("x"), F.col("o").alias("y"), F.lit(True).alias("first"), *columns)
-    return left.unionByName(each.select(F.col("o").alias("x"), F.col("b").alias("y"), F.lit(False).alias("first"), *columns))
+def _placed(df: DataFrame, key: str, per_range: int, max_ranges: int) -> tuple[Column, Column]:
+    """The range of a row, and whether the row is at the range's upper cut."""
+    cuts = cut_points(df, key, per_range, max_ranges)
+    if not cuts:
+        return F.lit(0), F.lit(False)
+    place = cut_position(F.col(key), cuts)
+    return place, F.coalesce(F.get(F.lit(cuts), place) == F.col(key), F.lit(False))
 
 
-def comparable(ta, ea, tb, eb) -> np.ndarray:
-    """Which pairs (a, b) can be ordered: a has its event first; at equal times an event comes before a censored end."""
-    return ea[:, None] & ((ta[:, None] < tb[None, :]) | ((ta[:, None] == tb[None, :]) & ~eb[None, :]))
+def _time_range(df: DataFrame, per_range: int, max_ranges: int) -> Column:
+    """Ranges of time in order, a multiple of three; events and censored ends at a cut have the two numbers after it for themselves."""
+    place, cut = _placed(df, "time", per_range, max_ranges)
+    return (3 * place + F.when(~cut, 0).when(F.col("event"), 1).otherwise(2)).cast("int")
+
+
+def _risk_range(df: DataFrame, risk: str, per_range: int, max_ranges: int) -> Column:
+    """Ranges of risk in order, even; a risk at a cut has the odd number for itself."""
+    place, cut = _placed(df, risk, per_range, max_ranges)
+    return (2 * place + cut.cast("int")).cast("int")
 
 
 #: Ranges of time and of risk at most: their table of counts, six times the square, is summed on the driver.
 MAX_RANGES = 256
 
 
-def dominated(order: np.ndarray, rank: np.ndarray, weight: np.ndarray, asks: np.ndarray) -> float:
+def dominated(order: np.ndarray, rank: np.ndarray, weight: np.ndarray, asks: np.ndarray) -> np.ndarray:
     """The sum over x of asks[x] times the weights of all y with order[y] > order[x] and rank[y] < rank[x].
 
-    Ranks are compared bit by bit: x and y part at one bit, where x has a one and
-    y a zero and the bits above are equal. For each bit one running sum, in
-    descending order, over those with equal bits above.
+    ``weight`` and ``asks`` are n numbers, or n rows with a column per replicate; a number
+    per column comes back. Ranks are compared bit by bit: x and y part at one bit, where x
+    has a one and y a zero and the bits above are equal. For each bit one running
+    sum, in descending order, over those with equal bits above.
     """
+    n = len(rank)
     rank = np.unique(rank, return_inverse=True)[1]
     seat = np.lexsort((-rank, -order))  # of equal order the higher rank comes first and counts none of them
-    rank, weight, asks = rank[seat], weight[seat].astype(float), asks[seat].astype(float)
-    total = 0.0
+    rank, weight, asks = rank[seat], weight[seat].astype(float).reshape(n, -1), asks[seat].astype(float).reshape(n, -1)
+    total = np.zeros(weight.shape[1])
     for bit in range(int(rank.max(initial=0)).bit_length()):
-        above, one = rank >> (bit + 1), (rank >> bit & 1).astype(bool)
+        above, one = rank >> (bit + 1), (rank >> bit & 1).astype(bool)[:, None]
         by = np.argsort(above, kind="stable")
-        before = np.concatenate([[0.0], np.cumsum(np.where(one[by], 0.0, weight[by]))])
+        before = np.vstack([np.zeros((1, weight.shape[1])), np.cumsum(np.where(one[by], 0.0, weight[by]), axis=0)])
         first = np.searchsorted(above[by], above[by], side="left")
-        total += float((asks[by] * one[by] * (before[:-1] - before[first])).sum())
+        total += (asks[by] * one[by] * (before[:-1] - before[first])).sum(axis=0)
     return total
 
 
@@ -155,21 +166,17 @@ def concordance(rows: DataFrame, risk: str = "risk", per_range: int = 100_000, m
     """
     own = rows.where(f"time is not null and event is not null and {risk} is not null").select("time", F.col("event").cast("boolean").alias("event"), F.col(risk).cast("double").alias("r"))
     cells = materialize(own.groupBy("time", "event", "r").agg(F.count("*").alias("m")), "cells")
-    time, rank = (cut_points(cells, c, per_range, max_ranges) for c in ("time", "r"))
-    at_cut = lambda c, cuts, place: F.coalesce(F.get(F.lit(cuts), place) == F.col(c), F.lit(False)) if cuts else F.lit(False)
-    p, q = (cut_position(F.col(c), cuts) if cuts else F.lit(0) for c, cuts in (("time", time), ("r", rank)))
-    cells = cells.withColumn("p", 3 * p + F.when(~at_cut("time", time, p), 0).when(F.col("event"), 1).otherwise(2))
-    cells = materialize(cells.withColumn("q", 2 * q + at_cut("r", rank, q).cast("int")), "placed", cells)
+    cells = materialize(cells.withColumns({"p": _time_range(cells, per_range, max_ranges), "q": _risk_range(cells, "r", per_range, max_ranges)}), "placed", cells)
 
     def in_time(part: pd.DataFrame) -> pd.DataFrame:
         event = part["event"].to_numpy(bool)
         order = 2 * np.unique(part["time"].to_numpy(), return_inverse=True)[1] + ~event  # at equal times an event comes before a censored end
         m = part["m"].to_numpy(float)
-        return pd.DataFrame({"good": [dominated(order, part["r"].to_numpy(), m, np.where(event, m, 0))]})
+        return pd.DataFrame({"good": dominated(order, part["r"].to_numpy(), m, np.where(event, m, 0))})
 
     def in_risk(part: pd.DataFrame) -> pd.DataFrame:
         m = part["m"].to_numpy(float)
-        return pd.DataFrame({"good": [dominated(part["p"].to_numpy(), part["r"].to_numpy(), m, np.where(part["event"].to_numpy(bool), m, 0))]})
+        return pd.DataFrame({"good": dominated(part["p"].to_numpy(), part["r"].to_numpy(), m, np.where(part["event"].to_numpy(bool), m, 0))})
 
     near = cells.where("p % 3 = 0").groupBy("p").applyInPandas(in_time, "good double").unionByName(cells.where("q % 2 = 0").groupBy("q").applyInPandas(in_risk, "good double"))
     table = cells.groupBy("p", "q").agg(F.sum("m").alias("m"), F.sum(F.when(F.col("event"), F.col("m")).otherwise(0)).alias("e")).toPandas()  # 6 * MAX_RANGES ** 2 rows at most
@@ -200,42 +207,95 @@ def multiplicities(spark, n: int, replicates: int, seed: str = "b") -> DataFrame
     return drawn.groupBy("rank").agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("w"))
 
 
-def bootstrap_concordance(ranked: DataFrame, risks: list[str], replicates: int = 1_000, seed: str = "b", blocks: int | None = None) -> DataFrame:
+#: Ranges of a resampled cohort at most, and replicates that a task holds side by side.
+BOOT_RANGES, BOOT_CHUNK = 16, 100
+
+
+def _drawn(part: pd.DataFrame, replicates: int):
+    """``(first replicate, multiplicities of the rows)`` for chunks of replicates."""
+    n = [0 if b is None else len(b) for b in part["drawn"]]
+    row = np.repeat(np.arange(len(part)), n)
+    b = np.concatenate([x for x in part["drawn"] if x is not None] or [np.zeros(0, int)]).astype(int)
+    m = np.concatenate([x for x in part["times"] if x is not None] or [np.zeros(0)])
+    for at in range(0, replicates, BOOT_CHUNK):
+        out = np.zeros((len(part), min(BOOT_CHUNK, replicates - at)))
+        own = (b >= at) & (b < at + out.shape[1])
+        out[row[own], b[own] - at] = m[own]
+        yield at, out
+
+
+def bootstrap_concordance(ranked: DataFrame, risks: list[str], replicates: int = 1_000, seed: str = "b", per_range: int = 20_000) -> DataFrame:
     """``(b, c_<risk>...)`` per replicate: the concordance of each risk under the same resample of patients.
 
     ``ranked`` has ranks 0..n-1. A pair counts as often as the product of its
-    patients' multiplicities: the pairs are compared once for all replicates.
-    Replicates that drew fewer than ``MIN_EVENTS`` events have no row.
+    patients' multiplicities. Pairs are counted as in ``concordance``, for all
+    replicates side by side: a patient is shuffled to its range of time and to
+    its range of each risk, and no pair is made. Replicates that drew fewer than
+    ``MIN_EVENTS`` events have no row.
     """
     n = ranked.count()
     own = ranked.join(multiplicities(ranked.sparkSession, n, replicates, seed), "rank", "left")
     # two arrays reach Python as numpy arrays, a map as a dict with an object per entry
-    own = own.withColumns({"drawn": F.map_keys("w"), "times": F.map_values("w")})
-    columns = ["id", "time", "event", "drawn", "times", *risks]
-
-    def dense(part: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((replicates, len(part)))
-        for k, (b, m) in enumerate(zip(part["drawn"], part["times"], strict=True)):
-            if b is not None:
-                out[b, k] = m
-        return out
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = part[part["first"] & part["event"]], part[~part["first"]]
-        wa, wb = dense(a), dense(b)
-        ok = comparable(a["time"].to_numpy(), a["event"].to_numpy(bool), b["time"].to_numpy(), b["event"].to_numpy(bool))
-        out = {"b": np.arange(replicates), "n": ((wa @ ok) * wb).sum(axis=1)}
-        for q, r in enumerate(risks):
-            ra, rb = a[r].to_numpy(float)[:, None], b[r].to_numpy(float)[None, :]
-            out[f"g{q}"] = ((wa @ (ok * ((ra > rb) + 0.5 * (ra == rb)))) * wb).sum(axis=1)
+    own = own.withColumns({"event": F.col("event").cast("boolean"), "drawn": F.map_keys("w"), "times": F.map_values("w")})
+    places = {"p": _time_range(ranked, per_range, BOOT_RANGES)} | {f"q{k}": _risk_range(ranked, r, per_range, BOOT_RANGES) for k, r in enumerate(risks)}
+    own = materialize(own.withColumns(places).select("id", "time", "event", "drawn", "times", *risks, *places), "resampled")
+    # ranges of a single time are only summed up; they are dealt out
+    own = own.withColumn("salt", F.when(F.col("p") % 3 == 0, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(8))).cast("int"))
+    sums = "k int, p int, q int, at int, less array<double>, more array<double>, pairs array<double>, m array<double>, e array<double>"
+
+    def rows(k, p, q, at, **of) -> dict:
+        return {"k": k, "p": p, "q": q, "at": at} | {c: of.get(c) for c in ("less", "more", "pairs", "m", "e")}
+
+    def in_time(part: pd.DataFrame) -> pd.DataFrame:
+        p, event = int(part["p"].iloc[0]), part["event"].to_numpy(bool)
+        order = 2 * np.unique(part["time"].to_numpy(), return_inverse=True)[1] + ~event
+        out = []
+        for at, m in _drawn(part, replicates):
+            e = m * event[:, None]
+            for k, r in enumerate(risks):
+                rank = part[r].to_numpy(float)
+                if p % 3 == 0:
+                    out.append(rows(k, None, None, at, less=dominated(order, rank, m, e), more=dominated(order, -rank, m, e), pairs=dominated(order, -order, m, e)))
+                q, group = np.unique(part[f"q{k}"].to_numpy(), return_inverse=True)
+                own_m, own_e = np.zeros((len(q), m.shape[1])), np.zeros((len(q), m.shape[1]))
+                np.add.at(own_m, group, m)
+                np.add.at(own_e, group, e)
+                out += [rows(k, p, int(x), at, m=own_m[g], e=own_e[g]) for g, x in enumerate(q)]
+        return pd.DataFrame(out)
+
+    def in_risk(part: pd.DataFrame) -> pd.DataFrame:
+        k, order = int(part["k"].iloc[0]), part["p"].to_numpy()
+        rank, event, out = part["r"].to_numpy(float), part["event"].to_numpy(bool), []
+        for at, m in _drawn(part, replicates):
+            e = m * event[:, None]
+            out.append(rows(k, None, None, at, less=dominated(order, rank, m, e), more=dominated(order, -rank, m, e)))
         return pd.DataFrame(out)
 
-    schema = "b int, n double, " + ", ".join(f"g{q} double" for q in range(len(risks)))
-    sums = _pairs_of_blocks(own, columns, blocks).groupBy("x", "y").applyInPandas(work, schema)
-    total = sums.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(f"g{q}").alias(f"g{q}") for q in range(len(risks))])
-    enough = own.where("event").select(F.explode("w").alias("b", "m")).groupBy("b").agg(F.sum("m").alias("events")).where(F.col("events") >= MIN_EVENTS)
-    total = total.join(enough.select("b"), "b", "left_semi")
-    return total.where("n > 0").select("b", *[(F.col(f"g{q}") / F.col("n")).alias(f"c_{r}") for q, r in enumerate(risks)])
+    def total(part: pd.DataFrame) -> pd.DataFrame:
+        """A chunk of replicates of one risk: what tasks have counted, and pairs apart in both from the table of ranges."""
+        local = part[part["p"].isna()]  # of ranges
+        add = lambda c: sum((np.asarray(v) for v in local[c] if v is not None), np.zeros(width))
+        table = part[part["p"].notna()]
+        width = len(table["m"].iloc[0])
+        p, q = (np.unique(table[c].to_numpy(), return_inverse=True)[1] for c in "pq")
+        m, e = np.zeros((p.max() + 1, q.max() + 1, width)), np.zeros((p.max() + 1, q.max() + 1, width))
+        np.add.at(m, (p, q), np.array(table["m"].tolist()))
+        np.add.at(e, (p, q), np.array(table["e"].tolist()))
+        later = np.cumsum(m[::-1], axis=0)[::-1]
+        later = np.concatenate([later[1:], np.zeros((1, *later.shape[1:]))])
+        below = np.cumsum(later, axis=1) - later
+        any_risk = later.sum(axis=1, keepdims=True)
+        less, more, pairs = (add(c) + (e * x).sum(axis=(0, 1)) for c, x in (("less", below), ("more", any_risk - below - later), ("pairs", any_risk)))
+        at, k = int(part["at"].iloc[0]), int(part["k"].iloc[0])
+        return pd.DataFrame({"k": k, "b": at + np.arange(width), "good": 0.5 * (less + pairs - more), "n": pairs})
+
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"q{k}").alias("q"), F.col(r).cast("double").alias("r")) for k, r in enumerate(risks)]))
+    by_risk = own.select("event", "drawn", "times", "p", each.alias("x")).select("event", "drawn", "times", "p", "x.*").where("q % 2 = 0")
+    counted = own.groupBy("p", "salt").applyInPandas(in_time, sums).unionByName(by_risk.groupBy("k", "q").applyInPandas(in_risk, sums))
+    found = counted.groupBy("k", "at").applyInPandas(total, "k int, b int, good double, n double").where("n > 0")
+    enough = own.where("event").select(F.explode(F.arrays_zip("drawn", "times")).alias("x")).groupBy(F.col("x.drawn").alias("b")).agg(F.sum("x.times").alias("events")).where(F.col("events") >= MIN_EVENTS)
+    wide = found.groupBy("b").agg(*[F.max(F.when(F.col("k") == k, F.col("good") / F.col("n"))).alias(f"c_{r}") for k, r in enumerate(risks)])
+    return wide.join(enough.select("b"), "b", "left_semi")
 
 
 def interval(rows: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

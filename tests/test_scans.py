@@ -186,3 +186,19 @@ def test_fit_frame_edges(spark):
     x, t, e = cohort(30, 2, 3, True)
     assert not fit_frame(cohort_frame(spark, x, t, np.zeros(30, bool)), 0.1).any()
     assert len(fit_frame(cohort_frame(spark, x[:0], t[:0], e[:0]), 0.1)) == 0
+
+
+@pytest.mark.parametrize("per_range", [10**6, 25])
+def test_bootstrap_counts_all_pairs(spark, per_range):
+    """Two risks, hot times and risks, ties; every replicate against all pairs of its resample."""
+    t, e, k, _ = chance(240, 30, 25, 8, hot=True)
+    other = np.random.default_rng(9).normal(size=240)
+    own = spark.createDataFrame([(i, i, float(a), bool(b), float(c), float(o)) for i, (a, b, c, o) in enumerate(zip(t, e, k, other, strict=True))], "id long, rank long, time double, event boolean, risk double, other double")
+    drawn = {r["rank"]: r["w"] for r in survival.multiplicities(spark, 240, 130).collect()}
+    got = {r["b"]: (r["c_risk"], r["c_other"]) for r in survival.bootstrap_concordance(own, ["risk", "other"], 130, per_range=per_range).collect()}
+    ok = survival.comparable(t, e, t, e)
+    for b in range(130):
+        w = np.array([drawn.get(i, {}).get(b, 0) for i in range(240)], float)
+        pairs = ok * w[:, None] * w
+        want = [float((pairs * ((x[:, None] > x) + 0.5 * (x[:, None] == x))).sum() / pairs.sum()) for x in (k, other)]
+        assert np.allclose(got[b], want)
