@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lathework.session import materialize
+
 
 def global_rank(df: DataFrame, order: str, target: str = "rank", per_range: int = 100_000) -> DataFrame:
     """``df`` with ranks 0..n-1 by a numeric column without nulls and without ties, and no sort in a single task.
@@ -45,6 +47,31 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column |
     return out.drop("_part", "_of", *[f"_key_{k}" for k in keys], *[f"{x}{k}" for k in sums for x in ("_", "_in_", "_off_")])
 
 
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str] | None = None, per_range: int = 100_000) -> DataFrame:
+    """``(keys..., names...)``: exact interpolated quantiles of a numeric column, a row per group with a value.
+
+    Equal values are counted once; running counts over ranges of values say which
+    value stands at a rank. No task holds a group's values. Nulls are left out.
+    Without keys there is one row, of nulls if there are no values.
+    """
+    keys = keys or []
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_m"))
+    cells = materialize(counted, "values")
+    ranked = running(cells, keys, "_value", {"_upto": "_m"}, per_range=per_range)
+    sizes = cells.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.sum("_m").alias("_n"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    met = ranked.join(sizes, same) if keys else ranked.crossJoin(F.broadcast(sizes))  # a row
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_m") <= rank) & (rank < F.col("_upto")), F.col("_value")))
+    found = []
+    for name, q in wanted.items():
+        place = F.lit(float(q)) * (F.col("_n") - 1)
+        found += [at(F.floor(place)).alias(f"_low_{name}"), at(F.ceil(place)).alias(f"_high_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    between = lambda n: (1 - F.col(f"_part_{n}")) * F.col(f"_low_{n}") + F.col(f"_part_{n}") * F.col(f"_high_{n}")
+    return met.groupBy(*keys).agg(*found).select(*keys, *[between(n).alias(n) for n in wanted])
+
+
 def hash_draw(n: Column | int, *parts: Column | str) -> Column:
     """A draw from 0..n-1 by the first 32 bits of the MD5 of the joined parts: the same in any engine."""
     columns = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]

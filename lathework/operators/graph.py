@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lathework.frames import quantiles
+
 TINY = 2.2250738585072014e-308
 
 
@@ -250,5 +252,5 @@ def stability(runs: DataFrame) -> DataFrame:
 
 def capped(edges: DataFrame, q: float = 0.99) -> DataFrame:
     """Weights above their ``q`` percentile set to it."""
-    top = edges.agg(F.percentile("w", F.lit(q)).alias("cap"))
+    top = quantiles(edges, "w", {"cap": q})  # a row
     return edges.crossJoin(F.broadcast(top)).withColumn("w", F.least("w", "cap")).drop("cap")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lathework.frames import quantiles
 from lathework.functions import columns as C
 from lathework.functions.columns import r6
 from lathework.operators import relate as R
@@ -371,8 +372,8 @@ def distinct_and_singletons(spark, d):
 
 @query("percentiles", f"select event_type, {r('quantile_cont(value, 0.025)')} as p025, {r('quantile_cont(value, 0.975)')} as p975, {r('quantile_cont(value, 0.99)')} as p99 from events group by 1")
 def percentiles(spark, d):
-    p = lambda q: r6(F.percentile("value", F.lit(q)))
-    return t(spark, d, "events").groupBy("event_type").agg(p(0.025).alias("p025"), p(0.975).alias("p975"), p(0.99).alias("p99"))
+    names = {"p025": 0.025, "p975": 0.975, "p99": 0.99}
+    return quantiles(t(spark, d, "events"), "value", names, ["event_type"]).withColumns({n: r6(n) for n in names})
 
 
 @query("argmax_first", "select event_type, event_id, value from (select *, row_number() over (partition by event_type order by value desc, event_id) as rn from events) where rn = 1")

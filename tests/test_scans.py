@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.frames import running
+from lathework.frames import quantiles, running
 from lathework.operators import cox, lanczos, survival
 from lathework.operators.cox_frame import fit_frame, slope
 
@@ -202,3 +202,19 @@ def test_bootstrap_counts_all_pairs(spark, per_range):
         pairs = ok * w[:, None] * w
         want = [float((pairs * ((x[:, None] > x) + 0.5 * (x[:, None] == x))).sum() / pairs.sum()) for x in (k, other)]
         assert np.allclose(got[b], want)
+
+
+@pytest.mark.parametrize("per_range", [10**6, 6])
+def test_quantiles_like_numpy(spark, per_range):
+    """By group, with ties, a null group, a hot value, nulls; of everything; of nothing."""
+    r = np.random.default_rng(6)
+    v = np.where(r.random(400) < 0.3, 5.0, np.round(r.normal(size=400), 1))
+    g = r.choice(["a", "b", "c"], 400)
+    own = spark.createDataFrame([*[(None if k == "c" else str(k), float(x)) for k, x in zip(g, v, strict=True)], ("a", None), ("z", None)], "g string, v double")
+    wanted = {"low": 0.025, "half": 0.5, "high": 0.99, "last": 1.0}
+    got = {x["g"]: tuple(x)[1:] for x in quantiles(own, "v", wanted, ["g"], per_range).collect()}
+    assert got.keys() == {"a", "b", None}
+    for k, x in got.items():
+        assert np.allclose(x, np.quantile(v[g == (k or "c")], list(wanted.values())))
+    assert np.allclose(tuple(quantiles(own, "v", wanted, per_range=per_range).first()), np.quantile(v, list(wanted.values())))
+    assert tuple(quantiles(own.limit(0), "v", {"x": 0.5}).first()) == (None,)
