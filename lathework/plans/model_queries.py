@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lathework.frames import global_rank
 from lathework.functions.columns import r6
+from lathework.operators import clusters
 from lathework.operators import cox as C
 from lathework.operators import graph as G
 from lathework.operators import lanczos as Z
@@ -84,6 +85,13 @@ def sparse_embedding(spark, d):
     return Z.embedding(_sparse(spark, d), 8)
 
 
+@query("sparse_clustering")
+def sparse_clustering(spark, d):
+    """Three groups of the neighbour graph: its embedding, clustered by sums; nothing per sample reaches the driver."""
+    vec = materialize(Z.embedding(_sparse(spark, d), 3), "embedding")
+    return clusters.k_means(vec, 3)[0]
+
+
 @query("k_selection")
 def k_selection(spark, d):
     """A record for each k; the first k with the largest silhouette is primary."""
