@@ -92,8 +92,8 @@ def matrix_round_trip(spark, d):
 
 
 def _slice(a: int, b: int) -> str:
-    """The kernel of one modality: dimensions a to b, ten neighbours."""
-    return _kernel(_dist(f"(select vec_id as id, cast(embedding as double[])[{a}:{b}] as vec from embeddings)")).replace("rank <= 20", "rank <= 10")
+    """SQL for the kernel of one modality: dimensions a to b."""
+    return _kernel(_dist(f"(select vec_id as id, cast(embedding as double[])[{a}:{b}] as vec from embeddings)"))
 
 
 def transition(w: str) -> str:
@@ -101,13 +101,17 @@ def transition(w: str) -> str:
 
 
 def spread(w: str) -> str:
-    return f"(select i, j, w / sum(w) over (partition by i) as s from (select *, row_number() over (partition by i order by floor(w * 1e9 + 0.5) desc, j) as rn from {w}) where rn <= 10)"
+    return f"(select i, j, w / sum(w) over (partition by i) as s from (select *, row_number() over (partition by i order by floor(w * 1e9 + 0.5) desc, j) as rn from {w}) where rn <= 20)"
 
 
-def modalities(spark, d):
+def slices(spark, d):
+    """Vectors of three modalities."""
     own = vectors(spark, d)
-    parts = [own.select("id", F.slice("vec", a, n).alias("vec")) for a, n in ((1, 21), (22, 21), (43, 22))]
-    return [G.affinity(G.pair_distances(p), 10) for p in parts]
+    return [own.select("id", F.slice("vec", a, n).alias("vec")) for a, n in ((1, 21), (22, 21), (43, 22))]
+
+
+def modalities(spark, d):
+    return [G.affinity(G.pair_distances(p)) for p in slices(spark, d)]
 
 
 KERNELS = [_slice(1, 21), _slice(22, 42), _slice(43, 64)]
@@ -121,7 +125,7 @@ def fusion_step(spark, d):
     w1, w2, w3 = modalities(spark, d)
     p2, p3 = G.transition(w2), G.transition(w3).withColumnRenamed("p", "q")
     others = p2.join(p3, ["i", "j"]).select("i", "j", ((F.col("p") + F.col("q")) / 2).alias("p"))
-    return rounded(G.fuse_step(others, G.local_transition(w1, 10)), "p")
+    return rounded(G.fuse_step(others, G.local_transition(w1)), "p")
 
 
 _L = "(select vec_id as id, label as a, vec_id % 3 as b from embeddings)"

@@ -16,9 +16,10 @@ from lathework.operators import matrix as M
 from lathework.operators import relate as R
 from lathework.operators import spectral as L
 from lathework.operators import survival as S
+from lathework.operators import tiles
 from lathework.operators.cox_frame import fit_frame
 from lathework.plans.base import COUNTS, Registry, counts, patients, r, rounded, vectors
-from lathework.plans.graph_queries import KERNELS, modalities, spread, transition
+from lathework.plans.graph_queries import KERNELS, slices, spread, transition
 from lathework.plans.matrix_queries import zscore_sql
 from lathework.plans.survival_queries import folds
 from lathework.session import materialize, table
@@ -117,8 +118,8 @@ def _fusion(steps: int) -> str:
 
 @query("network_fusion", _fusion(20))
 def network_fusion(spark, d):
-    found = [L.gather(m) for m in modalities(spark, d)]
-    return rounded(L.to_edges(spark, found[0][0], L.fuse([w for _, w in found], 10, 20)), "w")
+    """Three modalities, 20 neighbours, 20 steps; no matrix is whole in a task or on the driver."""
+    return rounded(tiles.fuse(slices(spark, d), 20, 20), "w")
 
 
 @query("early_integration")
