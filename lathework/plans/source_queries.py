@@ -11,7 +11,7 @@ from lathework.functions.columns import r6
 from lathework.operators import spectral as L
 from lathework.plans.base import COUNTS, Registry, counts, r
 from lathework.session import shared_dir, table
-from lathework.sources import files
+from lathework.sources import files, rest
 from lathework.sources.store import Store
 
 query = Registry()
@@ -110,6 +110,27 @@ def versioned_patch(spark, d):
     return done.read(spark).select("sample_id", "feature_id", r6("value").alias("value"))
 
 
+@query("paged_scan", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as varchar)[1:10] as o_orderdate from orders")
+def paged_scan(spark, d):
+    """Orders as the pages of a service, landed, and scanned by the total that the service reports; a page of other length than promised fails."""
+    own = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate"))
+    path = _place(spark, "pages")
+    rest.land(own, "o_orderkey", path, 2_000)
+    rest.register(spark)
+    return spark.read.format("paged_json").schema(own.schema).options(url=f"{path}/offset={{offset}}", page_size="2000", pages_per_task="4").load()
+
+
+@query("paged_truncation", "select least(count(*), 5000)::bigint as retrieved, count(*) as reported, count(*) > 5000 as truncated from orders")
+def paged_truncation(spark, d):
+    """A scan of the first five pages of 1,000 against the reported total."""
+    own = table(spark, d, "orders").select("o_orderkey")
+    path = _place(spark, "pages")
+    total = rest.land(own, "o_orderkey", path, 1_000)
+    rest.register(spark)
+    some = spark.read.format("paged_json").schema(own.schema).options(url=f"{path}/offset={{offset}}", page_size="1000", total="5000", short="keep", retries="0").load()
+    return rest.truncation(some, total)
+
+
 @query("pca_scatter")
 def pca_scatter(spark, d):
     """First two components with the most frequent groups named and the others together."""
