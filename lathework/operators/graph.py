@@ -68,16 +68,6 @@ def pair_distances(vectors: DataFrame, metric: str = "sqeuclidean", blocks: int
     return _block_pairs(vectors, blocks, work)
 
 
-def products(vectors: DataFrame, blocks: int | None = None) -> DataFrame:
-    """``(i, j, w)``: the inner products of all ordered pairs of samples, each with itself included."""
-
-    def work(ids, a, others, b):
-        w = a @ b.T
-        return np.broadcast_to(ids[:, None], w.shape).ravel(), np.broadcast_to(others[None, :], w.shape).ravel(), w.ravel()
-
-    return _block_pairs(vectors, blocks or _blocks(vectors, 4), work).withColumnRenamed("d", "w")
-
-
 def nearest(distances: DataFrame, k: int = 20, digits: int = 9) -> DataFrame:
     """The ``k`` smallest distances of each sample with their rank; ties (to ``digits`` places) by id."""
     w = Window.partitionBy("i").orderBy(F.floor(F.col("d") * 10.0**digits + 0.5), "j")

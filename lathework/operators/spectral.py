@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathework.operators.components import krylov
+
 MAX_SAMPLES = 4_000
 
 
@@ -168,35 +170,18 @@ def covariance(vectors: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, i
     return mean, values[:dims] / max(n, 1) - np.outer(mean, mean), n
 
 
-#: Features beyond which components come from the samples' products instead of the features' covariance.
+#: Features beyond which components come from a block Krylov iteration instead of the features' covariance.
 WIDE = 1_024
 
 
-def wide_components(vectors: DataFrame, components: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """Principal components for more features than samples: from the centred products of all pairs of samples.
-
-    Vectors are only multiplied, block by block; n x n products are gathered, behind the check of n.
-    """
-    from lathework.operators.graph import products
-
-    ids, gram = gather(products(vectors))
-    gram -= gram.mean(axis=0, keepdims=True)
-    gram -= gram.mean(axis=1, keepdims=True)
-    values, axes = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:components]
-    values = np.maximum(values, 0)
-    scores = fix_signs(axes[:, order] * np.sqrt(values[order]))
-    kind = vectors.schema["id"].dataType.simpleString()
-    return vectors.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "pc": scores.tolist()}), f"id {kind}, pc array<double>"), values[order] / max(values.sum(), 1e-300)
-
-
 def principal_components(vectors: DataFrame, dims: int, components: int = 10) -> tuple[DataFrame, np.ndarray]:
     """``(id, pc array)`` of the centred vectors and the explained variance ratios; signs fixed.
 
     In up to ``WIDE`` features each axis' largest coordinate is made positive, beyond each component's largest score.
     """
     if dims > WIDE:
-        return wide_components(vectors, components)
+        found = krylov(vectors, dims, components)
+        return found.scores, found.ratio
     mean, cov, n = covariance(vectors, dims)
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:components]

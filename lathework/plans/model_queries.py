@@ -17,6 +17,7 @@ from lathework.operators import relate as R
 from lathework.operators import spectral as L
 from lathework.operators import survival as S
 from lathework.operators import tiles
+from lathework.operators.components import krylov
 from lathework.operators.cox_frame import fit_frame
 from lathework.plans.base import COUNTS, Registry, counts, patients, r, rounded, vectors
 from lathework.plans.graph_queries import KERNELS, slices, spread, transition
@@ -126,9 +127,8 @@ def network_fusion(spark, d):
 def early_integration(spark, d):
     """Features side by side, principal components, kernel, two groups."""
     own, _ = L.principal_components(vectors(spark, d), 64, 50)
-    found = own.toArrow().to_pandas().sort_values("id")
-    w = L.kernel_matrix(np.array(found["pc"].tolist()))
-    return spark.createDataFrame(pd.DataFrame({"id": found["id"], "label": L.spectral_labels(w, 2)}))
+    ids, w = L.gather(G.affinity(G.pair_distances(own.withColumnRenamed("pc", "vec"))))
+    return spark.createDataFrame(pd.DataFrame({"id": ids, "label": L.spectral_labels(w, 2)}))
 
 
 @query("pca_scores")
@@ -142,6 +142,16 @@ def explained_variance(spark, d):
     return spark.createDataFrame(pd.DataFrame({"component": np.arange(1, len(ratio) + 1), "ratio": ratio, "cumulative": np.cumsum(ratio)}))
 
 
+@query("wide_components")
+def wide_components(spark, d):
+    """Twenty components of suppliers over all parts: by a Krylov iteration where parts are many."""
+    long = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("feature_id")).agg(F.log2(F.sum("l_quantity") + 1).alias("value"))
+    dims = long.agg(F.max("feature_id")).first()[0] + 1
+    own = materialize(M.scatter(long, dims).withColumnRenamed("sample_id", "id"), "wide")
+    found = krylov(own, dims, 20)
+    return found.scores.select("id", F.transform("pc", r6).alias("pc"))
+
+
 @query("batch_check")
 def batch_check(spark, d):
     """Principal components, the variance between batches, and the status at its thresholds."""
