@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Directions of a block beyond the wanted components, numbers that the basis may have (256 MB), residual that counts as settled, features of a block of sums, share of a block's length below which a direction is nothing new.
-SPARE, MAX_BASIS, SETTLED, CHUNK, NOTHING = 10, 2**25, 1e-9, 256, 1e-10
+#: Directions of a block beyond the wanted components, numbers that the basis may have (256 MB), residual that counts as settled, features of a block of sums, numbers of a block of rows, share of a block's length below which a direction is nothing new.
+SPARE, MAX_BASIS, SETTLED, CHUNK, BLOCK, NOTHING = 10, 2**25, 1e-8, 256, 2**22, 1e-10
 
 
 class Components(NamedTuple):
@@ -31,11 +31,21 @@ class Components(NamedTuple):
     residuals: np.ndarray
 
 
-def _rows(column: pa.Array, dims: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
-    if len(x) != dims * len(column):
-        raise ValueError(f"a vector has other than {dims} values")
-    return x.reshape(-1, dims)
+def _blocks(b: pa.RecordBatch, dims: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and dense rows of a batch of ``id, vec`` or ``id, at, v``, few enough rows at a time for ``BLOCK`` numbers."""
+    step = max(1, BLOCK // dims)
+    for k in range(0, b.num_rows, step):
+        part = b.slice(k, step)
+        if part.num_columns == 2:
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False)
+            if len(x) != dims * part.num_rows:
+                raise ValueError(f"a vector has other than {dims} values")
+            yield part.column(0), x.reshape(-1, dims)
+        else:
+            x = np.zeros((part.num_rows, dims))
+            row = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            x[row, part.column(1).flatten().to_numpy(zero_copy_only=False)] = part.column(2).flatten().to_numpy(zero_copy_only=False)
+            yield part.column(0), x
 
 
 def _summed(vectors: DataFrame, dims: int, wide: int, work) -> np.ndarray:
@@ -44,8 +54,8 @@ def _summed(vectors: DataFrame, dims: int, wide: int, work) -> np.ndarray:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, wide))
         for b in batches:
-            if b.num_rows:
-                total += work(_rows(b.column(0), dims))
+            for _, x in _blocks(b, dims):
+                total += work(x)
         starts = list(range(0, dims, CHUNK))
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([total[a : a + CHUNK].tobytes() for a in starts], pa.binary())], names=["a", "s"])
 
@@ -58,7 +68,7 @@ def _summed(vectors: DataFrame, dims: int, wide: int, work) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["a", "s"])
 
     kind = "a int, s binary"
-    found = vectors.select("vec").mapInArrow(part, kind).repartition("a").mapInArrow(add, kind).collect()  # dims x wide numbers
+    found = vectors.mapInArrow(part, kind).repartition("a").mapInArrow(add, kind).collect()  # dims x wide numbers
     out = np.zeros((dims, wide))
     for a, s in found:
         x = np.frombuffer(s).reshape(-1, wide)
@@ -67,13 +77,18 @@ def _summed(vectors: DataFrame, dims: int, wide: int, work) -> np.ndarray:
 
 
 def krylov(vectors: DataFrame, dims: int, components: int = 10, seed: int = 0, settled: float = SETTLED) -> Components:
-    """The leading principal components of ``(id, vec)``, all vectors ``dims`` long and without nulls.
+    """The leading principal components of ``(id, vec)``, all vectors ``dims`` long, or of the cells ``(id, at, v)`` that are not zero; no nulls.
 
-    Fewer come back where samples or features are fewer. Of each component the
+    The frame is read once a pass, so give a stored one. Spark reads 4,096 rows
+    of a Parquet file at a time: dense vectors of many features are better given as cells, or
+    that number lowered. Fewer components come back where samples or features are fewer. Of each component the
     largest score (by size to six places) is positive. Raises if the basis would
     pass ``MAX_BASIS`` numbers before all components have settled.
     """
-    vectors = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    if "at" in vectors.columns:
+        vectors = vectors.select("id", F.col("at").cast("array<int>").alias("at"), F.col("v").cast("array<double>").alias("v"))
+    else:
+        vectors = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
     n = vectors.count()
     width = min(components + SPARE, dims, max(n, 1))
     if dims * width > MAX_BASIS:
@@ -110,9 +125,10 @@ def krylov(vectors: DataFrame, dims: int, components: int = 10, seed: int = 0, s
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = (_rows(b.column(1), dims) - mean) @ axes
-            at = pa.array(np.arange(len(x) + 1) * most, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["id", "pc"])
+            for ids, x in _blocks(b, dims):
+                y = (x - mean) @ axes
+                ends = pa.array(np.arange(len(y) + 1) * most, pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=["id", "pc"])
 
     raw = vectors.mapInArrow(project, f"id {kind}, pc array<double>")
     if n and most:

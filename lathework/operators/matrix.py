@@ -105,14 +105,11 @@ def to_vectors(long: DataFrame, features: str = FEATURE) -> DataFrame:
     return long.groupBy(SAMPLE).agg(F.transform(F.array_sort(F.collect_list(F.struct(features, "value"))), lambda s: s["value"]).alias("vec"))
 
 
-def scatter(long: DataFrame, dims: int, position: str = FEATURE) -> DataFrame:
-    """``(sample_id, vec)``: sparse values as dense vectors of ``dims``, by positions 0..dims-1 that a sample has once each; a null is a zero."""
-    cells = F.array_sort(F.collect_list(F.struct(F.col(position).cast("int").alias("at"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("v"))))
-    own = long.groupBy(SAMPLE).agg(cells.alias("cells"))
-    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(F.col("cells.at"), k - 1))
-    runs = F.flatten(F.transform("cells", lambda c, k: F.concat(F.array_repeat(F.lit(0.0), c["at"] - before(k) - 1), F.array(c["v"]))))
-    tail = F.array_repeat(F.lit(0.0), F.lit(dims - 1) - F.element_at("cells.at", -1))
-    return own.select(SAMPLE, F.concat(runs, tail).alias("vec"))
+def to_cells(long: DataFrame, position: str = FEATURE) -> DataFrame:
+    """``(sample_id, at, v)``: positions of a sample's values other than zero and null, ascending, and the values. A sample's cells must fit a task."""
+    cell = F.struct(F.col(position).cast("int").alias("at"), F.col("value").cast("double").alias("v"))
+    own = long.groupBy(SAMPLE).agg(F.array_sort(F.collect_list(F.when(F.col("value") != 0, cell))).alias("cells"))
+    return own.select(SAMPLE, F.col("cells.at").alias("at"), F.col("cells.v").alias("v"))
 
 
 def to_long(vectors: DataFrame, vec: str = "vec") -> DataFrame:

@@ -147,7 +147,7 @@ def wide_components(spark, d):
     """Twenty components of suppliers over all parts: by a Krylov iteration where parts are many."""
     long = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("feature_id")).agg(F.log2(F.sum("l_quantity") + 1).alias("value"))
     dims = long.agg(F.max("feature_id")).first()[0] + 1
-    own = materialize(M.scatter(long, dims).withColumnRenamed("sample_id", "id"), "wide")
+    own = materialize(M.to_cells(long).withColumnRenamed("sample_id", "id"), "wide")
     found = krylov(own, dims, 20)
     return found.scores.select("id", F.transform("pc", r6).alias("pc"))
 

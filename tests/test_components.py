@@ -1,4 +1,4 @@
-"""Krylov principal components against dense decompositions, and dense vectors from sparse cells."""
+"""Krylov principal components against dense decompositions, on dense vectors and on cells."""
 
 import numpy as np
 import pandas as pd
@@ -46,8 +46,21 @@ def test_components_of_few_samples(spark):
         components.krylov(frame(spark, x), components.MAX_BASIS, 2)
 
 
-def test_scatter(spark):
-    cells = [(1, 0, 2.0), (1, 3, 5.0), (2, 4, 1.0), (3, 2, None), (4, 0, 1.0), (4, 1, 2.0), (4, 2, 3.0), (4, 3, 4.0), (4, 4, 5.0)]
-    long = spark.createDataFrame(cells, "sample_id long, feature_id long, value double")
-    got = {s: list(v) for s, v in matrix.scatter(long, 5).collect()}
-    assert got == {1: [2.0, 0, 0, 5.0, 0], 2: [0, 0, 0, 0, 1.0], 3: [0.0] * 5, 4: [1.0, 2.0, 3.0, 4.0, 5.0]}
+def test_components_of_cells(spark):
+    r = np.random.default_rng(3)
+    x = np.where(r.random((90, 300)) < 0.1, r.normal(size=(90, 300)) + 2, 0)
+    x[7] = 0
+    i, j = (v.tolist() for v in np.indices(x.shape).reshape(2, -1))
+    long = spark.createDataFrame(list(zip(i, j, [v if v else None for v in x.ravel().tolist()], strict=True)), "sample_id long, feature_id long, value double")
+    cells = materialize(matrix.to_cells(long).withColumnRenamed("sample_id", "id"), "cells")
+    assert cells.where("id = 7").first()["at"] == []
+    found, dense = components.krylov(cells, 300, 8), components.krylov(frame(spark, x), 300, 8)
+    assert np.allclose(found.ratio, dense.ratio) and cells.count() == 90
+    a, b = (np.array(f.scores.orderBy("id").toPandas()["pc"].tolist()) for f in (found, dense))
+    assert np.allclose(a, b, atol=1e-5)
+
+
+def test_cells(spark):
+    rows = [(1, 3, 5.0), (1, 0, 2.0), (2, 4, 0.0), (3, 2, None)]
+    long = spark.createDataFrame(rows, "sample_id long, feature_id long, value double")
+    assert {tuple(map(str, r)) for r in matrix.to_cells(long).collect()} == {("1", "[0, 3]", "[2.0, 5.0]"), ("2", "[]", "[]"), ("3", "[]", "[]")}
