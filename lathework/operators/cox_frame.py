@@ -12,7 +12,6 @@ coordinates.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathework.frames import running
-from lathework.operators.cox import L1_RATIO
+from lathework.operators.cox import L1_RATIO, Slope, penalised_step
 from lathework.session import materialize
 
 
-class Slope(NamedTuple):
-    """Negative log partial likelihood over n at some coefficients, its gradient and Hessian."""
-
-    value: float
-    gradient: np.ndarray
-    hessian: np.ndarray
-
-
 def _predicted(rows: DataFrame, b: np.ndarray) -> DataFrame:
     return rows.withColumn("eta", F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(v)) for v in b]), lambda x, v: x * v), F.lit(0.0), lambda s, x: s + x))
 
@@ -77,21 +68,6 @@ def slope(rows: DataFrame, b: np.ndarray, n: int, per_range: int = 100_000, valu
     return Slope(-(found["v"] or 0.0) / n, gradient / n, (hessian + hessian.T) / (2 * n))
 
 
-def penalised_step(b: np.ndarray, at: Slope, l1: float, l2: float, rounds: int = 2_000, tolerance: float = 1e-12) -> np.ndarray:
-    """The coefficients with the least quadratic model plus penalties, by coordinate descent in d numbers."""
-    h, new = at.hessian + np.diag(np.full(len(b), 1e-12)), b.copy()
-    for _ in range(rounds):
-        most = 0.0
-        for k in range(len(b)):
-            rest = at.gradient[k] + h[k] @ (new - b) - h[k, k] * (new[k] - b[k])
-            z = h[k, k] * b[k] - rest
-            v = np.sign(z) * max(abs(z) - l1, 0.0) / (h[k, k] + l2)
-            most, new[k] = max(most, abs(v - new[k])), v
-        if most < tolerance:
-            return new
-    return new
-
-
 def fit_frame(rows: DataFrame, alpha: float, l1_ratio: float = L1_RATIO, max_steps: int = 50, tolerance: float = 1e-8, per_range: int = 100_000) -> np.ndarray:
     """The coefficients of ``rows (time, event, vec)``; proximal Newton with halved steps where the goal would not fall.
 
