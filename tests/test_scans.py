@@ -243,3 +243,13 @@ def test_cox_fit_settles_on_correlated_columns():
     assert (np.abs(g) <= 0.01 * 0.01 + 1e-6).all()
     on = b != 0
     assert np.allclose(g[on], -0.01 * 0.01 * np.sign(b[on]), atol=1e-6)
+
+
+def test_draws_are_packed(spark, monkeypatch):
+    """The same draws as by rows, over several ranges of ranks and sorted pieces; what is shuffled is a row per range and replicate, not per draw."""
+    monkeypatch.setattr(survival, "RANKS", 16)
+    monkeypatch.setattr(survival, "SORTED", 500)
+    want = {r["rank"]: r["w"] for r in survival.multiplicities(spark, 50, 40).collect()}
+    got = {r["rank"]: list(r["w"]) for r in survival.counted_draws(spark, 50, 40).collect()}
+    assert got == {k: [want.get(k, {}).get(b, 0) for b in range(40)] for k in range(50)}
+    assert survival.counted_draws(spark, 1, 3).first()["w"] == b"\x01\x01\x01"
