@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lathework.frames import quantiles, running
-from lathework.operators import cox, lanczos, survival
+from lathework.operators import cox, graph, lanczos, spectral, survival
 from lathework.operators.cox_frame import fit_frame, slope
 
 
@@ -253,3 +253,29 @@ def test_draws_are_packed(spark, monkeypatch):
     got = {r["rank"]: list(r["w"]) for r in survival.counted_draws(spark, 50, 40).collect()}
     assert got == {k: [want.get(k, {}).get(b, 0) for b in range(40)] for k in range(50)}
     assert survival.counted_draws(spark, 1, 3).first()["w"] == b"\x01\x01\x01"
+
+
+def test_basis_stays_bounded(spark):
+    """More blocks than a basis holds: it is cut back, values and vectors stay those of the dense solver."""
+    edges = ring(1, 600, 9)
+    ids, _, n = dense(edges)
+    found = lanczos.lowest_pairs(spark.createDataFrame(edges, "i long, j long, w double"), 4)
+    want, axes = np.linalg.eigh(np.eye(600) - n)
+    assert np.abs(found.values - want[:4]).max() < 1e-6 and found.residuals.max() <= lanczos.SETTLED
+    x = {r["id"]: r["vec"] for r in found.vectors.collect()}
+    x = np.array([x[i] for i in ids])
+    assert np.abs(x.T @ x - np.eye(4)).max() < 1e-9
+    assert np.linalg.norm(x - n @ x - x * found.values, axis=0).max() < 2 * lanczos.SETTLED
+
+
+def test_kernel_pairs_like_dense(spark):
+    """Eigenpairs of the kernel of all pairs without its matrix."""
+    r = np.random.default_rng(8)
+    v = np.vstack([r.normal(c, 1, (50, 4)) for c in (0, 2, 5)])
+    own = spark.createDataFrame([(7 * i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    w = spectral.kernel_matrix(v, 20)
+    found, _ = lanczos.kernel_pairs(graph.Kernel(own, 20), 6, lanczos.KERNEL_SETTLED)
+    assert np.abs(found.values - spectral.spectrum(w)[:6]).max() < 1e-9
+    for first, want in ((True, spectral.first_vectors(w, 4)), (False, spectral.embed(w, 4))):
+        got = {x["id"]: x["vec"] for x in lanczos.kernel_vectors(graph.Kernel(own, 20), 4, first).collect()}
+        assert np.abs(np.array([got[7 * i] for i in range(150)]) - want).max() < 1e-5
