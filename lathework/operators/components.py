@@ -6,6 +6,11 @@ over the samples sums d x b numbers in blocks of features; rows are never paired
 with rows, nor features with features. The driver holds the basis and its image, d x m
 each, behind a check of their size. A component has settled once the residual of
 its eigenpair is small against the largest eigenvalue; what does not settle raises.
+
+Where that basis could pass its limit, ``of_cells`` iterates on the samples' side instead:
+block Lanczos on ``A A'``, which is a sum over blocks of features of ``A_f (A_f' Z)``. A
+block's cells meet all of ``Z`` in one task, so nothing per feature is shuffled or
+reaches the driver; the basis is a table with a row per sample.
 """
 
 from __future__ import annotations
@@ -17,10 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from lathework.frames import global_rank
+from lathework.operators import lanczos
+from lathework.session import materialize
 
 #: Directions of a block beyond the wanted components, numbers that the basis may have (256 MB), residual that counts as settled, features of a block of sums, numbers of a block of rows, share of a block's length below which a direction is nothing new.
 SPARE, MAX_BASIS, SETTLED, CHUNK, BLOCK, NOTHING = 10, 2**25, 1e-8, 256, 2**22, 1e-10
 
+#: For the samples' side: cells of a block of features, blocks of features at least, cells multiplied at a time, blocks that the basis holds, residual against the largest eigenvalue.
+CELLS, FEWEST, SLICE, WIDEST, SIDE_SETTLED = 2**23, 16, 2**18, 16, 1e-7
+
 
 class Components(NamedTuple):
     """``(id, pc)`` with the samples' scores, shares of the whole variance, unit axes as columns, residuals against the largest eigenvalue."""
@@ -137,3 +150,84 @@ def krylov(vectors: DataFrame, dims: int, components: int = 10, seed: int = 0, s
         axes = axes * signs
         raw = vectors.mapInArrow(project, f"id {kind}, pc array<double>")
     return Components(raw, theta / max(whole, 1e-300), axes, residuals)
+
+
+def fits(n: int, dims: int, components: int = 10) -> bool:
+    """Whether ``krylov`` could hold a basis of the whole space, so that it can't pass its limit."""
+    return dims * (min(n, dims) + components + SPARE) <= MAX_BASIS
+
+
+class Scores(NamedTuple):
+    """``(id, pc)`` with the samples' scores, shares of the whole variance, residuals against the largest eigenvalue."""
+
+    scores: DataFrame
+    ratio: np.ndarray
+    residuals: np.ndarray
+
+
+def _add(out: np.ndarray, to: np.ndarray, weight: np.ndarray, x: np.ndarray, of: np.ndarray) -> None:
+    """``out[to] += weight * x[of]`` for all cells, ascending in ``to``."""
+    for s in range(0, len(to), SLICE):
+        own = to[s : s + SLICE]
+        starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+        out[own[starts]] += np.add.reduceat(weight[s : s + SLICE, None] * x[of[s : s + SLICE]], starts, axis=0)
+
+
+def _pack(part: pa.Table) -> pa.Table:
+    """A block's cells in one row, ascending by feature; its features are numbered anew."""
+    at, sample, v = (part.column(c).to_numpy() for c in ("at", "sample", "v"))
+    order = np.lexsort((sample, at))
+    at = np.unique(at, return_inverse=True)[1]
+    return pa.table({"f": part.column("f").slice(0, 1), "at": [at[order].astype(np.int32).tobytes()], "sample": [sample[order].astype(np.int32).tobytes()], "v": [v[order].astype(float).tobytes()]})
+
+
+def of_cells(cells: DataFrame, components: int = 10, settled: float = SIDE_SETTLED, blocks: int | None = None) -> Scores:
+    """The leading principal components of ``(id, at, v)``, the samples' cells that are not zero, for any number of features.
+
+    A task holds a block of features' cells (about ``CELLS``) and a number per sample and direction. Components without variance
+    are left out; signs as in ``krylov``.
+    """
+    order = F.col("id") if isinstance(cells.schema["id"].dataType, NumericType) else F.xxhash64("id")
+    places = materialize(global_rank(cells.select("id").withColumn("_order", order), "_order", "sample").select("id", "sample"), "places")
+    n = places.count()
+    flat = cells.select("id", F.explode(F.arrays_zip("at", "v")).alias("c")).join(places, "id").select("sample", F.col("c.at").alias("at"), F.col("c.v").cast("double").alias("v"))
+    if n < 2 or flat.isEmpty():
+        return Scores(cells.select("id", F.array().cast("array<double>").alias("pc")), np.zeros(0), np.zeros(0))
+    flat = materialize(flat, "cells")
+    total = flat.count()
+    blocks = blocks or max(FEWEST, -(-total // CELLS))
+    dealt = flat.withColumn("f", F.pmod(F.xxhash64("at"), F.lit(blocks)).cast("int"))
+    packed = materialize(dealt.groupBy("f").applyInArrow(_pack, "f int, at binary, sample binary, v binary"), "packed")
+    square = flat.groupBy("at").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).agg(F.sum(F.col("q") - F.col("s") * F.col("s") / n)).first()[0]
+
+    def times(block: DataFrame, b: int) -> DataFrame:
+        def work(held: pa.Table, z: pa.Table) -> pa.Table:
+            if not held.num_rows or not z.num_rows:
+                return pa.table({"id": pa.array([], pa.int64()), "y": pa.array([], pa.list_(pa.float64()))})
+            at, sample = (np.frombuffer(held.column(c)[0].as_buffer(), np.int32) for c in ("at", "sample"))
+            v = np.frombuffer(held.column("v")[0].as_buffer())
+            own = np.zeros((n, b))
+            own[z.column("id").to_numpy()] = z.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, b)
+            mean = np.bincount(at, v)[:, None] / n
+            w = np.zeros((len(mean), b))
+            _add(w, at, v, own, sample)
+            w -= mean * own.sum(axis=0)
+            by_sample = np.argsort(sample, kind="stable")
+            y = np.zeros((n, b))
+            _add(y, sample[by_sample], v[by_sample], w, at[by_sample])
+            y -= (mean * w).sum(axis=0)
+            return pa.table({"id": pa.array(np.arange(n)), "y": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * b, pa.int32()), pa.array(y.ravel()))})
+
+        copies = block.select("id", "z", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("f"))
+        parts = packed.groupBy("f").cogroup(copies.groupBy("f")).applyInArrow(work, "id long, y array<double>")
+        return parts.groupBy("id").agg(F.array(*[F.sum(F.col("y")[k]) for k in range(b)]).alias("y"))
+
+    first = places.select(F.col("sample").alias("id"), (F.xxhash64("sample", F.lit(0)).cast("double") / 2.0**63).alias("root"))
+    theta, residuals, table, s = lanczos.leading(times, first, min(components, n - 1), settled, widest=WIDEST)
+    kept = theta > settled * theta.max()
+    if not kept.any():
+        return Scores(cells.select("id", F.array().cast("array<double>").alias("pc")), np.zeros(0), np.zeros(0))
+    theta, s = theta[kept], s[:, kept]
+    unit = lanczos.combine(table, s * np.sqrt(theta))
+    scores = unit.join(places, unit["id"] == places["sample"]).select(places["id"], F.col("vec").alias("pc"))
+    return Scores(scores, theta / square, residuals[kept] / theta.max())

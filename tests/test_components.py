@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from lathework.operators import components, matrix
+from lathework.plans import catalog
 from lathework.session import materialize
 
 
@@ -64,3 +65,36 @@ def test_cells(spark):
     rows = [(1, 3, 5.0), (1, 0, 2.0), (2, 4, 0.0), (3, 2, None)]
     long = spark.createDataFrame(rows, "sample_id long, feature_id long, value double")
     assert {tuple(map(str, r)) for r in matrix.to_cells(long).collect()} == {("1", "[0, 3]", "[2.0, 5.0]"), ("2", "[]", "[]"), ("3", "[]", "[]")}
+
+
+def test_components_of_samples_equal_svd(spark, monkeypatch):
+    """Features beyond the basis' limit: the samples' side gives the same components, in several blocks and slices."""
+    monkeypatch.setattr(components, "SLICE", 100)
+    r = np.random.default_rng(4)
+    x = np.where(r.random((70, 900)) < 0.2, r.normal(size=(70, 900)) + 3, 0) * np.linspace(1, 3, 70)[:, None]
+    x[7] = 0
+    i, j = np.indices(x.shape).reshape(2, -1)
+    long = spark.createDataFrame(pd.DataFrame({"sample_id": i * 3, "feature_id": j * 5, "value": x.ravel()}))
+    cells = materialize(matrix.to_cells(long).withColumnRenamed("sample_id", "id"), "cells")
+    found = components.of_cells(cells, 6, blocks=5)
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert found.residuals.max() <= components.SIDE_SETTLED
+    assert np.allclose(found.ratio, s[:6] ** 2 / (s**2).sum(), rtol=1e-9)
+    rows = found.scores.orderBy("id").collect()
+    got = np.array([r["pc"] for r in rows])
+    assert [r["id"] for r in rows] == list(range(0, 210, 3))
+    assert np.allclose(np.abs(got), np.abs(u[:, :6] * s[:6]), atol=1e-4)
+    assert (got[np.abs(np.round(got, 6)).argmax(axis=0), np.arange(6)] > 0).all()
+    assert components.of_cells(cells.limit(0), 3).scores.count() == 0
+    assert [r["pc"] for r in components.of_cells(cells.where("id < 6"), 5).scores.collect()] and len(components.of_cells(cells.where("id < 6"), 5).ratio) == 1
+
+
+def test_wide_query_beyond_the_basis(spark, sf, monkeypatch):
+    """More parts than a basis takes are no error, and the components are the same."""
+    want = {r["id"]: r["pc"] for r in catalog.QUERIES["wide_components"](spark, sf).collect()}
+    monkeypatch.setattr(components, "MAX_BASIS", 1)
+    got = {r["id"]: r["pc"] for r in catalog.QUERIES["wide_components"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    a, b = (np.array([x[k] for k in sorted(x)]) for x in (got, want))
+    k = min(a.shape[1], 3)
+    assert np.allclose((a**2).sum(axis=0), (b**2).sum(axis=0)[: a.shape[1]], rtol=1e-6) and np.allclose(a[:, :k], b[:, :k], atol=1e-3)
