@@ -22,8 +22,9 @@ def _place(spark: SparkSession, name: str) -> str:
 
 
 def _per_sample(df: DataFrame, path: str, header: bool) -> None:
-    """A folder of TSV files per sample."""
-    df.repartition("file_id").write.partitionBy("file_id").csv(path, sep="\t", header=header, nullValue="", emptyValue="")
+    """A folder of TSV files per sample, written by as many tasks as a shuffle has: small tables would be put together into one task, and their time is in the files."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    df.repartition(tasks, "file_id").write.partitionBy("file_id").csv(path, sep="\t", header=header, nullValue="", emptyValue="")
 
 
 @query("scan_counts", "select 'file_id=' || l_suppkey as file_id, 'g' || (l_partkey % 50) as feature_id, count(*)::double as value from lineitem where l_partkey % 50 > 3 group by 1, 2")
@@ -32,7 +33,7 @@ def scan_counts(spark, d):
     own = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("file_id"), F.when(F.col("l_partkey") % 50 > 3, F.concat(F.lit("g"), (F.col("l_partkey") % 50).cast("string"))).otherwise(F.concat(F.lit("N_"), (F.col("l_partkey") % 50).cast("string"))).alias("gene_id")).agg(F.count("*").alias("unstranded"))
     path = _place(spark, "counts")
     _per_sample(own, path, True)
-    return files.counts(spark, f"{path}/*/*.csv")
+    return files.counts(spark, path)
 
 
 @query("scan_two_columns", f"select 'file_id=' || sample_id as file_id, 'p' || feature_id as feature_id, {r('case when value > 100 then null else value end')} as value from {COUNTS}")
@@ -41,7 +42,7 @@ def scan_two_columns(spark, d):
     own = counts(spark, d).select(F.col("sample_id").alias("file_id"), F.concat(F.lit("p"), F.col("feature_id").cast("string")).alias("k"), F.when(F.col("value") > 100, F.lit("NA")).otherwise(F.col("value").cast("string")).alias("v"))
     path = _place(spark, "two")
     _per_sample(own, path, False)
-    return files.two_columns(spark, f"{path}/*/*.csv").withColumn("value", r6("value"))
+    return files.two_columns(spark, path).withColumn("value", r6("value"))
 
 
 @query("scan_copy_number", f"select 'file_id=' || sample_id as file_id, 'g' || feature_id as feature_id, {r('case when value > 100 then 2.0 else value end')} as value from {COUNTS}")
@@ -50,7 +51,7 @@ def scan_copy_number(spark, d):
     own = counts(spark, d).select(F.col("sample_id").alias("file_id"), F.concat(F.lit("g"), F.col("feature_id").cast("string")).alias("gene_id"), F.when(F.col("value") <= 100, F.col("value").cast("string")).alias("copy_number"))
     path = _place(spark, "copy")
     _per_sample(own, path, True)
-    return files.copy_number(spark, f"{path}/*/*.csv").withColumn("value", r6("value"))
+    return files.copy_number(spark, path).withColumn("value", r6("value"))
 
 
 @query("scan_records", "select c_name as id, case when c_custkey % 6 > 0 then c_acctbal end as balance, c_mktsegment as segment from customer")

@@ -65,6 +65,27 @@ def flatten_cases(spark: SparkSession, path: str, whole_file: bool = True) -> Da
     return case.select(*[text(F.col(f"h.{c}")).alias(c) for c in ("case_id", "submitter_id")], *[text(first[c]).alias(c) for c in diagnosis], text(F.col("h.demographic.age_at_index")).alias("age_at_index"))
 
 
+#: Tasks that list folders: one for each folder would take longer to start than to list.
+LISTERS = 64
+
+
+def _csv(spark: SparkSession, place: str, schema: str | None = None, **options) -> DataFrame:
+    """The tab-separated files of a glob, or those at any depth below a folder.
+
+    The driver expands a glob folder by folder; the folders below a given one are listed by ``LISTERS`` tasks.
+    """
+    read = spark.read.options(**options) if schema is None else spark.read.schema(schema).options(**options)
+    if any(c in place for c in "*?[{"):
+        return read.csv(place, sep="\t")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), LISTERS)))
+    try:
+        return read.options(recursiveFileLookup=True).csv(place, sep="\t")
+    finally:
+        spark.conf.set(name, before)
+
+
 def _file_key() -> F.Column:
     """The name of the folder that a file is in."""
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
@@ -72,19 +93,19 @@ def _file_key() -> F.Column:
 
 def counts(spark: SparkSession, pattern: str, value: str = "unstranded", skip_prefix: str = "N_") -> DataFrame:
     """``(file_id, feature_id, value)`` from per-sample count tables with comment lines and summary rows."""
-    raw = spark.read.option("header", True).option("comment", "#").csv(pattern, sep="\t")
+    raw = _csv(spark, pattern, header=True, comment="#")
     return raw.select(_file_key().alias("file_id"), F.col("gene_id").alias("feature_id"), F.col(value).cast("long").cast("double").alias("value")).where(~F.startswith("feature_id", F.lit(skip_prefix)))
 
 
 def two_columns(spark: SparkSession, pattern: str) -> DataFrame:
     """``(file_id, feature_id, value)`` from headerless files of a key and a number; aligned by key, not by line."""
-    raw = spark.read.schema("feature_id string, value double").csv(pattern, sep="\t", nullValue="NA")
+    raw = _csv(spark, pattern, "feature_id string, value double", nullValue="NA")
     return raw.select(_file_key().alias("file_id"), "feature_id", "value")
 
 
 def copy_number(spark: SparkSession, pattern: str, neutral: float = 2.0) -> DataFrame:
     """``(file_id, feature_id, value)``; missing numbers become neutral."""
-    raw = spark.read.option("header", True).csv(pattern, sep="\t")
+    raw = _csv(spark, pattern, header=True)
     return raw.select(_file_key().alias("file_id"), F.col("gene_id").alias("feature_id"), F.coalesce(F.col("copy_number").try_cast("double"), F.lit(neutral)).alias("value"))
 
 

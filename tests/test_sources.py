@@ -2,9 +2,11 @@
 
 import gzip
 import json
+import pathlib
 
 from pyspark.sql import functions as F
 
+from lathework.plans import catalog, source_queries
 from lathework.sources import files, predicates, rest
 from lathework.sources.store import Store
 from lathework.streaming.incremental import run_available, windowed_counts
@@ -94,3 +96,26 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     done = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("start", "sample_id", "feature_id", "n").collect()}
     whole = {tuple(r) for r in windowed_counts(batch, window="1 day").select("start", "sample_id", "feature_id", "n").collect()}
     assert done and done <= whole
+
+
+def test_scans_write_and_list_in_parallel(spark, sf, tmp_path, monkeypatch):
+    """Many small files: several tasks write them, and folders below a root are listed by few tasks, not one each."""
+    places = []
+    place = source_queries._place
+    monkeypatch.setattr(source_queries, "_place", lambda s, name: places.append(place(s, name)) or places[-1])
+    for name in ("scan_counts", "scan_two_columns", "scan_copy_number"):
+        catalog.QUERIES[name](spark, sf)
+    for p in places:
+        assert len({f.name.split("-")[1] for f in pathlib.Path(p.removeprefix("file:")).glob("*/part-*.csv")}) > 1, p
+    rows = [(k, f"g{q}", k + q) for k in range(100) for q in range(3)]
+    root = str(tmp_path / "counts")
+    spark.createDataFrame(rows, "file_id int, gene_id string, unstranded int").repartition(1).write.partitionBy("file_id").csv(root, sep="\t", header=True)
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    got = files.counts(spark, root)
+    tracker = spark.sparkContext.statusTracker()
+    sizes = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sizes and max(sizes) <= files.LISTERS and spark.conf.get(name) == before
+    assert {tuple(r) for r in got.collect()} == {(f"file_id={k}", g, float(v)) for k, g, v in rows} == {tuple(r) for r in files.counts(spark, f"{root}/*/*.csv").collect()}
