@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lathework import frames
 from lathework.frames import quantiles, running
 from lathework.operators import cox, graph, lanczos, spectral, survival
 from lathework.plans import catalog
@@ -74,6 +75,24 @@ def test_dominated_like_plain():
         assert survival.dominated(o, k, w, a) == want
 
 
+@pytest.mark.parametrize("n", [1, 40, 301])
+def test_dominated_in_squares(n):
+    """Many columns take products of stretches, not a running sum a bit; with pairs and equal risks as running sums."""
+    r = np.random.default_rng(n)
+    o, k, w, a = r.integers(0, 20, n), r.integers(0, 12, n), r.integers(0, 5, (n, survival.MANY)), r.integers(0, 3, (n, survival.MANY))
+    after = o > o[:, None]
+    for got, pairs in ((survival.dominated(o, k, w, a), after & (k < k[:, None])), (survival.later(o, k, w, a), after & (k == k[:, None])), (survival.later(o, 0 * k, w, a), after)):
+        assert np.array_equal(got, (a * (pairs.astype(float) @ w)).sum(axis=0))
+
+
+def test_draws_of_many_numbers(spark):
+    """Draws made by the million are those of the hash in SQL."""
+    b, k = np.array([0, 9, 10, 999, 7, 12]), np.array([0, 10, 9, 5_399_999, 99, 123_456])
+    rows = spark.createDataFrame([(int(x), int(y)) for x, y in zip(b, k, strict=True)], "b int, k long")
+    want = [r[0] for r in rows.select(frames.hash_draw(5_400_000, "seed", F.col("b"), F.col("k"))).collect()]
+    assert frames.hash_draws("seed", b, k, 5_400_000).tolist() == want
+
+
 def test_resamples_need_two_events(spark):
     """Of one event among many patients most resamples draw it less than twice."""
     rows = [(k, k, float(k), k == 0, float(-k)) for k in range(12)]
