@@ -224,3 +224,24 @@ def test_cross_validation(spark):
     assert oof.count() == 120
     got = cox.summary(cox.fold_scores(oof.unionByName(cox.late_average(oof).selectExpr("method", "seed", "fold", "id", "risk", "cast(null as double) alpha")), rows)).collect()
     assert {r["method"] for r in got} == {"m", "late_average"} and all(r["fold_mean"] > 0.65 for r in got)
+
+
+def test_fold_of_stretches(monkeypatch):
+    """A cohort in stretches of rows gives the slope of the whole, masked rows as if they were not there, and the fold's matrix is not copied."""
+    r = np.random.default_rng(8)
+    n, d = 500, 3
+    x, t, e, keep = r.normal(size=(n, d)), r.integers(0, 90, n).astype(float), r.random(n) < 0.4, r.random(n) < 0.7
+    b = r.normal(size=d) / 4
+    monkeypatch.setattr(cox, "ROWS", 40)
+    own = cox._Cohort.of(x, t, e)
+    order = np.argsort(t, kind="stable")
+    assert len(own.stretches) > 5
+    for mask, rows in ((None, np.ones(n, bool)), (keep[order], keep)):
+        at = own.slope(b, mask)
+        g, _ = cox.gradient(x[rows] @ b, t[rows], e[rows])
+        assert at.value == pytest.approx(-cox.log_likelihood(x[rows] @ b, t[rows], e[rows]), abs=1e-12)
+        assert np.allclose(at.gradient, x[rows].T @ g, atol=1e-12)
+        step = 1e-5
+        near = [(own.slope(b + step * v, mask).gradient - own.slope(b - step * v, mask).gradient) / (2 * step) for v in np.eye(d)]
+        assert np.allclose(at.hessian, near, atol=1e-6)
+    assert np.allclose(own.fit(0.1, keep=keep[order]), cox.fit(x[keep], t[keep], e[keep], 0.1), atol=1e-9)
